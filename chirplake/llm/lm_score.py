@@ -1,0 +1,109 @@
+"""Cross-entropy difference of matched target and background language models."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chirplake.llm.util import bounded_batches, utf8
+
+#: The shared vocabulary: bytes; 0 also stands before and after each text.
+SYMBOLS = 256
+ORDER = 3
+#: Number of entries of a table over all n-grams: the bound of what is broadcast (64 MB of 32-bit floats).
+ENTRIES = SYMBOLS**ORDER
+
+
+def ngram_codes(text: bytes) -> np.ndarray:
+    """The trigrams that end at each byte of the text and at its end, as 24-bit numbers."""
+    b = np.frombuffer(b"\0\0" + text + b"\0", np.uint8).astype(np.int32)
+    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+
+
+def count_ngrams(texts: DataFrame) -> DataFrame:
+    """code, n over all rows of ``texts`` (one column); nulls are empty texts. Each batch sends a count per trigram it has, combined again before it moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for text in [*utf8(batch.column(0)), None]:
+                if text is not None:
+                    held.append(ngram_codes(text))
+                    size += len(held[-1])
+                if held and (text is None or size > 8_000_000):
+                    counts = np.bincount(np.concatenate(held), minlength=1)
+                    code = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(counts[code])], ["code", "n"])
+                    held, size = [], 0
+
+    rows = texts.select(F.coalesce(F.col(texts.columns[0]).cast("string"), F.lit("")).alias("text"))
+    return bounded_batches(rows).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+class Model:
+    """Trigram model with Witten-Bell interpolation down to bigrams, single symbols and the uniform distribution."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(code, kind="stable")
+        self.code, self.n = code[order].astype(np.int64), n[order].astype(np.float64)
+        ends, mids = self.code & 0xFF, self.code & 0xFFFF
+        one = np.bincount(ends, self.n, SYMBOLS)
+        self.p1 = (one + 1) / (one.sum() + SYMBOLS)
+        two = np.bincount(mids, self.n, SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)
+        kinds = (two > 0).sum(1)
+        total = two.sum(1)
+        self.p2 = np.where((total + kinds)[:, None] > 0, (two + kinds[:, None] * self.p1) / np.maximum(total + kinds, 1)[:, None], self.p1)
+        self.heads = np.searchsorted(self.code, np.arange(SYMBOLS + 1) << 16)
+
+    def losses(self, first: int) -> np.ndarray:
+        """Bits of each third symbol after (first, second): 256 by 256."""
+        part = slice(self.heads[first], self.heads[first + 1])
+        three = np.bincount(self.code[part] & 0xFFFF, self.n[part], SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)
+        kinds, total = (three > 0).sum(1), three.sum(1)
+        mixed = (three + kinds[:, None] * self.p2) / np.maximum(total + kinds, 1)[:, None]
+        return -np.log2(np.where((total + kinds)[:, None] > 0, mixed, self.p2))
+
+
+def loss_differences(target: Model, background: Model) -> np.ndarray:
+    """Loss under the target model less that under the background model, for each of the possible trigrams."""
+    out = np.empty((SYMBOLS, SYMBOLS**2), np.float32)
+    for first in range(SYMBOLS):
+        out[first] = (target.losses(first) - background.losses(first)).ravel()
+    return out.ravel()
+
+
+def fit(texts: DataFrame) -> Model:
+    counts = count_ngrams(texts).toArrow()
+    return Model(counts["code"].to_numpy(), counts["n"].to_numpy())
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, score of each row of ``docs`` (doc_id, text; other columns are ignored).
+
+    ``target`` and ``background`` hold texts in one column; all of their rows
+    are counted. The models share one vocabulary, order and smoothing. A
+    document's score is the mean over its tokens of the loss under the target
+    model less the loss under the background model, in bits: low scores are like
+    the target. Tokens are bytes and the end of the text, contexts two bytes, so
+    any language is covered without unknown words, and the table of loss
+    differences that goes to all workers has a fixed size whatever the corpus.
+    A null text is an empty one, of a single token. Empty models are uniform.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(loss_differences(fit(target), fit(background)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        differences = table.value
+        for batch in batches:
+            sizes, scores = [], []
+            for text in utf8(batch.column(1)):
+                loss = differences[ngram_codes(text or b"")]
+                sizes.append(len(loss))
+                scores.append(float(loss.mean(dtype=np.float64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "n_tokens", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded_batches(rows).mapInArrow(run, "doc_id bigint, n_tokens bigint, score double")
