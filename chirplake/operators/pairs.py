@@ -10,6 +10,8 @@ with rejection, and what no attempt settles goes through an exact join.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from chirplake.config import DEFAULT, EASY_TYPES, HARD_TYPES
 from chirplake.functions import draws
 from chirplake.functions import scalars as S
 from chirplake.operators.ranks import dense_number
+from chirplake.operators.scratch import saved
 
 #: Attempts of a range-predicate draw before the exact join.
 ATTEMPTS = 24
@@ -190,34 +193,38 @@ def slots(samples: DataFrame, count: int = DEFAULT.negatives_per_positive, hard_
 
 
 def negative_pairs(samples: DataFrame) -> DataFrame:
-    """All negatives: slots filled, repeated (type, anchor, candidate) lost but for the first slot, absent types topped up, all numbered."""
+    """All negatives: slots filled, repeated (type, anchor, candidate) lost but for the first slot, absent types topped up, all numbered.
+
+    The samples, which every type reads, and the filled slots are written to the
+    shared scratch folder, so that neither is computed once per type.
+    """
+    samples = saved(samples.select("split", "ord", "global_class", "has_chirp", "has_glitch", *_SAMPLE), "samples")
     filled = slots(samples)
     parts = [described(pick(filled.where(F.col("negative_type") == k).drop("negative_type"), samples, k), k) for k in (*HARD_TYPES, *EASY_TYPES)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = functools.reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("negative_type", "anchor_sample_id", "candidate_sample_id").orderBy("slot")
-    rows = rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-    rows = rows.unionByName(topped_up(samples, rows))
-    rows = rows.withColumn("so", split_place(F.col("split")))
+    rows = saved(rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r"), "slots")
+    rows = functools.reduce(DataFrame.unionByName, topped_up(samples, rows), rows)
     # Top-ups come after all slots of their split.
-    rows = rows.withColumn("late", (F.col("slot") == 0).cast("int"))
+    rows = rows.withColumn("so", split_place(F.col("split"))).withColumn("late", (F.col("slot") == 0).cast("int"))
     order = [F.col("a_ord"), F.col("slot"), F.col("negative_type")]
     return dense_number(rows, ["so", "late"], F.floor(F.col("a_ord") / BLOCK), order, "negative_pair_id").drop("so", "late", "a_ord", "slot")
 
 
-def topped_up(samples: DataFrame, rows: DataFrame) -> DataFrame:
-    """For each type a split allows and lacks, the pair of the first anchor that has a candidate (slot 0)."""
+def topped_up(samples: DataFrame, rows: DataFrame) -> list[DataFrame]:
+    """For each type that a split allows and lacks, the pair of the first anchor that has a candidate (slot 0).
+
+    What is lacking is at most a row per split and type, so the driver may see it.
+    """
     wanted = enabled_types(samples).select("split", F.explode("every").alias("negative_type")).distinct()
-    missing = wanted.join(rows.select("split", "negative_type").distinct(), ["split", "negative_type"], "left_anti")
-    out = None
-    for kind in (*HARD_TYPES, *EASY_TYPES):
-        lacking = missing.where(F.col("negative_type") == kind).select("split")
-        anchors = samples.where("has_chirp = 1").join(F.broadcast(lacking), "split", "left_semi").withColumn("slot", F.lit(0))
+    missing = wanted.join(rows.select("split", "negative_type").distinct(), ["split", "negative_type"], "left_anti").collect()
+    out = []
+    for kind in sorted({r["negative_type"] for r in missing}):
+        lacking = [r["split"] for r in missing if r["negative_type"] == kind]
+        anchors = samples.where("has_chirp = 1").where(F.col("split").isin(lacking)).withColumn("slot", F.lit(0))
         got = described(pick(anchors, samples, kind), kind)
         first = got.groupBy("split").agg(F.min("a_ord").alias("a_ord"))
-        got = got.join(F.broadcast(first), ["split", "a_ord"], "left_semi")
-        out = got if out is None else out.unionByName(got)
+        out.append(got.join(F.broadcast(first), ["split", "a_ord"], "left_semi"))
     return out
 
 

@@ -13,6 +13,7 @@ from chirplake.functions import scalars as S
 from chirplake.operators import arrays as A
 from chirplake.operators import audits, groups, pairs
 from chirplake.operators.ranks import quota_sizes
+from chirplake.operators.scratch import saved
 from chirplake.plans import sql_pairs as Q
 from chirplake.plans.sql_views import CELLS, EVENTS, POOL, SAMPLES, SERIES, SIZES, digest_key, u
 from chirplake.sources import views as V
@@ -36,6 +37,11 @@ def six(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def samples_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples as a table in the scratch folder, for queries that read them many times."""
+    return saved(V.samples(spark, sf_dir), "samples")
+
+
 def n_of(df: DataFrame, *names: str) -> DataFrame:
     """Counts as bigint."""
     for n in names:
@@ -195,7 +201,7 @@ def negative_pairs(spark, sf_dir):
 
 @query(f"WITH {Q.BASE}, {Q.POSITIVE}, {Q.NEGATIVES}, {Q.COMBINED} SELECT * FROM combined")
 def pairs_combined(spark, sf_dir):
-    s = V.samples(spark, sf_dir)
+    s = samples_once(spark, sf_dir)
     return pairs.combined_pairs(s, pairs.positive_pairs(s), pairs.negative_pairs(s))
 
 
@@ -241,7 +247,7 @@ _PAIR_BASE = f"WITH {Q.BASE}, {Q.POSITIVE}, {Q.NEGATIVES}, {Q.COMBINED}, leaky A
 @query(f"""{_PAIR_BASE} SELECT pair_id FROM combined p LEFT JOIN leaky a ON p.anchor_sample_id = a.sample_id LEFT JOIN leaky c ON p.candidate_sample_id = c.sample_id
   WHERE a.split IS DISTINCT FROM p.split OR c.split IS DISTINCT FROM p.split""")
 def audit_pair_split(spark, sf_dir):
-    s = V.samples(spark, sf_dir)
+    s = samples_once(spark, sf_dir)
     combined = pairs.combined_pairs(s, pairs.positive_pairs(s), pairs.negative_pairs(s))
     return audits.cross_split_pairs(combined, leaky(spark, sf_dir)).select("pair_id")
 
@@ -284,7 +290,7 @@ _ROLLUP = " UNION ALL ".join(
 
 @query(f"WITH {Q.BASE}, {Q.POSITIVE}, {_DOMAINS}, r AS ({_ROLLUP}) SELECT *, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM r")
 def audit_rollup(spark, sf_dir):
-    s = V.samples(spark, sf_dir)
+    s = samples_once(spark, sf_dir)
     return audits.rollup(s, positives=pairs.positive_pairs(s))
 
 
