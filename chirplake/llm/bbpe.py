@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirplake.llm.util import bounded_batches
+from chirplake.llm.util import bounded_batches, grouped
 
 #: Symbols of the splitting automaton.
 LETTER, NUMBER, SPACE, BLANK, OTHER, SHORT, LONG, OUTSIDE = range(8)
@@ -265,19 +265,6 @@ def _codec(path: str) -> ByteBPE:
 GROUP_CHARS = 1 << 20
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    group: list[str] = []
-    size = 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= GROUP_CHARS:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids array<int>, offsets array<bigint> (bytes of the text before each id) of every row of ``docs``.
 
@@ -287,7 +274,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path)
         for batch in batches:
-            got = [x for group in _groups([t or "" for t in batch.column(1).to_pylist()]) for x in codec.encode(group)]
+            got = [x for group in grouped([t or "" for t in batch.column(1).to_pylist()], GROUP_CHARS) for x in codec.encode(group)]
             ids = pa.array([x[0] for x in got], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([x[1] for x in got], pa.list_(pa.int64()))], ["doc_id", "ids", "offsets"])
 
@@ -313,7 +300,7 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
         sha = hashlib.sha256
         for batch in batches:
             totals, coded, decoded = [], [], []
-            for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
+            for group in grouped([t or "" for t in batch.column(1).to_pylist()], GROUP_CHARS):
                 pieces, counts, _ = codec.slices(group)
                 ids = codec.piece_ids(pieces)
                 at = 0

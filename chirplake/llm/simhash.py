@@ -100,10 +100,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _close(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of the rows of x and y (words by rows) that differ in ``radius`` bits at most."""
     bits = np.bitwise_count(x[0][:, None] ^ y[0][None, :])
+    if len(x) > 1:  # one word alone hardly tells anything apart at a large radius
+        bits += np.bitwise_count(x[1][:, None] ^ y[1][None, :])
     i, j = np.nonzero(bits <= radius)
-    if len(x) > 1:
+    if len(x) > 2:
         total = bits[i, j].astype(np.int64)
-        for p, q in zip(x[1:], y[1:], strict=True):
+        for p, q in zip(x[2:], y[2:], strict=True):
             total += np.bitwise_count(p[i] ^ q[j])
             keep = total <= radius
             i, j, total = i[keep], j[keep], total[keep]
@@ -238,8 +240,10 @@ def _route(rows: DataFrame, tiles: DataFrame, neighbours: int) -> DataFrame:
 
 
 def _tile_edges(rows: DataFrame, words: int, radius: int, ratio: float, neighbours: bool, tile_rows: int | None) -> DataFrame:
-    if tile_rows is None:  # half of an even share of the rows, so that one tile pair is no more than a task's share
-        tile_rows = min(TILE_ROWS[1], max(TILE_ROWS[0], rows.count() // (2 * shuffle_partitions(rows))))
+    if tile_rows is None:
+        # Within blocks: half of an even share of the rows, so that one tile pair is no more than a task's share.
+        # Within bands: a fixed share, so that each row goes to as many tile pairs whatever the size of the input.
+        tile_rows = min(TILE_ROWS[1], max(TILE_ROWS[0], rows.count() // (64 if neighbours else 2 * shuffle_partitions(rows))))
     counts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("bigint").alias("m"))
     tiles = counts if neighbours else counts.where("m > 1")
     routed = _route(rows, tiles, neighbours)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chirplake.operators.scratch import forget, saved, scratch_root
+
+__all__ = ["bounded_batches", "forget", "grouped", "join_checked", "saved", "scratch_root", "shuffle_partitions", "table", "utf8"]
+
 #: Largest number of key rows that :func:`join_checked` broadcasts.
 BROADCAST_ROWS = 500_000
 #: Largest number of bytes that Spark hands to a Python worker at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,41 +36,6 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="chirplake-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/chirplake-{sc.applicationId}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back.
-
-    This cuts the lineage with a table that every executor can read, so that
-    lost executors cost a reread and no recomputation. The table goes when the
-    application ends, or earlier through :func:`forget`.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the table that :func:`saved` wrote for ``df``."""
-    spark = df.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def join_checked(df: DataFrame, keys: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with ``keys``: by broadcast if a count shows at most ``limit`` narrow rows, else by a shuffle."""
     if keys.count() <= limit:
@@ -79,3 +47,17 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, None for null."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def grouped(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in groups of some ``chars`` characters, at least one text each."""
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
