@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirplake.llm.util import bounded_batches, saved
+from chirplake.llm.util import bounded_batches, grouped, saved
 
 WINDOW = 2048
 #: The id that ends each document.
 END_ID = 1
 #: Pieces that one task packs; a shard of so many leaves next to no padding.
 SHARD_PIECES = 2_000
+#: Characters whose new words go to the tokenizer at once.
+GROUP_CHARS = 1 << 20
 #: Words whose ids a worker remembers before it begins anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Unicode's White_Space characters, which the tokenizer drops (fixed values).
 _BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
@@ -39,22 +43,48 @@ class WordTokenizer:
         self._tokenizer.encode_special_tokens = True
         self._known: dict[str, bytes] = {"": b""}
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the text, without the end id."""
-        words = text.split() if text.isascii() and not _ODD.search(text) else _BLANK.split(text)
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Per text its little-endian unsigned 32-bit ids, without the end id."""
         known = self._known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
         if len(known) > CACHE_WORDS:
-            known = self._known = {"": b""}
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, got in zip(some, self._tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            known.clear()
+            known[""] = b""
+        split = []
+        for text in map(lowered, texts):
+            split.append(text.split() if text.isascii() and not _ODD.search(text) else _BLANK.split(text))
+        new: set[str] = set()
+        for words in split:
+            new.update(set(words).difference(known))
+        # Letters and the punctuation after them are tokens apart, so most new words are known ones with another ending.
+        ended = {w: m.end(1) for w in new if "\u0130" not in w and (m := _ENDED.fullmatch(w))}  # its lower case ends in a mark
+        todo = new.difference(ended)
+        for word, at in ended.items():
+            todo.add(word[:at])
+            todo.add(word[at:])
+        todo = list(todo.difference(known))
+        for at in range(0, len(todo), 2_000):
+            some = todo[at : at + 2_000]
+            for word, got in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[word] = array("I", got.ids).tobytes()
+        for word, at in ended.items():
+            known[word] = known[word[:at]] + known[word[at:]]
+        for words in split:
+            yield b"".join(map(known.__getitem__, words))
+
+
+#: Letters, then ASCII punctuation but for the apostrophe, which may begin a contraction.
+_ENDED = re.compile(r"([^\W\d_]+)[!-&(-/:-@\[-`{-~]+")
+
+
+def lowered(text: str) -> str:
+    """The text in lower case where that is what the tokenizer makes of it anyway; else the text as it is."""
+    if text.isascii():
+        return text.lower()
+    # Its own lower case is by character, after composition; these two letters depend on their place.
+    if "\u03a3" in text or "\u0130" in text:
+        return text
+    low = text.lower()
+    return low if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
 
 
 #: ASCII that str.split() takes for blanks and the tokenizer does not.
@@ -80,8 +110,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFr
         tokenizer, end, step = _tokenizer(tokenizer_path), END_ID.to_bytes(4, "little"), 4 * window
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = tokenizer.ids(text or "") + end
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for i, ids in enumerate(ids for group in grouped(texts, GROUP_CHARS) for ids in tokenizer.ids(group)):
+                ids += end  # noqa: PLW2901
                 n = len(ids) // 4
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
