@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.config import DEFAULT, DETECTORS, SPLITS
+from chirplake.config import DEFAULT, DETECTORS, SPLITS, DatasetConfig
 from chirplake.functions import draws
 from chirplake.functions import scalars as S
 from chirplake.operators import arrays as A
-from chirplake.operators import audits, groups, pairs
+from chirplake.operators import audits, groups, pairs, synthesis
 from chirplake.operators.ranks import quota_sizes
-from chirplake.operators.scratch import saved
+from chirplake.operators.scratch import saved, scratch_root
 from chirplake.plans import sql_pairs as Q
 from chirplake.plans.sql_views import CELLS, EVENTS, POOL, SAMPLES, SERIES, SIZES, digest_key, u
 from chirplake.sources import views as V
+from chirplake.streaming import groups as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,3 +473,60 @@ def dft_power(spark, sf_dir):
     return A.dft_power(V.series(spark, sf_dir), "id", "x").select("id", "k", F.round("power", 4).alias("power"))
 
 
+
+
+# ------------------------------------------------ kernels (checked in the tests; no SQL)
+@query()
+def bandlimit_fft(spark, sf_dir):
+    s = V.series(spark, sf_dir).select("id", synthesis.bandlimited(F.col("x"), 64.0, 4.0, 16.0).alias("y"), "x")
+    power = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda t, v: t + v * v), 6)
+    return s.select("id", power("x").alias("power_in"), power("y").alias("power_out"))
+
+
+@query()
+def cqt_energy(spark, sf_dir):
+    got = synthesis.energy_summary(V.series(spark, sf_dir), "id", "x", 4096.0, 16, 16)
+    return got.select("id", *six("peak", "mean"), "row", "col")
+
+
+@query()
+def chirp_track(spark, sf_dir):
+    return synthesis.tracks(V.series(spark, sf_dir), "id", "x", 64.0).select("id", *six("t_start", "t_end", "f_low", "f_high"))
+
+
+#: A small picture and rate keep a sample at some milliseconds.
+_SMALL = DatasetConfig(sample_rate=2048, image_width=32, image_height=32)
+
+
+def _numbers(spark, sf_dir):
+    return V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("num"))
+
+
+@query()
+def inject_snr(spark, sf_dir):
+    """The SNR that injections reach against what was asked for, per event of the customer table."""
+    m = synthesis.build_samples(_numbers(spark, sf_dir), _SMALL).where("has_chirp = 1")
+    return m.select("sample_id", *six("target_snr", "detector_snr", "network_snr"), "snr_bin")
+
+
+@query()
+def synth_noise_stats(spark, sf_dir):
+    m = synthesis.build_samples(_numbers(spark, sf_dir), _SMALL)
+    return m.groupBy("split", "detector", "global_class").agg(F.count("*").alias("n"), F.round(F.avg("energy_peak"), 4).alias("mean_peak"), F.sum("num_boxes").alias("boxes"))
+
+
+@query()
+def sample_table_build(spark, sf_dir):
+    return synthesis.build_samples(_numbers(spark, sf_dir), _SMALL).drop("boxes")
+
+
+@query()
+def event_table_build(spark, sf_dir):
+    return synthesis.event_table(synthesis.build_samples(_numbers(spark, sf_dir), _SMALL))
+
+
+@query(f"WITH {POOL} SELECT ifo, fid, count(*) AS n FROM gpool GROUP BY ifo, fid")
+def stream_group_counts(spark, sf_dir):
+    where = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    name = f"stream_counts_{uuid.uuid4().hex[:8]}"
+    return stream.run_counts(spark, f"{sf_dir}/events.parquet", where, name)

@@ -1,0 +1,130 @@
+"""Kernels and the synthesis of sample tables."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chirplake.config import EVENT_FIELDS, METADATA_FIELDS, DatasetConfig
+from chirplake.functions import spectral as K
+from chirplake.operators import audits, synthesis
+from chirplake.sources import sinks
+
+CONFIG = DatasetConfig(num_events=12, seed=7, sample_rate=2048, image_width=48, image_height=48)
+
+
+def test_bandlimit_removes_what_is_outside():
+    t = np.arange(1024) / 1024
+    x = np.sin(2 * np.pi * 50 * t) + np.sin(2 * np.pi * 200 * t)
+    assert np.allclose(K.bandlimit(x, 1024, 20, 100), np.sin(2 * np.pi * 50 * t), atol=1e-9)
+    assert np.allclose(K.bandlimit(x, 1024, 0, 100), np.sin(2 * np.pi * 50 * t), atol=1e-9)
+
+
+def test_bandpass_keeps_the_middle():
+    t = np.arange(4096) / 4096
+    mid = np.sin(2 * np.pi * 140 * t)
+    assert np.abs(K.bandpass(mid, 4096) - mid).max() < 0.01
+    assert np.abs(K.bandpass(np.sin(2 * np.pi * 2 * t), 4096)).max() < 0.01
+
+
+def test_noise_and_injection():
+    rng = K.generator(1, "a")
+    noise = K.coloured_noise(rng, 8192, 2048)
+    assert np.std(noise) == pytest.approx(1)
+    wave = K.chirp(30, 25, 30.0, 2048, 4.0)
+    total, clean, snr = K.inject(noise, wave, 3.0, 12.0, 2048, reference=noise)
+    assert snr == pytest.approx(12.0) and np.allclose(total, noise + clean)
+    _, _, cut = K.inject(noise, wave, 0.01, 12.0, 2048, reference=noise)
+    assert cut < 12.0
+
+
+def test_cqt_finds_the_tone():
+    t = np.arange(8192) / 2048
+    e = K.cqt_energy(np.sin(2 * np.pi * 100 * t), 2048, 64, 32)
+    f = K.row_frequencies(64)
+    assert f[e[:, 16].argmax()] == pytest.approx(100, rel=0.05)
+    s = K.stft_energy(np.sin(2 * np.pi * 100 * t), 2048, 64, 32)
+    assert f[s[:, 16].argmax()] == pytest.approx(100, rel=0.1)
+
+
+@pytest.mark.parametrize("method", ["percentile", "mad"])
+def test_normalize(method):
+    scaled, peak = K.normalize(np.linspace(0, 1000, 4096).reshape(64, 64), method)
+    assert 0 <= scaled.min() and scaled.max() <= 25 and peak >= scaled.max() - 1e-9
+
+
+def test_track_of_a_tone():
+    t = np.arange(4096) / 2048
+    x = np.where((t > 0.5) & (t < 1.5), np.sin(2 * np.pi * 100 * t), 0)
+    t0, t1, low, high = K.chirp_track(x, 2048)
+    assert t0 == pytest.approx(0.5, abs=0.05) and t1 == pytest.approx(1.5, abs=0.05)
+    assert low == pytest.approx(100, rel=0.2) and high == pytest.approx(100, rel=0.2)
+    assert K.chirp_track(np.zeros(64), 2048) is None
+
+
+def grid(background=1.0):
+    return np.full((64, 128), background), np.geomspace(20, 1000, 64), np.linspace(0, 4, 128, endpoint=False)
+
+
+def test_ridge_boxes():
+    e, f, t = grid(0.5)
+    e[20:30, 40:50] = 20
+    e[60, 100] = 8.0  # an outlier with next to no mass
+    t0, t1, low, high = K.glitch_extent(e, f, t, (0, 4))
+    assert t0 == pytest.approx(t[40]) and t1 == pytest.approx(t[49]) and low == pytest.approx(f[20]) and high == pytest.approx(f[29])
+    assert K.ridge_extent(e, f, t, (0, 4))[3] == pytest.approx(f[60])
+    assert K.glitch_extent(np.ones((64, 128)), f, t, (0, 4)) is None
+    single, f, t = grid(0.1)
+    single[5, 6] = 50
+    t0, t1, low, high = K.glitch_extent(single, f, t, (0, 4))
+    assert t1 > t0 and high > low
+
+
+def test_segment():
+    rng = np.random.default_rng(0)
+    raw = rng.standard_normal(8 * 512)
+    raw[7] = np.nan
+    part, place = K.cut_segment(raw, 512, 4.0, 4.0, 0.5)
+    assert len(part) == 2048 and 1.0 <= place <= 3.0
+    assert 1.4826 * np.median(np.abs(part - np.median(part))) == pytest.approx(1)
+    assert K.cut_segment(np.zeros(8 * 512), 512, 4.0, 4.0, 0.5) is None
+
+
+def test_sample_table(spark):
+    numbers = spark.range(12).withColumnRenamed("id", "num")
+    m = synthesis.build_samples(numbers, CONFIG).cache()
+    assert m.columns == [*METADATA_FIELDS, "boxes"] and m.count() == 24
+    assert m.where("energy_vmax < energy_vmin").count() == 0
+    assert m.where("has_chirp = 1 and detector_snr is null").count() == 0
+    e = synthesis.event_table(m)
+    assert e.columns == list(EVENT_FIELDS) and e.count() == 12
+    audits.require(audits.rollup(m))
+    sizes = {r["split"]: r["count"] for r in e.groupBy("split").count().collect()}
+    assert sizes == {"train": 8, "val": 2, "test": 2}
+    again = synthesis.build_samples(numbers.repartition(7), CONFIG)
+    assert {tuple(r) for r in m.select("sample_id", "energy_peak").collect()} == {tuple(r) for r in again.select("sample_id", "energy_peak").collect()}
+    lines = sinks.label_lines(m, CONFIG.duration).where("text <> ''").first()["text"]
+    assert len(lines.strip().split("\n")[0].split(" ")) == 5
+    m.unpersist()
+
+
+def test_files_and_pictures(spark, tmp_path):
+    rows = spark.range(1).select(F.lit("train").alias("split"), F.lit("H1").alias("detector"), F.lit("a").alias("sample_id"), sinks.picture(F.array(F.array(F.lit(0.0), F.lit(25.0)))).alias("png"))
+    done = sinks.write_files(rows, str(tmp_path), "qtransform_normalized", ".png", "png").collect()
+    assert (tmp_path / "qtransform_normalized/train/H1/a.png").read_bytes()[:8] == b"\x89PNG\r\n\x1a\n" and done[0]["bytes"] > 0
+
+
+def test_publish_only_after_audits(spark, tmp_path):
+    m = synthesis.build_samples(spark.range(6).withColumnRenamed("id", "num"), CONFIG)
+    sinks.publish(m, {"events": synthesis.event_table(m)}, str(tmp_path / "ok"), {"metadata": METADATA_FIELDS})
+    assert (tmp_path / "ok/_COMPLETE").exists()
+    bad = m.withColumn("split", F.when(F.col("detector") == "H1", "train").otherwise("val"))
+    with pytest.raises(audits.AuditError):
+        sinks.publish(bad, {}, str(tmp_path / "bad"), {})
+    assert not (tmp_path / "bad").exists()
+
+
+def test_drawing():
+    rgb = np.zeros((10, 12, 3), np.uint8)
+    out = K.draw_box(rgb, (2, 2, 8, 6), (255, 0, 0), dash=2)
+    assert out[2, 2, 0] == 255 and out[2, 4, 0] == 0 and not rgb.any()
+    assert K.contact_sheet([rgb] * 5, 4).shape == (2 * 12 + 2, 4 * 14 + 2, 3)
