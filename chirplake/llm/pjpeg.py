@@ -552,7 +552,7 @@ def decode_column(media: DataFrame, key: str, column: str) -> DataFrame:
     A null, empty or broken image gives nulls and the reason in ``error``; other
     columns are not returned. The key may be of any type, repeat or be null.
     """
-    schema = media.select(F.col(key)).schema.add("height", "int").add("width", "int").add("rgb", "binary").add("error", "string")
+    schema = media.select(F.col(key)).schema.add("height", "integer").add("width", "integer").add("rgb", "binary").add("error", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
