@@ -58,7 +58,7 @@ def glitch_samples(samples: DataFrame) -> DataFrame:
     """Glitch-only samples; in a split without any, those with a glitch and no chirp."""
     some = samples.groupBy("split").agg(F.max((F.col("global_class") == "glitch_only").cast("int")).alias("__only"))
     rows = samples.join(F.broadcast(some), "split")
-    return rows.where(F.when(F.col("__only") == 1, F.col("global_class") == "glitch_only").otherwise("has_glitch = 1 and has_chirp = 0")).drop("__only")
+    return rows.where(F.when(F.col("__only") == 1, F.col("global_class") == "glitch_only").otherwise((F.col("has_glitch") == 1) & (F.col("has_chirp") == 0))).drop("__only")
 
 
 def candidates_of(samples: DataFrame, kind: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 from collections.abc import Iterator
 from dataclasses import asdict
@@ -10,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,25 +72,31 @@ def write_files(rows: DataFrame, root: str, tree: str, ending: str, column: str)
     return rows.select("split", "detector", "sample_id", column).mapInPandas(run, "path string, bytes bigint")
 
 
-@F.pandas_udf("binary")
-def picture(energy: pd.Series) -> pd.Series:
+def picture(energy: Column) -> Column:
     """A PNG of each energy map, in its own size."""
-    return energy.map(lambda e: None if e is None else spectral.png(spectral.energy_picture(np.stack([np.asarray(r, dtype=float) for r in e]))))
 
+    @F.pandas_udf(T.BinaryType())
+    def run(maps: pd.Series) -> pd.Series:
+        return maps.map(lambda e: None if e is None else spectral.png(spectral.energy_picture(np.stack([np.asarray(r, dtype=float) for r in e]))))
 
-@F.pandas_udf("binary")
-def strain_file(strain: pd.Series) -> pd.Series:
+    return run(energy)
+
+
+def strain_file(strain: Column) -> Column:
     """The bytes of a .npy file of 32-bit floats."""
-    import io
 
-    def one(x):
+    def one(x) -> bytes | None:
         if x is None:
             return None
         out = io.BytesIO()
         np.save(out, np.asarray(x, dtype=np.float32))
         return out.getvalue()
 
-    return strain.map(one)
+    @F.pandas_udf(T.BinaryType())
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(one)
+
+    return run(strain)
 
 
 def manifest_json(metadata: DataFrame, assignment: DataFrame | None = None) -> str:
