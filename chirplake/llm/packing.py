@@ -24,7 +24,7 @@ SHARD_PIECES = 2_000
 #: Characters whose new words go to the tokenizer at once.
 GROUP_CHARS = 1 << 20
 #: Words whose ids a worker remembers before it begins anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Unicode's White_Space characters, which the tokenizer drops (fixed values).
 _BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
