@@ -495,7 +495,7 @@ def chirp_track(spark, sf_dir):
 
 
 #: A small picture and rate keep a sample at some milliseconds.
-_SMALL = DatasetConfig(sample_rate=2048, image_width=32, image_height=32)
+_SMALL = DatasetConfig(duration=1.0, injection_min=0.3, injection_max=0.9, sample_rate=2048, image_width=32, image_height=32)
 
 
 def _numbers(spark, sf_dir):

@@ -15,6 +15,8 @@ WINDOW = f"{FILE_SECONDS} seconds"
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Files of events as they arrive, with a zoned timestamp, as watermarks need one."""
     schema = spark.read.parquet(path).schema
+    # As a pattern, so that a table may be one file; a plain path must be a folder.
+    path = f"{path[:-1]}[{path[-1]}]"
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
