@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from chirplake.config import BANDS, DatasetConfig
 from chirplake.functions import scalars as S
 from chirplake.functions import spectral
 from chirplake.operators import audits
+from chirplake.ship import ship
 
 
 def as_csv(table: DataFrame, fields: list[str]) -> DataFrame:
@@ -75,6 +76,8 @@ def write_files(rows: DataFrame, root: str, tree: str, ending: str, column: str)
 def picture(energy: Column) -> Column:
     """A PNG of each energy map, in its own size."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf(T.BinaryType())
     def run(maps: pd.Series) -> pd.Series:
         return maps.map(lambda e: None if e is None else spectral.png(spectral.energy_picture(np.stack([np.asarray(r, dtype=float) for r in e]))))
@@ -92,6 +95,8 @@ def strain_file(strain: Column) -> Column:
         np.save(out, np.asarray(x, dtype=np.float32))
         return out.getvalue()
 
+    ship(SparkSession.active())
+
     @F.pandas_udf(T.BinaryType())
     def run(series: pd.Series) -> pd.Series:
         return series.map(one)
