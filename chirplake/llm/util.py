@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirplake.operators.scratch import forget, saved, scratch_root
+from chirplake.ship import ship
 
 __all__ = ["bounded_batches", "forget", "grouped", "join_checked", "saved", "scratch_root", "shuffle_partitions", "table", "utf8"]
 
@@ -23,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Have Spark cut Arrow batches by bytes, so that long texts cannot pile up in a worker."""
+    """Have Spark cut Arrow batches by bytes, so that long texts cannot pile up in a worker; workers get this package."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     stated = conf.get(key).lower()
