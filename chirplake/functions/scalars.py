@@ -170,6 +170,12 @@ def parse_yolo(line: Column, lenient: bool = False) -> Column:
     return F.when(good, F.struct(number.cast("int").alias("class_id"), *[v.alias(k) for v, k in zip(values, ("cx", "cy", "w", "h"), strict=True)]))
 
 
+def metadata_box(has_chirp: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:
+    """The chirp box that a metadata row states, or null unless it has a chirp and all four numbers."""
+    known = has_chirp.cast("string").eqNullSafe(F.lit("1")) & cx.isNotNull() & cy.isNotNull() & w.isNotNull() & h.isNotNull()
+    return F.when(known, F.struct(F.lit(0).alias("class_id"), cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h")))
+
+
 def pixel_rectangle(y: Column, width: int, height: int) -> Column:
     """Corners of a box in pixels."""
     x, yy, w, h = y["cx"] * width, y["cy"] * height, y["w"] * width, y["h"] * height

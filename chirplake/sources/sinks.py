@@ -85,6 +85,40 @@ def picture(energy: Column) -> Column:
     return run(energy)
 
 
+def boxed_picture(energy: Column, boxes: Column, duration: float = 4.0) -> Column:
+    """A PNG of each energy map with its boxes (array of the box struct): chirps in solid, glitches in dashed lines."""
+    ship(SparkSession.active())
+    corners = F.transform(boxes, lambda b: F.array(b["class_id"].cast("double"), *[S.yolo(b, duration)[k] for k in ("cx", "cy", "w", "h")]))
+
+    @F.pandas_udf(T.BinaryType())
+    def run(maps: pd.Series, marks: pd.Series) -> pd.Series:
+        out = []
+        for grid, own in zip(maps, marks, strict=True):
+            if grid is None:
+                out.append(None)
+                continue
+            rgb = spectral.energy_picture(np.stack([np.asarray(r, dtype=float) for r in grid]))
+            h, w, _ = rgb.shape
+            for kind, x, y, bw, bh in own if own is not None else ():
+                rgb = spectral.draw_box(rgb, ((x - bw / 2) * w, (y - bh / 2) * h, (x + bw / 2) * w, (y + bh / 2) * h), (255, 64, 64) if kind == 0 else (64, 255, 255), dash=0 if kind == 0 else 3)
+            out.append(spectral.png(rgb))
+        return pd.Series(out)
+
+    return run(energy, corners)
+
+
+def contact_sheets(pictures: DataFrame, key: str, columns: int = 4) -> DataFrame:
+    """One sheet per key of energy maps of one size (column energy); sample the rows per key first, as a sheet has some dozens."""
+    ship(pictures.sparkSession)
+    schema = pictures.select(key).schema.add("sheet", "binary")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        drawn = [spectral.energy_picture(np.stack([np.asarray(r, dtype=float) for r in e])) for e in pdf["energy"]]
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "sheet": [spectral.png(spectral.contact_sheet(drawn, columns))]})
+
+    return pictures.select(key, "energy").groupBy(key).applyInPandas(run, schema)
+
+
 def strain_file(strain: Column) -> Column:
     """The bytes of a .npy file of 32-bit floats."""
 
