@@ -47,16 +47,19 @@ _NOISE_NAME = re.compile(
     re.I,
 )
 _HEADER_NAME = re.compile(r"(?:^|[\s_\-])(?:headers?|site-?head)(?=$|[\s_\-\d])", re.I)
+#: Names that only look like these: of layouts that have or lack a part, and of an article's own head.
+_NOT_NOISE_NAME = re.compile(r"\b(?:no|has|with|without|overflow)[-_][\w-]+|\b(?:article|post|entry|story|content|section)[-_]?head(?:er|ing|line)?\b", re.I)
 _NOISE_ROLES = _words("navigation banner complementary contentinfo search dialog alertdialog alert form menu menubar toolbar")
 _WHOLE = _words("html body main article")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "noise", "parent", "sum", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "noise", "own_noise", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool) -> None:
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, own_noise: bool) -> None:
+        self.tag, self.parent, self.own_noise = tag, parent, own_noise
+        self.noise = own_noise or (parent is not None and parent.noise)
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -76,7 +79,7 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     if names.get("role", "").lower() in _NOISE_ROLES:
         return True
-    name = f"{names.get('class', '')} {names.get('id', '')}"
+    name = _NOT_NOISE_NAME.sub(" ", f"{names.get('class', '')} {names.get('id', '')}")
     return bool(_NOISE_NAME.search(name)) or (not in_article and bool(_HEADER_NAME.search(name)))
 
 
@@ -141,7 +144,7 @@ def parse(html: str) -> Node:
                     if stack[k].tag == "head":
                         close(k)
                         break
-            node = Node(tag, open_node, open_node.noise or _is_noise(tag, attributes, article_depth > 0))
+            node = Node(tag, open_node, _is_noise(tag, attributes, article_depth > 0))
             open_node.children.append(node)
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
@@ -207,9 +210,27 @@ def measure(nodes: list[Node]) -> None:
             node.sum += max(child.density, 0.0) if isinstance(child, Node) else float(len("".join(child.split())))
 
 
+def _spare_whole_page_forms(nodes: list[Node]) -> None:
+    """A form around a headline, article or main part is the page itself, not a form in it."""
+    whole: set[int] = set()
+    for node in nodes:
+        if node.tag in ("article", "main", "h1"):
+            up = node.parent
+            while up is not None:
+                if up.tag == "form":
+                    whole.add(id(up))
+                up = up.parent
+    if whole:
+        for node in nodes:  # parents first
+            above = node.parent is not None and node.parent.noise
+            node.noise = above or (node.own_noise and id(node) not in whole)
+
+
 def content_roots(root: Node) -> list[Node]:
     """The subtree of the largest density sum; outside an article also what is as dense as the least dense node on its path to the body."""
     nodes = _order(root)
+    if any(n.tag == "form" for n in nodes):
+        _spare_whole_page_forms(nodes)
     measure(nodes)
     live = [n for n in nodes if not n.noise and n.chars]
     if not live:

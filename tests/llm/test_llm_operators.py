@@ -604,6 +604,10 @@ PAGES = [
     ("<body><div id=sidebar><ul><li><a>l1</a></ul></div><div class=post><p>A long paragraph about something, with words.</p><p>Another long paragraph about something else.</p></div><form>Name <input></form></body>", "A long paragraph about something, with words.\n\nAnother long paragraph about something else."),
     ("<article><p>kept<script>var a='</p>';</script></p><!-- not -- this --><style>p{}</style><p class='cookie-notice'>cookies</p></article>", "kept"),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
+    ("<body><div class='content no-sidebar overflow-hidden'><div class='entry-header'><h1>Title</h1></div><p>Some text of the entry, long enough.</p></div><div class='site-header'>Menu</div></body>", "Title\n\nSome text of the entry, long enough."),
+    ("<body><form action=/><main><h1>T</h1><p>Whole page in a form.</p><form><p>no</p></form></main></form></body>", "T\n\nWhole page in a form."),
+    ("<body><form><p>Your name</p></form></body>", ""),
+    ("<body><header><h1>Site</h1></header><main><p>Main text here.</p><section id='comments'><p>c1</p></section></main><div role='alert'>Notice</div></body>", "Main text here."),
     ("<article><p>a <b>bold <i>both</b> it</i></p><p title='x>y'>q</p></article>", "a bold both it\n\nq"),
 ]
 
