@@ -64,6 +64,31 @@ def coverage(pool: DataFrame, assignment: DataFrame, splits: tuple[str, ...], if
     return out.select("split", "ifo", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), F.coalesce("files", F.lit(0)).cast("bigint").alias("files"))
 
 
+def pool_rows(pool: DataFrame, assignment: DataFrame, listed: DataFrame | None = None, split: str | None = None) -> DataFrame:
+    """Pool rows with the split of their source group (one split's only, if named), without the listed segments.
+
+    The assignment has a row per source file, so Spark may well broadcast it.
+    """
+    rows = pool.join(assignment.select("grp", "split"), "grp")
+    if split is not None:
+        rows = rows.where(F.col("split") == split)
+    if listed is not None:
+        rows = not_listed(rows.withColumn("key", S.gps_key(F.col("ifo"), F.col("gps"))), listed, ["key"]).drop("key")
+    return rows
+
+
+def picked(wanted: DataFrame, candidates: DataFrame, keys: list[str], order: list[str], draw: Column) -> DataFrame:
+    """For each wanted row one of its key's candidates, evenly drawn with replacement; rows without any are left out.
+
+    Candidates are numbered per key; they are grid points of source files, some
+    millions a year of observation.
+    """
+    numbered = candidates.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    sizes = candidates.groupBy(*keys).agg(F.count("*").alias("__n"))
+    asked = wanted.join(sizes, keys).withColumn("__i", F.floor(draw * F.col("__n")).cast("int")).drop("__n")
+    return asked.join(numbered, [*keys, "__i"]).drop("__i")
+
+
 def uncovered(found: DataFrame) -> DataFrame:
     return found.where("rows = 0")
 

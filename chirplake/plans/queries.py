@@ -164,6 +164,26 @@ def prefetch_outcomes(spark, sf_dir):
     return groups.prefetch_outcomes(pool, pool.where("label in ('view', 'click')"), pool.where("label = 'error'"))
 
 
+@query(f"{_ASSIGN} SELECT p.ord, p.ifo, p.grp, a.split FROM gpool p JOIN assigned a ON p.grp = a.grp WHERE NOT EXISTS (SELECT 1 FROM gpool b WHERE b.label = 'error' AND b.ifo = p.ifo AND round(b.gps, 4) = round(p.gps, 4))")
+def pool_rows_by_split(spark, sf_dir):
+    pool = V.pool(spark, sf_dir)
+    listed = pool.where("label = 'error'").select(S.gps_key(F.col("ifo"), F.col("gps")).alias("key"))
+    return groups.pool_rows(pool, groups.assign_groups(groups.group_counts(pool)), listed).select("ord", "ifo", "grp", "split")
+
+
+@query(f"""{_ASSIGN}, grid AS (SELECT ifo, grp, fid * 4096 + 4 + k * 32.0::DOUBLE AS gps FROM (SELECT DISTINCT ifo, grp, fid FROM gpool), range(128) t(k)),
+  off AS (SELECT g.*, a.split FROM grid g JOIN assigned a ON a.grp = g.grp WHERE NOT EXISTS (SELECT 1 FROM gpool p WHERE p.ifo = g.ifo AND p.fid BETWEEN floor(g.gps / 4096) - 1 AND floor(g.gps / 4096) + 1 AND abs(p.gps - g.gps) < 8)),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY split, ifo ORDER BY grp, gps) - 1 AS i, count(*) OVER (PARTITION BY split, ifo) AS n FROM off), {SAMPLES},
+  asked AS (SELECT s.sample_id, s.split, s.detector, floor({u('offsource', 's.sample_id')} * z.n)::BIGINT AS i FROM sample s JOIN (SELECT DISTINCT split, ifo, n FROM numbered) z ON z.split = s.split AND z.ifo = s.detector WHERE realnoise)
+  SELECT q.sample_id, c.grp AS background_source_group, c.gps AS background_gps FROM asked q JOIN numbered c ON c.split = q.split AND c.ifo = q.detector AND c.i = q.i""")
+def background_pick(spark, sf_dir):
+    pool = V.pool(spark, sf_dir)
+    candidates = _offsource(spark, sf_dir).join(groups.assign_groups(groups.group_counts(pool)).select("grp", "split"), "grp")
+    wanted = V.samples(spark, sf_dir).where("noise_type = 'real_gwosc_offsource'").select("sample_id", "split", F.col("detector").alias("ifo"))
+    got = groups.picked(wanted, candidates, ["split", "ifo"], ["grp", "gps"], draws.u("offsource", F.col("sample_id")))
+    return got.select("sample_id", F.col("grp").alias("background_source_group"), F.col("gps").alias("background_gps"))
+
+
 # ----------------------------------------------------------------- pairs
 @query(f"WITH {Q.BASE}, {Q.POSITIVE} SELECT * FROM positives")
 def positive_pairs(spark, sf_dir):

@@ -68,3 +68,15 @@ def test_resumable_loop_appends_nothing_twice(spark, tmp_path):
         stream.resumable(source, str(tmp_path / f"check{n}"), done, ["k"], lambda rows: rows.withColumn("made", F.col("k") * 2), sink)
     got = sorted(r["k"] for r in spark.read.parquet(sink).collect())
     assert len(got) == len(set(got)) and set(got) >= {0, 1, 3, 4, 5}
+
+
+def test_pictures_join_their_labels(spark, tmp_path):
+    from chirplake.sources import catalog
+
+    for name in ("a", "b"):
+        (tmp_path / "pic/train/H1").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"pic/train/H1/{name}.png").write_bytes(b"png")
+    (tmp_path / "lab/train/H1").mkdir(parents=True)
+    (tmp_path / "lab/train/H1/a.txt").write_text("0 0.5 0.5 0.1 0.1\n1.0 0.5 0.5 0.1 0.1\nbroken\n")
+    got = lambda lenient: {r["sample_id"]: len(r["boxes"]) for r in catalog.labelled(catalog.read_pictures(spark, str(tmp_path / "pic")), catalog.read_labels(spark, str(tmp_path / "lab"), lenient)).collect()}
+    assert got(False) == {"a": 1, "b": 0} and got(True) == {"a": 2, "b": 0}
