@@ -196,3 +196,20 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float =
     out = every.join(links, "node", "left").join(labels, "node", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+#: All pairs, for tables of some thousand vectors.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+lowest AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, v.vec_id = root AS kept
+FROM v JOIN lowest ON lowest.id = v.vec_id LEFT JOIN counted ON counted.a = v.vec_id
+"""

@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": lines.LINES_SQL}
+    return {"op6_line_dedup": lines.LINES_SQL, "op9_embedding_dedup": embed_dedup.VECTORS_SQL}

@@ -579,6 +579,17 @@ def test_vectors_against_brute_force(spark):
     assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
 
 
+def test_vectors_sql(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((40, 16)), 5, axis=0) + rng.standard_normal((200, 16)) * 0.03
+    vectors = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id bigint, embedding array<float>")
+    vectors.write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = sorted(con.execute(embed_dedup.VECTORS_SQL).fetchall())
+    assert sum(w[1] for w in want) >= 800 and sorted(map(tuple, embed_dedup.similar_vectors(vectors).collect())) == want
+
+
 def test_vectors_in_tiny_tiles(spark):
     rng = np.random.default_rng(9)
     x = np.repeat(rng.standard_normal((6, 16)), 20, axis=0) + rng.standard_normal((120, 16)) * 0.01
