@@ -23,6 +23,8 @@ from chirplake.operators.scratch import saved
 
 #: Attempts of a range-predicate draw before the exact join.
 ATTEMPTS = 24
+#: Those of them that every anchor makes.
+FIRST_ATTEMPTS = 4
 #: Least overlap of similar frequencies.
 MIN_OVERLAP = 0.3
 #: Anchor numbers per block when pairs are numbered.
@@ -114,16 +116,29 @@ def pick(anchors: DataFrame, samples: DataFrame, kind: str) -> DataFrame:
 
 
 def _pick_by_range(asked: DataFrame, pool: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Draws over the whole pool until one overlaps enough; the exact range join for what no draw settles."""
-    tried = asked.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
-    tried = tried.withColumn("idx", F.floor(draws.u("similar_frequency", F.col("sample_id"), F.col("slot"), F.col("attempt")) * F.col("n")).cast("bigint"))
-    met = tried.join(_renamed(pool, keys), [*keys, "idx"]).where(_frequency_match())
-    w = Window.partitionBy("sample_id", "slot").orderBy("attempt")
-    found = met.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "attempt")
-    rest = asked.join(found.select("sample_id", "slot"), ["sample_id", "slot"], "left_anti")
+    """Draws over the whole pool until one overlaps enough; the exact range join for what no draw settles.
+
+    Most anchors settle within the first few attempts, so only the rest get the
+    others; the outcome is that of all attempts at once.
+    """
+    every = _renamed(pool, keys)
+
+    def attempts(rows: DataFrame, first: int, last: int) -> DataFrame:
+        tried = rows.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        tried = tried.withColumn("idx", F.floor(draws.u("similar_frequency", F.col("sample_id"), F.col("slot"), F.col("attempt")) * F.col("n")).cast("bigint"))
+        met = tried.join(every, [*keys, "idx"]).where(_frequency_match())
+        w = Window.partitionBy("sample_id", "slot").orderBy("attempt")
+        return met.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "attempt")
+
+    left_over = lambda rows, got: rows.join(got.select("sample_id", "slot"), ["sample_id", "slot"], "left_anti")
+    found = attempts(asked, 0, FIRST_ATTEMPTS - 1)
+    rest = left_over(asked, found)
+    more = attempts(rest, FIRST_ATTEMPTS, ATTEMPTS - 1)
+    rest = left_over(rest, more)
+    found = found.unionByName(more)
     octave = lambda lo, hi: F.sequence(F.floor(F.log2(lo) * 2).cast("int"), F.floor(F.log2(hi) * 2).cast("int"))
     left = rest.where("label_high >= label_low and label_low > 0").withColumn("__o", F.explode(octave(F.col("label_low"), F.col("label_high"))))
-    right = _renamed(pool, keys).where("c_label_high >= c_label_low and c_label_low > 0").withColumn("__o", F.explode(octave(F.col("c_label_low"), F.col("c_label_high"))))
+    right = every.where("c_label_high >= c_label_low and c_label_low > 0").withColumn("__o", F.explode(octave(F.col("c_label_low"), F.col("c_label_high"))))
     exact = left.join(right, [*keys, "__o"]).where(_frequency_match())
     first = F.row_number().over(Window.partitionBy("sample_id", "slot").orderBy("idx"))
     exact = exact.withColumn("__r", first).where("__r = 1").drop("__r", "__o")
