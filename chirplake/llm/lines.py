@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chirplake.llm.util import saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The bytes 0x20 and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -24,17 +26,18 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
     """The positions to drop: doc_id, positions array<int>, for the documents that lose lines.
 
     Lines explode to (doc_id, position, 128-bit hash); their texts never move.
-    The count of documents per hash is a grouped aggregate that is combined
+    These rows, which both sides of the join read, are written to the shared
+    scratch folder, so that the texts are read and hashed once. The count of documents per hash is a grouped aggregate that is combined
     before it moves, and so is the smallest document. With the threshold at two
     the smallest and largest doc_id tell as much as a distinct count. Only the
-    rows of repeated hashes come out of the join, whose two sides are shuffled on
-    the hash, so a line that a third of all rows hold is one that adaptive
-    execution splits.
+    rows of repeated hashes come out of the join. Its sides are plain tables that
+    are shuffled on the hash for it alone, which lets adaptive execution split a
+    line that a third of all rows hold (below an aggregate it could not).
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("position", "line"))
     keyed = lines.select("doc_id", "position", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     h1, h2 = _hashes(F.col("key"))
-    keyed = keyed.select("doc_id", "position", h1.alias("h1"), h2.alias("h2"))
+    keyed = saved(keyed.select("doc_id", "position", h1.alias("h1"), h2.alias("h2")), "lines")
     if min_docs <= 2:
         spread = F.min("doc_id") != F.max("doc_id") if min_docs == 2 else F.lit(True)
         repeated = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), spread.alias("often"))
@@ -42,7 +45,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
         # One row per document and hash first, so that the count is a plain sum.
         once = keyed.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         repeated = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), (F.sum("one") >= min_docs).alias("often"))
-    repeated = repeated.where("often").select("h1", "h2", "keeper")
+    repeated = saved(repeated.where("often").select("h1", "h2", "keeper"), "repeated")
     lost = keyed.join(repeated, ["h1", "h2"]).where("doc_id <> keeper")
     return lost.groupBy("doc_id").agg(F.collect_list("position").alias("positions"))
 
