@@ -131,8 +131,9 @@ def _pick_by_range(asked: DataFrame, pool: DataFrame, keys: tuple[str, ...]) ->
         return met.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "attempt")
 
     left_over = lambda rows, got: rows.join(got.select("sample_id", "slot"), ["sample_id", "slot"], "left_anti")
-    found = attempts(asked, 0, FIRST_ATTEMPTS - 1)
-    rest = left_over(asked, found)
+    asked = saved(asked, "asked")
+    found = saved(attempts(asked, 0, FIRST_ATTEMPTS - 1), "found")
+    rest = saved(left_over(asked, found), "rest")
     more = attempts(rest, FIRST_ATTEMPTS, ATTEMPTS - 1)
     rest = left_over(rest, more)
     found = found.unionByName(more)

@@ -191,7 +191,7 @@ def positive_pairs(spark, sf_dir):
 
 
 def _one(kind: str) -> Query:
-    return lambda spark, sf_dir: pairs.one_per_anchor(V.samples(spark, sf_dir), kind)
+    return lambda spark, sf_dir: pairs.one_per_anchor(samples_once(spark, sf_dir), kind)
 
 
 for _name, _kind in (
