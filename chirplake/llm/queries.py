@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.llm import bbpe, embed_dedup, html_density, lines, lm_score, packing, pjpeg, quality, simhash, warc
+from chirplake.llm import bbpe, embed_dedup, html_density, lines, packing, pjpeg, quality, simhash, warc, word_lm
 from chirplake.llm.util import join_checked, table
 
 #: Where the public vocabularies are.
@@ -28,8 +28,8 @@ def op3_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: all documents labelled good. Background: all documents."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    target = join_checked(docs.select("doc_id", "text"), good, ["doc_id"], "left_semi").select("text")
-    out = lm_score.cross_entropy_difference(docs, target, docs.select("text"))
+    marked = join_checked(docs.select("doc_id", "text"), good.withColumn("is_target", F.lit(True)), ["doc_id"], "left")
+    out = word_lm.word_cross_entropy_difference(marked)
     return out.select("doc_id", "n_tokens", F.round("score", 6).alias("score"))
 
 

@@ -1,0 +1,56 @@
+"""The word models of op3 against brute force."""
+
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chirplake.llm import queries, word_lm
+
+
+def brute(rows):
+    vocabulary, counts = set(), {True: (Counter(), Counter()), False: (Counter(), Counter())}
+    for _, text, target in rows:
+        words = ["", *word_lm.words_of(text or ""), ""]
+        vocabulary |= set(words)
+        for kind in {False, bool(target)}:
+            counts[kind][0].update(words[1:])
+            counts[kind][1].update(zip(words, words[1:], strict=False))
+
+    def loss(kind, u, w):
+        one, two = counts[kind]
+        p = (one[w] + 1) / (one.total() + len(vocabulary))
+        return -np.log2((two[u, w] + word_lm.PRIOR * p) / (one[u] + word_lm.PRIOR))
+
+    for i, text, _ in rows:
+        words = ["", *word_lm.words_of(text or ""), ""]
+        yield i, len(words) - 1, float(np.mean([loss(True, u, w) - loss(False, u, w) for u, w in zip(words, words[1:], strict=False)]))
+
+
+def test_words_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)] + ["é", ",", "漢字", "Don't"]
+    rows = [(int(k), " ".join(rng.choice(words, rng.integers(0, 40))), bool(k % 3 == 0)) for k in range(300)] + [(5, None, None), (None, "w1 w2", True), (None, "", False)]
+    want = sorted(brute(rows), key=str)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, is_target boolean").withColumn("other", F.lit(1))
+    for parts in (1, 7):
+        got = sorted(map(tuple, word_lm.word_cross_entropy_difference(docs.repartition(parts)).collect()), key=str)
+        assert len(got) == len(want)
+        for g, w in zip(sorted(got, key=lambda r: (str(r[0]), r[1])), sorted(want, key=lambda r: (str(r[0]), r[1])), strict=True):
+            assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-9)
+    assert word_lm.word_cross_entropy_difference(docs.limit(0)).count() == 0
+
+
+def test_topics_of_the_same_letters_are_told_apart(spark, tmp_path):
+    """Words of the two topics are made of the same byte trigrams; only counts of whole words tell the topics apart."""
+    rng = np.random.default_rng(7)
+    names = ["".join(p) for p in rng.permutation([a + b for a in ("abcab", "bcabc", "cabca") for b in ("abc", "bcabc", "cab", "abcabcabc", "bcab", "cabcabc")])]
+    names = sorted(set(names), key=names.index)
+    topics = names[: len(names) // 2], names[len(names) // 2 :]
+    docs = [(k, " ".join(rng.choice(topics[k % 2], 30)), "en", "s") for k in range(200)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(100)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in queries.op3_lm_cross_entropy(spark, str(tmp_path)).collect()}
+    unlabelled = range(100, 200)
+    assert max(got[k] for k in unlabelled if k % 2 == 0) < min(got[k] for k in unlabelled if k % 2) - 1
