@@ -58,27 +58,31 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle_words: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
     """doc_id, f0..f{words-1} (64 bits each, as signed bigint) and n_shingles of each row of ``docs``.
 
     A null text is an empty one; without words the fingerprint is zero. Whole
-    texts count, repeated shingles as often as they occur.
+    texts count, repeated shingles as often as they occur, or once if ``distinct``.
+    Then n_shingles is the size of the set, and ``node`` is a hash of the set.
     """
     names = [f"f{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((words, batch.num_rows), np.uint64)
-            sizes = np.zeros(batch.num_rows, np.int64)
+            sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
             for i, text in enumerate(utf8(batch.column(1))):
                 hashes = shingle_hashes(text or b"", shingle_words)
+                if distinct:
+                    hashes = np.unique(hashes)
+                    nodes[i] = xxhash.xxh64_intdigest(hashes.tobytes(), 42)
                 sizes[i] = len(hashes)
                 for k in range(words):
                     out[k, i] = majority(_mixed(hashes, k))
-            columns = [batch.column(0), *(pa.array(x.view(np.int64)) for x in out), pa.array(sizes)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "n_shingles"])
+            columns = [batch.column(0), *(pa.array(x.view(np.int64)) for x in out), pa.array(sizes), *([pa.array(nodes.view(np.int64))] if distinct else [])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "n_shingles", *(["node"] if distinct else [])])
 
-    schema = "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", n_shingles bigint"
+    schema = "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", n_shingles bigint" + (", node bigint" if distinct else "")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return bounded_batches(rows).mapInArrow(run, schema)
 
@@ -330,7 +334,7 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity
     unless each such row has a copy with a number. Null and empty texts form one
     group. The texts move only in the last join, a left-semi join on doc_id.
     """
-    prints = saved(fingerprints(docs, shingle_words, words), "fingerprints")
+    prints = saved(fingerprints(docs, shingle_words, words, distinct=True).drop("node"), "fingerprints")
     grouped = similar_groups(prints, words, radius_for(min_similarity, 64 * words), min_similarity)
     kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
