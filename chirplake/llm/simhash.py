@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ TILE_ROWS = (512, 65_536)
 BLOCK = 512
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8, dtype=np.int64) * 256)[None, :]
+#: Sizes of sets below which the differing bits are counted out.
+EXACT_SIZES = 64
 #: Odd multipliers and offsets that derive further hash words from the first (SplitMix64 finaliser, fixed values).
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
@@ -215,6 +219,47 @@ def _edge_kernel(words: int, radius: int, ratio: float):
     return run
 
 
+def _pair_kernel(limits: np.ndarray, ratio: float):
+    """Reads rows sorted by tile pair, one tile pair at a time; gives all pairs that may be similar but for those of one component."""
+    radius, last = int(limits.max()), len(limits) - 1
+
+    def compare(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, second, sizes, f, component = columns[1], columns[2].astype(bool), columns[3], np.stack(columns[4:-1]).view(np.uint64), columns[-1]
+        pop = np.bitwise_count(f).sum(0, dtype=np.int64)
+        alone = not second.any()
+        first_rows = np.flatnonzero(~second)
+        left = first_rows[np.argsort(pop[first_rows], kind="stable")]
+        right = left if alone else (r := np.flatnonzero(second))[np.argsort(pop[r], kind="stable")]
+        for s in range(0, len(left), BLOCK):
+            rows = left[s : s + BLOCK]
+            start = s if alone else int(np.searchsorted(pop[right], pop[rows[0]] - radius))
+            stop = int(np.searchsorted(pop[right], pop[rows[-1]] + radius, side="right"))
+            for t in range(start, stop, BLOCK):
+                columns_ = right[t : min(t + BLOCK, stop)]
+                i, j = _close(f[:, rows], f[:, columns_], sizes[rows], sizes[columns_], radius, ratio)
+                a, b = rows[i], columns_[j]
+                keep = component[a] != component[b]
+                a, b = a[keep], b[keep]
+                if len(a):
+                    keep = np.bitwise_count(f[:, a] ^ f[:, b]).sum(0, dtype=np.int64) <= limits[np.minimum(np.maximum(sizes[a], sizes[b]), last)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            cuts = [0, *(np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1).tolist()]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                yield from compare([c[s:e] for c in columns])
+            held = [c[cuts[-1] :] for c in columns]
+        if held is not None and len(held[0]):
+            yield from compare(held)
+
+    return run
+
+
 def _route(rows: DataFrame, tiles: DataFrame, neighbours: int) -> DataFrame:
     """Send each row (bucket, node, ...) to every pair of tiles that its tile takes part in.
 
@@ -243,7 +288,8 @@ def _route(rows: DataFrame, tiles: DataFrame, neighbours: int) -> DataFrame:
     return rows.withColumn("r", F.explode(routes))
 
 
-def _tile_edges(rows: DataFrame, words: int, radius: int, ratio: float, neighbours: bool, tile_rows: int | None) -> DataFrame:
+def _tile_edges(rows: DataFrame, words: int, radius: int, ratio: float, neighbours: bool, tile_rows: int | None, limits: np.ndarray | None = None) -> DataFrame:
+    """Forests over the pairs within the radius; with ``limits`` all pairs of different ``component`` within the limit of the larger size."""
     if tile_rows is None:
         # Within blocks: half of an even share of the rows, so that one tile pair is no more than a task's share.
         # Within bands: a fixed share, so that each row goes to as many tile pairs whatever the size of the input.
@@ -252,9 +298,10 @@ def _tile_edges(rows: DataFrame, words: int, radius: int, ratio: float, neighbou
     tiles = counts if neighbours else counts.where("m > 1")
     routed = _route(rows, tiles, neighbours)
     task = F.xxhash64("r.k1", "r.s1", "r.k2", "r.s2")
-    routed = routed.select(task.alias("task"), "node", F.col("r.second").cast("int").alias("second"), "n_shingles", *[f"f{k}" for k in range(words)])
+    routed = routed.select(task.alias("task"), "node", F.col("r.second").cast("int").alias("second"), "n_shingles", *[f"f{k}" for k in range(words)], *(["component"] if limits is not None else []))
     placed = routed.repartition(shuffle_partitions(rows), "task").sortWithinPartitions("task")
-    return placed.mapInArrow(_edge_kernel(words, radius, ratio), "a bigint, b bigint")
+    kernel = _edge_kernel(words, radius, ratio) if limits is None else _pair_kernel(limits, ratio)
+    return placed.mapInArrow(kernel, "a bigint, b bigint")
 
 
 def similar_groups(prints: DataFrame, words: int = 1, radius: int = 3, min_size_ratio: float = 0.0, tile_rows: int | None = None) -> DataFrame:
@@ -325,22 +372,106 @@ def simhash_groups(docs: DataFrame, shingle_words: int = 3, radius: int = 3) ->
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity: float = 0.8, words: int = 4) -> DataFrame:
     """Keep one row of each group of near-duplicates: that of the smallest doc_id. Columns stay as they are.
 
-    Rows are linked if their fingerprints of ``words`` times 64 bits, over
-    ``shingle_words``-word shingles, differ in at most as many bits as stand for a
-    Jaccard similarity of ``min_similarity`` (with one standard error of room, so
-    that most pairs at the threshold are found; see :func:`radius_for`), and if
-    their numbers of shingles allow that similarity. Rows that repeat a doc_id
-    count as one document and one of them stays. Rows with a null doc_id stay
-    unless each such row has a copy with a number. Null and empty texts form one
-    group. The texts move only in the last join, a left-semi join on doc_id.
+    Rows are linked if the sets of their ``shingle_words``-word shingles have a
+    Jaccard similarity of ``min_similarity`` or more. Fingerprints of ``words``
+    times 64 bits over those sets only pick the candidates (see
+    :func:`candidate_limits`); each candidate pair is then tested on the sets
+    themselves, so no link is false, and a pair at the threshold is missed about
+    once in four thousand. Null and empty texts form one group.
+
+    Rows that repeat a doc_id count as one document and one of them stays.
+    """
+    number, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    row = F.xxhash64(number.isNull(), number, text.isNull(), text)
+    keyed = docs.withColumn("__row", row)
+    texts = keyed.select(F.col("__row").alias("row"), text.alias("text"), number.alias("doc_id"))
+    # The fingerprints carry the row's key; doc_id follows from it.
+    prints = fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), shingle_words, words, distinct=True).withColumnRenamed("doc_id", "row")
+    prints = saved(prints.join(texts.select("row", "doc_id").distinct(), "row"), "fingerprints")
+    labels = verified_groups(prints, texts, shingle_words, words, min_similarity)
+    grouped = prints.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "node", "row")
+    kept = saved(grouped.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.row").alias("__row")), "kept")
+    out = keyed.join(kept, "__row", "left_semi")
+    if not prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(*docs.columns)
+
+
+def verified_groups(prints: DataFrame, texts: DataFrame, shingle_words: int, words: int, min_similarity: float) -> DataFrame:
+    """node, component of all sets that are linked by a Jaccard similarity of ``min_similarity`` or more.
+
+    First the spanning forests of pairs whose fingerprints are very close are
+    tested, so that a large group of near copies becomes one without all of its
+    pairs. Then every candidate pair of two different groups is tested.
+    """
+    names = [f"f{k}" for k in range(words)]
+    nodes = saved(prints.groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), *[F.first(n).alias(n) for n in names]), "nodes")
+    band = F.floor(F.log(F.greatest(F.col("n_shingles"), F.lit(1)).cast("double")) / F.lit(-float(np.log(min_similarity))) + F.lit(1e-9)).cast("bigint")
+    banded = nodes.withColumn("bucket", band)
+    close = radius_for((1 + min_similarity) / 2, 64 * words)
+    sure = saved(similar_pairs(_tile_edges(banded.drop("row"), words, close, min_similarity, True, None), nodes, texts, shingle_words, min_similarity), "links")
+    labels = saved(connected_components(sure), "labels")
+    apart = banded.drop("row").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    limits = candidate_limits(min_similarity, 64 * words)
+    rest = similar_pairs(_tile_edges(apart, words, int(limits.max()), min_similarity, True, None, limits), nodes, texts, shingle_words, min_similarity)
+    return connected_components(sure.unionByName(rest))
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle_words: int, min_similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have at least the given Jaccard similarity."""
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(nodes.select("node", "row"), "node").select("a", "b", "row")
+    used = texts.select("row", "text").join(ends.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    both = ends.join(used, "row").select("a", "b", "text")
+    tasks = shuffle_partitions(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int, np.ndarray] | None = None
+        for batch in batches:
+            found = []
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                own = np.unique(shingle_hashes(text or b"", shingle_words))
+                if held is None or held[:2] != (a, b):
+                    held = (a, b, own)
+                    continue
+                shared = len(np.intersect1d(held[2], own, assume_unique=True))
+                if shared >= min_similarity * (len(own) + len(held[2]) - shared) * (1 - 1e-12):
+                    found.append((a, b))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    placed = bounded_batches(both).repartition(tasks, "a", "b").sortWithinPartitions("a", "b")
+    return placed.mapInArrow(run, "a bigint, b bigint")
+
+
+@functools.lru_cache(maxsize=8)
+def candidate_limits(similarity: float, bits: int, errors: float = 3.5) -> np.ndarray:
+    """By the size of the larger set (the last entry for all beyond), the differing bits of a pair at least so similar, plus ``errors`` standard errors.
+
+    A bit is the majority of as many coins as there are shingles. For small sets
+    the share of bits that differ is counted out over all sizes and overlaps the
+    similarity allows, as ties weigh much there; for large ones it is the angle.
     """
-    prints = saved(fingerprints(docs, shingle_words, words, distinct=True).drop("node"), "fingerprints")
-    grouped = similar_groups(prints, words, radius_for(min_similarity, 64 * words), min_similarity)
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    if prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id"])
+    def more_than(n: int) -> np.ndarray:
+        """P(at least k heads of n) for k = 0..n+1."""
+        p = np.array([comb(n, k) for k in range(n + 1)], float) / 2.0**n
+        return np.r_[np.cumsum(p[::-1])[::-1], 0.0]
+
+    def differ(a: int, b: int, c: int) -> float:
+        both = np.array([comb(c, k) for k in range(c + 1)], float) / 2.0**c
+        one = lambda n: more_than(n - c)[np.clip(n // 2 + 1 - np.arange(c + 1), 0, n - c + 1)]
+        x, y = one(a), one(b)
+        return float((both * (x * (1 - y) + y * (1 - x))).sum())
+
+    shares = np.zeros(EXACT_SIZES + 1)
+    for b in range(1, EXACT_SIZES):
+        for a in range(ceil(similarity * b - 1e-9), b + 1):
+            c = ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            shares[b] = max([shares[b], *(differ(a, b, x) for x in range(c, a + 1))])
+    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    shares[-1] = max(angle, shares[EXACT_SIZES // 2 : -1].max())
+    return (bits * shares + errors * np.sqrt(bits * shares * (1 - shares))).astype(np.int64)
 
 
 def radius_for(similarity: float, bits: int) -> int:
