@@ -379,7 +379,10 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity
     themselves, so no link is false, and a pair at the threshold is missed about
     once in four thousand. Null and empty texts form one group.
 
-    Rows that repeat a doc_id count as one document and one of them stays.
+    Each row is a document of its own. In a group rows with a number come before
+    those without, numbers that only one set has before those that several have,
+    then the smallest doc_id, set and text. Of rows that repeat a doc_id and are
+    each kept by their group, one stays; null doc_ids are no such repeats.
     """
     number, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
     row = F.xxhash64(number.isNull(), number, text.isNull(), text)
@@ -390,11 +393,14 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, min_similarity
     prints = saved(prints.join(texts.select("row", "doc_id").distinct(), "row"), "fingerprints")
     labels = verified_groups(prints, texts, shingle_words, words, min_similarity)
     grouped = prints.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    order = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "node", "row")
-    kept = saved(grouped.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.row").alias("__row")), "kept")
+    repeated = saved(prints.where("doc_id is not null").groupBy("doc_id").agg(F.countDistinct("node").alias("sets")).where("sets > 1").select("doc_id", F.lit(True).alias("again")), "repeated")
+    order = F.struct(F.col("doc_id").isNull().alias("unnumbered"), F.coalesce("again", F.lit(False)).alias("again"), "doc_id", "node", "row")
+    kept = grouped.join(repeated, "doc_id", "left").groupBy("component").agg(F.min(order).alias("k")).select("k.*")
+    once = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("node", "row")).alias("k")).select("k.row")
+    kept = saved(once.unionByName(kept.where("doc_id is null").select("row")).withColumnRenamed("row", "__row"), "kept")
     out = keyed.join(kept, "__row", "left_semi")
-    if not prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    if not prints.groupBy("row").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["__row"])
     return out.select(*docs.columns)
 
 

@@ -61,3 +61,12 @@ def test_repeated_texts_are_copies(spark):
     rows = [(1, text), (2, f"{text} {text}"), (3, " ".join([text] * 5)), (4, "tick tock " * 40 + "over"), (5, "tick tock " * 400 + "over")]
     got = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1, 4}
+
+
+def test_null_and_repeated_numbers(spark):
+    """Rows without a number are documents of their own, also when a number is repeated elsewhere; no text is lost for a copy."""
+    long = lambda name: " ".join(f"{name}{k}" for k in range(100))
+    rows = [(None, long("a")), (None, long("b")), (None, long("c")), (None, long("c")), (1, long("d")), (7, long("d")), (7, long("e")), (8, long("f")), (8, long("f")), (None, long("f"))]
+    for parts in (1, 5):
+        got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)).collect()
+        assert sorted(((r["doc_id"], r["text"].split()[0]) for r in got), key=str) == sorted([(1, "d0"), (7, "e0"), (8, "f0"), (None, "a0"), (None, "b0"), (None, "c0")], key=str)
