@@ -39,48 +39,71 @@ _ENDS = {
     "th": (_words("td th"), _words("table tr")),
     "option": (_words("option"), _words("select datalist")),
 }
-#: Words of a class, id or role that mark what is not main text.
-_NOISE_NAME = re.compile(
-    r"(?:^|[\s_\-:.])(?:ads?|advert\w*|adsense|banners?|sponsor\w*|promos?|promotions?|sidebars?|side-?bar|menus?|nav|navs|navbar|navigation|breadcrumbs?|footers?|masthead|topbar|toolbars?|"
-    r"cookies?\w*|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscri\w+|signup|sign-up|login|log-in|paywall|share|sharing|social|"
-    r"comments?|commentlist|comment\w*|disqus\w*|replies|respond|related|recommend\w*|widgets?|paginat\w*|pager|search\w*|skip\w*|hidden|visually-hidden|sr-only|complementary|contentinfo|dialog)(?=$|[\s_\-:.\d])",
-    re.I,
+#: Parts of a class or id that mark what is not main text, if all other parts only say where or what kind of box it is.
+_NOISE_PART = re.compile(
+    r"ads?|advert(?:s|isements?|ising)?|adsense|banners?|sponsor(?:s|ed)?|promos?|promotions?|sidebars?|menus?|navs?|navbar|navigation|breadcrumbs?|footers?|masthead|topbar|toolbars?|"
+    r"cookies?(?:bar|banner|notice|consent)?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscri(?:be|ptions?)|signup|login|paywall|share|sharing|social|"
+    r"comments?|comment(?:list|form)|disqus|replies|respond|related|recommend(?:ed|ations?)?|widgets?|pagination|paginator|pager|search(?:bar|box|form)?|skip(?:link|nav)?|hidden|complementary|contentinfo|dialog",
 )
-_HEADER_NAME = re.compile(r"(?:^|[\s_\-])(?:headers?|site-?head)(?=$|[\s_\-\d])", re.I)
-#: Names that only look like these: of layouts that have or lack a part, and of an article's own head.
-_NOT_NOISE_NAME = re.compile(r"\b(?:no|has|with|without|overflow)[-_][\w-]+|\b(?:article|post|entry|story|content|section)[-_]?head(?:er|ing|line)?\b", re.I)
+_BOX_PARTS = _words(
+    "site page main top bottom left right upper lower primary secondary global mobile desktop sticky fixed side bar container wrapper wrap box area section block inner outer "
+    "list item items link links button buttons icon icons form field panel group row column col text title heading header content thread count unit slot media nav"
+)
+_ARTICLE_PARTS = _words("post posts article articles entry story stories blog user reader news")
+#: Names whose parts say nothing by themselves.
+_NOISE_TOKENS = _words("side-bar visually-hidden sr-only sign-up log-in")
+_HEADER_PARTS = _words("header headers")
+_HEADINGS = _words("h1 h2 h3 h4 h5 h6")
 _NOISE_ROLES = _words("navigation banner complementary contentinfo search dialog alertdialog alert form menu menubar toolbar")
 _WHOLE = _words("html body main article")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "noise", "own_noise", "parent", "sum", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "named", "noise", "own_noise", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, own_noise: bool) -> None:
-        self.tag, self.parent, self.own_noise = tag, parent, own_noise
+    def __init__(self, tag: str, parent: Node | None, own_noise: bool, named: bool = False) -> None:
+        self.tag, self.parent, self.own_noise, self.named = tag, parent, own_noise, named
         self.noise = own_noise or (parent is not None and parent.noise)
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in NOISE or (tag == "header" and not in_article):
+def _marks_noise(token: str, in_article: bool) -> bool:
+    """Whether a whole class or id token names what is not main text; a slug or the name of a layout does not."""
+    if token in _NOISE_TOKENS:
         return True
+    parts = [p for p in re.split(r"[_\-:.]+", token) if p and not p.isdigit()]
+    parts = [p.rstrip("0123456789") or p for p in parts]
+    noise = [_NOISE_PART.fullmatch(p) is not None for p in parts]
+    if any(noise):
+        return all(n or p in _BOX_PARTS or p in _ARTICLE_PARTS for n, p in zip(noise, parts, strict=True))
+    if in_article or token == "site-head":
+        return not in_article
+    return any(p in _HEADER_PARTS for p in parts) and all(p in _HEADER_PARTS or (p in _BOX_PARTS and p not in ("content", "section")) for p in parts)
+
+
+def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no main text, and whether only its names say so."""
+    if tag in NOISE or (tag == "header" and not in_article):
+        return True, False
     if not attributes or attributes.isspace():
-        return False
+        return False, False
     names: dict[str, str] = {}
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         names.setdefault(key.lower(), a or b or c)
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(names.get("style", "")):
-        return True
+        return True, False
     if tag in _WHOLE:
-        return False
+        return False, False
     if names.get("role", "").lower() in _NOISE_ROLES:
-        return True
-    name = _NOT_NOISE_NAME.sub(" ", f"{names.get('class', '')} {names.get('id', '')}")
-    return bool(_NOISE_NAME.search(name)) or (not in_article and bool(_HEADER_NAME.search(name)))
+        return True, False
+    tokens = names.get("class", "").lower().split()
+    if tag not in _HEADINGS:  # a heading's id is a slug of its text
+        tokens += names.get("id", "").lower().split()
+    named = any(_marks_noise(t, in_article) for t in tokens)
+    return named, named
 
 
 def parse(html: str) -> Node:
@@ -144,7 +167,7 @@ def parse(html: str) -> Node:
                     if stack[k].tag == "head":
                         close(k)
                         break
-            node = Node(tag, open_node, _is_noise(tag, attributes, article_depth > 0))
+            node = Node(tag, open_node, *_is_noise(tag, attributes, article_depth > 0))
             open_node.children.append(node)
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
@@ -226,11 +249,39 @@ def _spare_whole_page_forms(nodes: list[Node]) -> None:
             node.noise = above or (node.own_noise and id(node) not in whole)
 
 
+def _spare_named(nodes: list[Node]) -> None:
+    """An element that only its names mark is kept if it holds the article, or else the headline, or without either most of the text outside links."""
+    for node in nodes:  # parents first; noise by other signs alone
+        node.noise = (node.own_noise and not node.named) or (node.parent is not None and node.parent.noise)
+    live = [n for n in _page_order(nodes[0]) if not n.noise]
+    spared: set[int] = set()
+    mark = next((n for n in live if n.tag in ("article", "main")), None) or next((n for n in live if n.tag == "h1"), None)
+    if mark is not None:
+        while mark is not None:
+            spared.add(id(mark))
+            mark = mark.parent
+    else:
+        text: dict[int, int] = {}
+        for node in reversed(nodes):
+            if not node.noise and node.tag != "a":
+                text[id(node)] = sum(len("".join(c.split())) if isinstance(c, str) else text.get(id(c), 0) for c in node.children)
+        spared = {i for i, n in text.items() if 2 * n > text[id(nodes[0])]}
+    for node in nodes:
+        node.named = node.named and id(node) not in spared
+        own = node.noise if not node.named else True
+        node.noise = own or (node.parent is not None and node.parent.noise)
+
+
 def content_roots(root: Node) -> list[Node]:
     """The subtree of the largest density sum; outside an article also what is as dense as the least dense node on its path to the body."""
     nodes = _order(root)
     if any(n.tag == "form" for n in nodes):
         _spare_whole_page_forms(nodes)
+        for node in nodes:
+            if not node.named:
+                node.own_noise = node.own_noise and not (node.tag == "form" and not node.noise)
+    if any(n.named for n in nodes):
+        _spare_named(nodes)
     measure(nodes)
     live = [n for n in nodes if not n.noise and n.chars]
     if not live:
