@@ -42,9 +42,25 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._known: dict[str, bytes] = {"": b""}
+        added = self._tokenizer.get_added_tokens_decoder()
+        self._added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        self._splits = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Per text its little-endian unsigned 32-bit ids, without the end id."""
+        """Per text its little-endian unsigned 32-bit ids, without the end id.
+
+        A literal added token, such as <|endoftext|>, is its own id, and the texts
+        around it are tokenised apart, as the library does.
+        """
+        if self._splits is None or not any(a in t for t in texts for a in self._added):
+            yield from self._plain_ids(texts)
+            return
+        parts = [self._splits.split(t) for t in texts]  # added tokens are at the odd places
+        plain = self._plain_ids([p for some in parts for p in some[::2]])
+        for some in parts:
+            yield b"".join(self._added[p] if k % 2 else next(plain) for k, p in enumerate(some))
+
+    def _plain_ids(self, texts: list[str]) -> Iterator[bytes]:
         known = self._known
         if len(known) > CACHE_WORDS:
             known.clear()
