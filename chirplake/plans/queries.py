@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.config import DEFAULT, DETECTORS, SPLITS, DatasetConfig
+from chirplake.config import DEFAULT, DETECTORS, SPLITS
 from chirplake.functions import draws
 from chirplake.functions import scalars as S
 from chirplake.operators import arrays as A
@@ -514,35 +514,31 @@ def chirp_track(spark, sf_dir):
     return synthesis.tracks(V.series(spark, sf_dir), "id", "x", 64.0).select("id", *six("t_start", "t_end", "f_low", "f_high"))
 
 
-#: A small picture and rate keep a sample at some milliseconds.
-_SMALL = DatasetConfig(duration=1.0, injection_min=0.3, injection_max=0.9, sample_rate=2048, image_width=32, image_height=32)
-
-
 def _numbers(spark, sf_dir):
-    return V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("num"))
+    return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("num"))
 
 
 @query()
 def inject_snr(spark, sf_dir):
-    """The SNR that injections reach against what was asked for, per event of the customer table."""
-    m = synthesis.build_samples(_numbers(spark, sf_dir), _SMALL).where("has_chirp = 1")
+    """The SNR that injections reach against what was asked for, per event of the orders table."""
+    m = synthesis.build_samples(_numbers(spark, sf_dir), DEFAULT).where("has_chirp = 1")
     return m.select("sample_id", *six("target_snr", "detector_snr", "network_snr"), "snr_bin")
 
 
 @query()
 def synth_noise_stats(spark, sf_dir):
-    m = synthesis.build_samples(_numbers(spark, sf_dir), _SMALL)
+    m = synthesis.build_samples(_numbers(spark, sf_dir), DEFAULT)
     return m.groupBy("split", "detector", "global_class").agg(F.count("*").alias("n"), F.round(F.avg("energy_peak"), 4).alias("mean_peak"), F.sum("num_boxes").alias("boxes"))
 
 
 @query()
 def sample_table_build(spark, sf_dir):
-    return synthesis.build_samples(_numbers(spark, sf_dir), _SMALL).drop("boxes")
+    return synthesis.build_samples(_numbers(spark, sf_dir), DEFAULT).drop("boxes")
 
 
 @query()
 def event_table_build(spark, sf_dir):
-    return synthesis.event_table(synthesis.build_samples(_numbers(spark, sf_dir), _SMALL))
+    return synthesis.event_table(synthesis.build_samples(_numbers(spark, sf_dir), DEFAULT))
 
 
 @query(f"WITH {POOL} SELECT ifo, fid, count(*) AS n FROM gpool GROUP BY ifo, fid")
