@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chirplake.operators.scratch import forget, saved, scratch_root
 from chirplake.ship import ship
 
-__all__ = ["bounded_batches", "forget", "grouped", "join_checked", "saved", "scratch_root", "shuffle_partitions", "table", "utf8"]
+__all__ = ["bounded_batches", "forget", "grouped", "join_checked", "saved", "scratch_root", "shuffle_partitions", "table", "unused", "utf8"]
 
 #: Largest number of key rows that :func:`join_checked` broadcasts.
 BROADCAST_ROWS = 500_000
@@ -45,6 +45,18 @@ def join_checked(df: DataFrame, keys: DataFrame, on: list[str], how: str, limit:
     return df.join(keys, on, how)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, lengthened until ``df`` has none of them, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"  # noqa: PLW2901
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, None for null."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
