@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from html import unescape
 
@@ -13,14 +14,19 @@ from pyspark.sql import functions as F
 
 from chirplake.llm.util import bounded_batches
 
-_TOKEN = re.compile(
-    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?](?!--)[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<""",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A start tag as it is mostly written: its name, its attributes and whether a slash ends it. It never looks beyond the next "<".
+_START = re.compile(r"""<([a-zA-Z][^\s/><]*+)((?:\s++[^\s=/>"'<]++(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=]++))?+)*+\s*+(/?+))>""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRIBUTE_NAME = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(\s*+=\s*+)?+")
+_BARE = re.compile(r"[^\s>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+#: A decimal character reference of more digits than any character needs.
+_LONG_NUMBER = re.compile(r"&#0*+([0-9]{8,});?")
 _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 RAW = _words("script style textarea title xmp iframe noembed noframes")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 #: Elements that begin a block of text of their own.
 BLOCKS = _words(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -60,11 +66,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "named", "noise", "own_noise", "parent", "sum", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "in_link", "link_chars", "link_tags", "named", "noise", "own_noise", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, own_noise: bool, named: bool = False) -> None:
         self.tag, self.parent, self.own_noise, self.named = tag, parent, own_noise, named
         self.noise = own_noise or (parent is not None and parent.noise)
+        self.in_link = tag == "a" or (parent is not None and parent.in_link)
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -84,15 +91,12 @@ def _marks_noise(token: str, in_article: bool) -> bool:
     return any(p in _HEADER_PARTS for p in parts) and all(p in _HEADER_PARTS or (p in _BOX_PARTS and p not in ("content", "section")) for p in parts)
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+def _is_noise(tag: str, names: dict[str, str], in_article: bool) -> tuple[bool, bool]:
     """Whether an element is no main text, and whether only its names say so."""
     if tag in NOISE or (tag == "header" and not in_article):
         return True, False
-    if not attributes or attributes.isspace():
+    if not names:
         return False, False
-    names: dict[str, str] = {}
-    for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        names.setdefault(key.lower(), a or b or c)
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(names.get("style", "")):
         return True, False
     if tag in _WHOLE:
@@ -106,140 +110,226 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return named, named
 
 
-def parse(html: str) -> Node:
-    """A tree of elements and texts, with the ends that HTML lets authors leave out."""
-    root = Node("#root", None, False)
-    at, open_node, article_depth = 0, root, 0
-    stack = [root]
+class _Scanner:
+    """Tags of a page from left to right. Whatever the page, no character is looked at more than a few times."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self._last = {c: html.rfind(c) for c in "\"'>"}
+
+    def start_tag(self, at: int) -> tuple[str, dict[str, str], bool, int] | None:
+        """Name, attributes, whether a slash ends it, and end of the start tag at ``at``; None if it never ends."""
+        if (found := _START.match(self.html, at)) is not None:
+            names: dict[str, str] = {}
+            if found.end(1) < found.end(2):
+                for key, a, b, c in _ATTRIBUTE.findall(found[2]):
+                    names.setdefault(key.lower(), a or b or c)
+            return found[1].lower(), names, bool(found[3]), found.end()
+        html, names = self.html, {}
+        name = _NAME.match(html, at + 1)
+        place = name.end()
+        while place <= self._last[">"]:
+            key = _ATTRIBUTE_NAME.match(html, place)
+            if key is None:
+                end = html.find(">", place)
+                return name[0].lower(), names, html[end - 1] == "/", end + 1
+            place, value = key.end(), ""
+            if key[2] is not None and place < len(html):
+                quote = html[place]
+                if quote in "\"'" and place < self._last[quote]:
+                    end = html.index(quote, place + 1)
+                    value, place = html[place + 1 : end], end + 1
+                elif quote in "\"'":  # it is never closed: the tag ends where it can
+                    place = html.find(">", place)
+                    if place < 0:
+                        return None
+                else:
+                    bare = _BARE.match(html, place)
+                    value, place = bare[0], bare.end()
+            names.setdefault(key[1].lower(), value)
+        return None
+
+    def after(self, at: int) -> int:
+        """The place after the next ">", or -1."""
+        return self.html.find(">", at) + 1 or -1 if at <= self._last[">"] else -1
+
+
+class _Stack:
+    """Open elements, with the places of each tag and of the blocks, so that no tag needs a search of all of them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # elements of BLOCKS
+        self.walls: list[int] = []  # those of them but for p
+        self.articles = 0
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def push(self, node: Node) -> None:
+        place, tag = len(self.nodes), node.tag
+        self.nodes.append(node)
+        self.places.setdefault(tag, []).append(place)
+        if tag in BLOCKS:
+            self.blocks.append(place)
+            if tag != "p":
+                self.walls.append(place)
+        self.articles += tag in ("article", "main")
+
+    def close(self, to: int) -> None:
+        """Close the element at place ``to`` and all within it."""
+        while len(self.nodes) > to:
+            node, place = self.nodes.pop(), len(self.nodes)
+            self.places[node.tag].pop()
+            for some in (self.blocks, self.walls):
+                if some and some[-1] == place:
+                    some.pop()
+            self.articles -= node.tag in ("article", "main")
+
+    def make_room(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends."""
+        if tag in _CLOSES_P and self.blocks and self.nodes[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in _ENDS:
+            ends, within = _ENDS[tag]
+            wall = max(map(self.last, within))
+            inside = [places[bisect(places, wall)] for t in ends if (places := self.places.get(t)) and places[-1] > wall]
+            if inside:
+                self.close(min(inside))
+        if tag in BLOCKS and tag not in ("head", "html") and (head := self.last("head")):
+            self.close(head)
 
-    def close(to: int) -> None:
-        nonlocal open_node, article_depth
-        for gone in stack[to:]:
-            article_depth -= gone.tag in ("article", "main")
-        del stack[to:]
-        open_node = stack[-1]
 
+def parse(html: str) -> Node:
+    """A tree of elements and texts, with the ends that HTML lets authors leave out; in time proportional to the page, whatever it holds."""
+    root = Node("#root", None, False)
+    stack, scanner, at = _Stack(root), _Scanner(html), 0
     while True:
-        found = _TOKEN.search(html, at)
-        if found is None:
-            if at < len(html):
-                open_node.children.append(html[at:])
-            return root
-        begin = found.start()
+        begin = html.find("<", at)
+        if begin < 0:
+            begin = len(html)
+        here = stack.nodes[-1]
         if begin > at:
-            open_node.children.append(html[at:begin])
-        at = found.end()
-        end, start, attributes = found.group(1), found.group(2) or found.group(4), found.group(3) or found.group(5) or ""
-        if end is not None:
-            tag = end.lower()
+            here.children.append(html[at:begin])
+        if begin == len(html):
+            return root
+        following = html[begin + 1 : begin + 2]
+        if following == "!" or following == "?":
+            if html.startswith("<!--", begin):
+                short = 5 if html.startswith("<!-->", begin) else 6 if html.startswith("<!--->", begin) else 0
+                end = None if short else _COMMENT_END.search(html, begin + 4)
+                at = begin + short if short else end.end() if end else len(html)
+            else:
+                at = scanner.after(begin)
+                if at < 0:
+                    return root
+        elif following == "/" and html[begin + 2 : begin + 3].isalpha() and html[begin + 2].isascii():
+            at = scanner.after(begin)
+            if at < 0:  # nor does any later tag end: the rest is text
+                here.children.append(html[begin:])
+                return root
+            tag = _NAME.match(html, begin + 2)[0].lower()
             if tag == "br":
-                open_node.children.append(Node("br", open_node, False))
+                here.children.append(Node("br", here, False))
+            elif (place := stack.last(tag)) and (tag in BLOCKS or not stack.walls or stack.walls[-1] < place):  # the end of an inline element does not end blocks
+                stack.close(place)
+        elif following.isalpha() and following.isascii():
+            found = scanner.start_tag(begin)
+            if found is None:
+                here.children.append(html[begin:])
+                return root
+            tag, names, slash, at = found
+            if tag in ("html", "body") and stack.last(tag):
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS and stack[k].tag != "p":
-                    break  # the end of an inline element does not end blocks
-        elif start is not None:
-            tag = start.lower()
-            if tag in ("html", "body") and any(n.tag == tag for n in stack):
-                continue
-            if tag in _CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                    if stack[k].tag in BLOCKS:
-                        break
-            if tag in _ENDS:
-                ends, within = _ENDS[tag]
-                cut = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in within:
-                        break
-                    if stack[k].tag in ends:
-                        cut = k
-                if cut:
-                    close(cut)
-            if tag == "body" or (tag not in ("head", "html") and tag in BLOCKS):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "head":
-                        close(k)
-                        break
-            node = Node(tag, open_node, *_is_noise(tag, attributes, article_depth > 0))
-            open_node.children.append(node)
+            stack.make_room(tag)
+            here = stack.nodes[-1]
+            node = Node(tag, here, *_is_noise(tag, names, stack.articles > 0))
+            here.children.append(node)
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
+                stop = _RAW_END[tag].search(html, at)
                 inner = html[at : stop.start()] if stop else html[at:]
                 if tag in ("title", "textarea"):
                     node.children.append(inner)
-                if stop is None:
-                    return root
-                at = html.find(">", stop.end())
+                at = scanner.after(stop.end()) if stop else -1
                 if at < 0:
                     return root
-                at += 1
-            elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCKS and node.noise):
-                stack.append(node)
-                open_node = node
-                article_depth += tag in ("article", "main")
-        elif found.group() == "<":
-            open_node.children.append("<")
+            elif tag not in VOID and not (slash and tag not in BLOCKS and node.noise):
+                stack.push(node)
+        else:
+            here.children.append("<")
+            at = begin + 1
 
 
 def _order(root: Node) -> list[Node]:
-    """All nodes, parents first, without recursion."""
+    """All nodes in page order, so parents first, without recursion."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        todo.extend(c for c in node.children if isinstance(c, Node))
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return out
 
 
+def _visible(text: str) -> int:
+    return len("".join(text.split()))
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite text density: characters per tag, times a logarithm of how few of the characters and tags are links.
+
+    The logarithm's base grows with the link text and, by ``ratio``, the page's
+    share of link characters, with all characters. Counts of zero are one.
+    """
+    t, lc, lt = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - link_chars, 1) * lc + ratio * chars + math.e)
+    return chars / t * math.log(chars / lc * t / lt) / math.log(base)
+
+
 def measure(nodes: list[Node]) -> None:
-    """Counts of characters, tags, link characters and link tags, then densities and their sums; noise counts nothing.
+    """Counts of characters, tags, link characters and link tags of all nodes (parents first), then densities and their sums; noise counts nothing.
 
-    The density of a node is its characters per tag, adjusted by links: a
-    logarithm of (characters / link characters) times (tags / link tags), to a
-    base that grows with the node's share of link text and the whole page's.
-    The sum of a node adds the densities of its children; a text without tags of
-    its own counts as one tag.
+    The sum of a node adds the densities of its children; a text is a child
+    without tags, of link characters if it is within a link.
     """
     for node in reversed(nodes):
         if node.noise:
             continue
         for child in node.children:
             if isinstance(child, str):
-                node.chars += len("".join(child.split()))
+                node.chars += _visible(child)
             elif not child.noise:
                 node.chars += child.chars
                 node.tags += child.tags + 1
                 node.link_chars += child.link_chars
                 node.link_tags += child.link_tags + (child.tag == "a")
-        if node.tag == "a":
+        if node.in_link:
             node.link_chars = node.chars
     body = next((n for n in nodes if n.tag == "body" and not n.noise), nodes[0])
     ratio = max(body.link_chars, 1) / max(body.chars, 1)
     for node in reversed(nodes):
         if node.noise or not node.chars:
             continue
-        tags, link_chars, link_tags = max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        plain = max(node.chars - node.link_chars, 1)
-        base = math.log(node.chars * link_chars / plain / max(node.chars, 1) + ratio * node.chars + math.e)
-        node.density = node.chars / tags * math.log(max(node.chars / link_chars * tags / link_tags, 1.0) + 1e-9) / math.log(base)
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
         for child in node.children:
-            node.sum += max(child.density, 0.0) if isinstance(child, Node) else float(len("".join(child.split())))
+            if isinstance(child, Node):
+                node.sum += child.density
+            elif n := _visible(child):
+                node.sum += density(n, 0, n if node.in_link else 0, 0, ratio)
 
 
 def _spare_whole_page_forms(nodes: list[Node]) -> None:
     """A form around a headline, article or main part is the page itself, not a form in it."""
     whole: set[int] = set()
+    seen: set[int] = set()
     for node in nodes:
         if node.tag in ("article", "main", "h1"):
             up = node.parent
-            while up is not None:
+            while up is not None and id(up) not in seen:
+                seen.add(id(up))
                 if up.tag == "form":
                     whole.add(id(up))
                 up = up.parent
@@ -253,7 +343,7 @@ def _spare_named(nodes: list[Node]) -> None:
     """An element that only its names mark is kept if it holds the article, or else the headline, or without either most of the text outside links."""
     for node in nodes:  # parents first; noise by other signs alone
         node.noise = (node.own_noise and not node.named) or (node.parent is not None and node.parent.noise)
-    live = [n for n in _page_order(nodes[0]) if not n.noise]
+    live = [n for n in nodes if not n.noise]
     spared: set[int] = set()
     mark = next((n for n in live if n.tag in ("article", "main")), None) or next((n for n in live if n.tag == "h1"), None)
     if mark is not None:
@@ -272,8 +362,32 @@ def _spare_named(nodes: list[Node]) -> None:
         node.noise = own or (node.parent is not None and node.parent.noise)
 
 
+#: A parent of the core belongs to it while it is at least so dense, as a share.
+CLIMB = 0.5
+#: A parent below the body also belongs to it if at most this share of what it adds is link text.
+PLAIN = 0.2
+#: Another dense subtree is part of the text if its sum of densities is at least this share of the largest.
+PART = 0.25
+#: A list or box in the core that has three links or more and at least this share of link text is a menu.
+MENU = 0.9
+_MENUS = _words("ul ol dl div section table menu dir center")
+#: Blocks of running text; the core is the element that holds them.
+_TEXT = _words("p li dt dd pre blockquote h1 h2 h3 h4 h5 h6 figure figcaption ul ol dl caption summary details")
+
+
 def content_roots(root: Node) -> list[Node]:
-    """The subtree of the largest density sum; outside an article also what is as dense as the least dense node on its path to the body."""
+    """The subtrees that hold the main text, in page order; what is no part of it within them is marked as noise.
+
+    The node of the largest density sum, or the element that holds it if it is a
+    block of text itself, is the core. The nodes on its way up to the body belong
+    to it while they are at least half as dense as the one below, or add text with
+    hardly any links; of what they add, running text and what is dense is kept, so
+    that a headline or a short first paragraph beside the core is, and a list of
+    links or a line of small print is not. Nor is a menu in the core itself. The smallest density on the whole way is
+    the threshold for what is dense, and for other parts: below nodes that reach it,
+    the nodes of the largest sums are taken if these are a quarter of the core's.
+    A page's first headline is kept if no part holds one.
+    """
     nodes = _order(root)
     if any(n.tag == "form" for n in nodes):
         _spare_whole_page_forms(nodes)
@@ -286,36 +400,74 @@ def content_roots(root: Node) -> list[Node]:
     live = [n for n in nodes if not n.noise and n.chars]
     if not live:
         return []
-    best = max(live, key=lambda n: n.sum)  # the first, that is outermost, of equals
-    path: list[Node] = []
-    node: Node | None = best
-    while node is not None:
-        path.append(node)
-        node = node.parent
-    # An article, or else a main element, around the best holds all of its parts, however short.
-    for tag in ("article", "main"):
-        if around := [n for n in path if n.tag == tag]:
-            return [around[-1]]
-    threshold = min(n.density for n in path if n.tag not in ("html", "#root")) if any(n.tag not in ("html", "#root") for n in path) else 0.0
-    on_path, chosen, todo = set(map(id, path)), [], [path[-1]]
-    while todo:
-        node = todo.pop()
-        if node is best:
-            chosen.append(node)
-        elif id(node) in on_path:
-            todo.extend(c for c in node.children if isinstance(c, Node) and not c.noise and c.chars)
-        elif node.density >= threshold and node.link_chars * 2 < node.chars:
-            chosen.append(node)
-    order = {id(n): k for k, n in enumerate(_page_order(root))}
-    return sorted(chosen, key=lambda n: order[id(n)])
-
-
-def _page_order(root: Node) -> Iterator[Node]:
-    todo = [root]
+    core = max(live, key=lambda n: n.sum)  # the first, that is outermost, of equals
+    path = [core]
+    while path[-1].tag != "body" and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min((n.density for n in path if n.tag not in ("html", "#root")), default=core.density)
+    top = 0
+    while top + 1 < len(path) and (path[top].tag in _TEXT or path[top].tag not in BLOCKS):
+        top += 1
+    while top + 1 < len(path):
+        here, above = path[top], path[top + 1]
+        plain = above.tag != "body" and above.link_chars - here.link_chars <= PLAIN * (above.chars - here.chars)
+        if not plain and above.density < CLIMB * here.density:
+            break
+        top += 1
+    for child, node in zip(path[:top], path[1 : top + 1], strict=True):
+        for other in node.children:
+            if isinstance(other, Node) and other is not child and other.tag in BLOCKS and not _belongs(other, threshold):
+                _silence(other)
+    for other in core.children:
+        if isinstance(other, Node) and other.tag in _MENUS and other.link_tags > 2 and other.link_chars >= MENU * other.chars:
+            _silence(other)
+    parts = [path[top], *_other_parts(path[-1], path[top], core, threshold)]
+    inside = {id(n) for part in parts for n in _order(part)}
+    if not any(n.tag == "h1" and not n.noise and id(n) in inside for n in live):
+        parts += [n for n in live if n.tag == "h1" and not n.noise][:1]
+    place = {id(n): k for k, n in enumerate(nodes)}
+    return sorted(parts, key=lambda n: place[id(n)])
+
+
+def _belongs(node: Node, threshold: float) -> bool:
+    """Whether a block beside the core is running text or dense, and not mostly links."""
+    if 2 * node.link_chars >= max(node.chars, 1):
+        return False
+    return node.density >= threshold or any(n.tag in _TEXT and not n.noise and n.chars and 2 * n.link_chars < n.chars for n in _order(node))
+
+
+def _silence(node: Node) -> None:
+    for n in _order(node):
+        n.noise = True
+
+
+def _other_parts(body: Node, top: Node, core: Node, threshold: float) -> list[Node]:
+    """Outermost nodes outside of ``top`` that have the largest sum below a node as dense as ``threshold``, if it is large enough."""
+    nodes = _order(body)
+    largest: dict[int, Node] = {}
+    holds_top: set[int] = set()
+    for node in reversed(nodes):
+        best = node
+        for child in node.children:
+            if isinstance(child, Node) and id(child) in largest:
+                if largest[id(child)].sum > best.sum:
+                    best = largest[id(child)]
+                if id(child) in holds_top:
+                    holds_top.add(id(node))
+        if node is top:
+            holds_top.add(id(node))
+        largest[id(node)] = best
+    out, todo = [], [body]
     while todo:
         node = todo.pop()
-        yield node
-        todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        if node is top or node.noise or not node.chars or node.density < threshold:
+            continue
+        part = largest[id(node)]
+        if id(node) not in holds_top and part.sum >= PART * core.sum and 2 * part.link_chars < part.chars:
+            out.append(node if part is node else part)
+        else:
+            todo.extend(c for c in node.children if isinstance(c, Node))
+    return out
 
 
 def blocks(roots: list[Node], skip_noise: bool = True) -> list[str]:
@@ -325,7 +477,7 @@ def blocks(roots: list[Node], skip_noise: bool = True) -> list[str]:
 
     def flush() -> None:
         if run:
-            if text := " ".join(unescape("".join(run)).split()):
+            if text := " ".join(unescape(_LONG_NUMBER.sub("\ufffd", "".join(run))).split()):
                 out.append(text)
             run.clear()
 
@@ -367,8 +519,11 @@ def page_text(html: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html; other columns are ignored).
 
-    A null or empty page gives an empty text. Rows that repeat, and null ids and
-    urls, are carried as they are.
+    A null or empty page gives an empty text, and so does one without text. Rows
+    that repeat, and null ids and urls, are carried as they are. Pages may be
+    malformed in any way and of any length: a page is held whole with its tree,
+    some 500 bytes a tag, and takes time in proportion to its length. An empty
+    table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
