@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirplake.llm.util import bounded_batches, utf8
+from chirplake.llm.util import bounded_batches, unused, utf8
 
 
 def _zigzag() -> np.ndarray:
@@ -144,13 +143,18 @@ def _signed(value: int, size: int) -> int:
 
 #: So many symbols of equal length in a row are worth decoding at once.
 _BULK = 16
+#: Most pixels (some 25 bytes of memory each) and scans of a picture from elsewhere; one with more is an error, not decoded in part.
+MAX_PIXELS, MAX_SCANS = 1 << 24, 500
+#: What a broken picture can raise.
+BROKEN = (ValueError, IndexError, KeyError, ArithmeticError)
 
 
 class Decoder:
-    """Accumulates the scans of a progressive JPEG into coefficient arrays."""
+    """Accumulates the scans of a progressive JPEG into coefficient arrays; what is no such picture is a ValueError or another of ``BROKEN``."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, max_pixels: int | None = None) -> None:
         self.data = data
+        self.max_pixels, self.scans = max_pixels, 0
         self.quants: dict[int, np.ndarray] = {}
         self.codes: dict[tuple[int, int], Huffman] = {}
         self.comments: list[bytes] = []
@@ -173,6 +177,8 @@ class Decoder:
                 break
             size = int.from_bytes(data[at : at + 2], "big")
             body = data[at + 2 : at + size]
+            if size < 2 or len(body) < size - 2:
+                raise ValueError("a segment is cut short")
             at += size
             if kind == 0xDB:
                 self._quant(body)
@@ -200,6 +206,8 @@ class Decoder:
             wide, name = body[at] >> 4, body[at] & 15
             kind = ">u2" if wide else np.uint8
             size = 128 if wide else 64
+            if at + 1 + size > len(body):
+                raise ValueError("a quantiser is cut short")
             self.quants[name] = np.frombuffer(body[at + 1 : at + 1 + size], kind).astype(np.int32)
             at += 1 + size
 
@@ -212,10 +220,18 @@ class Decoder:
             at += 17 + n
 
     def _start_frame(self, body: bytes) -> None:
+        if self.frame is not None:
+            raise ValueError("a second frame")
         if body[0] != 8:
             raise ValueError("only 8-bit samples are read")
         height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+        if not height or not width or body[5] not in (1, 3):
+            raise ValueError("a picture has a size and one or three components")
+        if self.max_pixels is not None and height * width > self.max_pixels:
+            raise ValueError(f"more than {self.max_pixels} pixels")
         parts = [Component(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+        if not all(1 <= n <= 4 for c in parts for n in (c.h, c.v)) or len({c.name for c in parts}) < len(parts):
+            raise ValueError("sampling factors are 1 to 4, and names differ")
         self.frame = Frame(width, height, parts, self.quants, self.comments)
         self.mcus_w, self.mcus_h = -(-width // (8 * self.frame.hmax)), -(-height // (8 * self.frame.vmax))
         for c in parts:
@@ -246,11 +262,15 @@ class Decoder:
         return [x.replace(b"\xff\0", b"\xff") for x in [*out, raw[start:]]]
 
     def _scan(self, body: bytes, intervals: list[bytes]) -> None:
-        assert self.frame is not None
+        self.scans += 1
+        if self.frame is None or self.scans > MAX_SCANS:
+            raise ValueError("a scan before the frame, or too many of them")
         by_name = {c.name: c for c in self.frame.components}
         parts = [(by_name[body[1 + 2 * k]], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
         first, last, both = body[1 + 2 * body[0]], body[2 + 2 * body[0]], body[3 + 2 * body[0]]
         high, low = both >> 4, both & 15
+        if not parts or low > 13 or not (first == last == 0 or (1 <= first <= last <= 63 and len(parts) == 1)):
+            raise ValueError("no such scan")
         if first == 0:
             self._scan_dc(parts, intervals, high, low)
         else:
@@ -435,11 +455,14 @@ def to_rgb(frame: Frame) -> np.ndarray:
     planes = []
     for c in frame.components:
         plane = samples(c, frame.quants[c.quant])
-        up = frame.vmax // c.v, frame.hmax // c.h
-        if up[0] > 1:
-            plane = plane.repeat(up[0], axis=0)
-        if up[1] > 1:
-            plane = plane.repeat(up[1], axis=1)
+        if frame.vmax % c.v or frame.hmax % c.h:  # in odd proportions each pixel has the sample that lies over it
+            y, x = np.arange(frame.height) * c.v // frame.vmax, np.arange(frame.width) * c.h // frame.hmax
+            plane = plane[y[:, None], x]
+        else:
+            if frame.vmax > c.v:
+                plane = plane.repeat(frame.vmax // c.v, axis=0)
+            if frame.hmax > c.h:
+                plane = plane.repeat(frame.hmax // c.h, axis=1)
         planes.append(plane[: frame.height, : frame.width])
     if len(planes) != 3:
         return np.repeat(np.rint(planes[0]).astype(np.uint8)[:, :, None], 3, axis=2)
@@ -535,6 +558,10 @@ def load_payload(frame: Frame) -> bytes:
     return data.astype(np.uint8).tobytes()[:size]
 
 
+#: Bytes of pictures and tensors that leave a worker at once, unless one is larger.
+OUT_BYTES = 16 << 20
+
+
 def padded(text: bytes) -> bytes:
     """The text and zeros up to a positive multiple of 64."""
     return text + b"\0" * (-len(text) % 64 if text else 64)
@@ -546,50 +573,76 @@ def features(rgb: np.ndarray) -> str:
     return f"{rgb.shape[1]}x{rgb.shape[0]} rgb {mean[0]:.2f} {mean[1]:.2f} {mean[2]:.2f} crc {zlib.crc32(rgb):08x}"
 
 
-def decode_column(media: DataFrame, key: str, column: str) -> DataFrame:
+_TENSOR = "height integer, width integer, rgb binary"
+
+
+def decode_column(media: DataFrame, key: str, column: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """Decode a binary column of progressive JPEGs: key, height, width, rgb (row-major bytes, three a pixel), error.
 
-    A null, empty or broken image gives nulls and the reason in ``error``; other
-    columns are not returned. The key may be of any type, repeat or be null.
+    A null, empty or broken image, or one of more than ``max_pixels`` pixels,
+    gives nulls and the reason in ``error``; no input fails the task. Other
+    columns are not returned. The key may be of any type, repeat or be null. An
+    empty table gives an empty table.
     """
-    schema = media.select(F.col(key)).schema.add("height", "integer").add("width", "integer").add("rgb", "binary").add("error", "string")
+    (name,) = unused(media.select(F.col(f"`{key}`")), "data")
+    schema = media.select(F.col(f"`{key}`")).schema
+    for field_ in (*_TENSOR.split(", "), "error string"):
+        schema = schema.add(*field_.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, data in enumerate(batch.column(1).to_pylist()):  # a tensor each, so that only one is held
                 try:
-                    rgb = to_rgb(Decoder(data or b"").decode())
+                    rgb = to_rgb(Decoder(data or b"", max_pixels).decode())
                     row = [rgb.shape[0], rgb.shape[1], rgb.tobytes(), None]
-                except (ValueError, IndexError, KeyError) as e:
-                    row = [None, None, None, str(e)]
+                except BROKEN as e:
+                    row = [None, None, None, f"{type(e).__name__}: {e}"]
                 kinds = pa.int32(), pa.int32(), pa.binary(), pa.string()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([x], t) for x, t in zip(row, kinds, strict=True))], [key, "height", "width", "rgb", "error"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([x], t) for x, t in zip(row, kinds, strict=True))], schema.names)
 
-    return bounded_batches(media.select(F.col(key), F.col(column).cast("binary"))).mapInArrow(run, schema)
+    return bounded_batches(media.select(F.col(f"`{key}`"), F.col(f"`{column}`").cast("binary").alias(name))).mapInArrow(run, schema)
 
 
 def carry_texts(docs: DataFrame) -> DataFrame:
-    """Store each whole text in a progressive JPEG, read it back and describe the picture.
-
-    Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature of each row of ``docs`` (doc_id, text;
-    other columns are ignored). A null text is an empty one.
+    """Store each whole text in a progressive JPEG, read it back and decode the picture.
+
+    Returns doc_id, n_bytes, media (the JPEG), payload (as read back from it),
+    height, width, rgb (the decoded tensor, row-major, three bytes a pixel) and
+    feature of each row of ``docs`` (doc_id, text; other columns are ignored). A
+    null text is an empty one. Equal texts give equal values. Rows that repeat and
+    null doc_ids are carried as they are. A very long text takes some 25 times its
+    bytes of memory, one at a time. An empty table gives an empty table.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    schema = f"doc_id bigint, n_bytes bigint, media binary, payload binary, {_TENSOR}, feature string"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = hashlib.sha256
         for batch in batches:
-            rows = []
-            for text in utf8(batch.column(1)):
-                media = store_payload(padded(text or b""))
-                frame = Decoder(media).decode()
-                back = load_payload(frame)
-                rows.append((len(text or b""), len(back), sha(back).hexdigest(), zlib.crc32(back[-64:]), len(media), sha(media).hexdigest(), features(to_rgb(frame))))
-            columns = zip(*rows, strict=True) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+            texts, begin = utf8(batch.column(1)), 0
+            while begin < len(texts):
+                rows, size, at = [], 0, begin
+                while at < len(texts) and size < OUT_BYTES:
+                    text = texts[at] or b""
+                    media = store_payload(padded(text))
+                    frame = Decoder(media).decode()
+                    rgb = to_rgb(frame)
+                    rows.append((len(text), media, load_payload(frame), rgb.shape[0], rgb.shape[1], rgb.tobytes(), features(rgb)))
+                    size += len(media) + rgb.nbytes
+                    at += 1
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, at - begin), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+                begin = at
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     return bounded_batches(rows).mapInArrow(run, schema)
+
+
+def carried_digests(docs: DataFrame) -> DataFrame:
+    """What :func:`carry_texts` stores, with digests in place of the picture and the payload, and with the tensors."""
+    out = carry_texts(docs)
+    return out.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature", "height", "width", "rgb",
+    )

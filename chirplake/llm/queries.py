@@ -46,7 +46,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pjpeg.carry_texts(table(spark, sf_dir, "documents"))
+    return pjpeg.carried_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

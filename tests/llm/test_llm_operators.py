@@ -497,7 +497,7 @@ def test_inverse_transform_and_colours():
 
 
 def test_jpeg_tables(spark, odd):
-    rows = {r["doc_id"]: r for r in pjpeg.carry_texts(odd).collect()}
+    rows = {r["doc_id"]: r for r in pjpeg.carried_digests(odd).collect()}
     for i, t in ODD:
         data = pjpeg.padded((t or "").encode())
         r = rows[i]
@@ -505,6 +505,10 @@ def test_jpeg_tables(spark, odd):
         assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and r["tail_crc32"] == zlib.crc32(data[-64:])
         media = pjpeg.store_payload(data)
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert bytes(r["rgb"]) == pjpeg.to_rgb(pjpeg.Decoder(media).decode()).tobytes() and len(r["rgb"]) == 3 * r["height"] * r["width"]
+    stored = {r["doc_id"]: r for r in pjpeg.carry_texts(odd).collect()}
+    assert all(bytes(stored[i]["payload"]) == pjpeg.padded((t or "").encode()) and bytes(stored[i]["media"]) == pjpeg.store_payload(bytes(stored[i]["payload"])) for i, t in ODD)
+    assert pjpeg.carried_digests(odd.limit(0)).count() == 0
     media = spark.createDataFrame([(1, bytearray(pjpeg.store_payload(b"x" * 64))), (2, None), (3, bytearray(b"broken")), (4, bytearray(b"\xff\xd8\xff"))], "id int, data binary")
     got = {r["id"]: r for r in pjpeg.decode_column(media, "id", "data").collect()}
     assert got[1]["width"] == 16 and len(got[1]["rgb"]) == 16 * 16 * 3
@@ -532,7 +536,6 @@ def test_packing_against_the_tokenizer(spark, odd, sf_dir):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.WORD_TOKENIZER)
-    tokenizer.encode_special_tokens = True
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(odd.where("doc_id is null or doc_id <> 9").select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
     got = packing.pack_documents(docs, queries.WORD_TOKENIZER).toPandas()
     by_doc = {k: g.sort_values("start") for k, g in got.groupby("doc_id", dropna=False)}
