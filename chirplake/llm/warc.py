@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chirplake.llm.html_density import page_text
-from chirplake.llm.util import bounded_batches
+from chirplake.llm.util import bounded_batches, unused
 
 VERSION = b"WARC/1.1"
 Headers = list[tuple[str, str]]
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _META_CHARSET = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+_BYTE_ORDER = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+#: Most bytes that a compressed payload may unpack to; one of more is an error, as it may be made to fill the memory.
+MAX_UNPACKED = 1 << 28
 _SPACES = re.compile(r"[\x00-\x20\x7f]+")
 
 
@@ -87,14 +91,74 @@ def split_http(block: bytes) -> tuple[str, Headers, bytes]:
     return first.decode("latin-1"), _header_block(lines), payload if gap else b""
 
 
+def without_chunks(body: bytes) -> bytes:
+    """The body of a chunked transfer; as it is, if it is not of chunks (many writers undo them and leave the header)."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        digits = body[at:end].split(b";")[0].strip() if 0 <= end < at + 1024 else b""
+        if not digits or len(digits) > 15 or digits.strip(b"0123456789abcdefABCDEF"):
+            return b"".join(out) if out else body  # cut short: what came
+        size = int(digits, 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _inflated(body: bytes, bits: int, limit: int) -> bytes:
+    """All members of a deflated body; a body that is cut short gives what it holds."""
+    out, size = [], 0
+    while body:
+        member = zlib.decompressobj(bits)
+        part = member.decompress(body, limit - size + 1)
+        size += len(part)
+        if size > limit:
+            raise ValueError(f"the payload unpacks to more than {limit} bytes")
+        out.append(part)
+        body = member.unused_data if bits > 15 else b""
+    return b"".join(out)
+
+
+def unpacked(payload: bytes, http: Headers, limit: int = MAX_UNPACKED) -> bytes:
+    """The payload without its transfer and content codings (chunked, gzip, deflate, zstd), the last applied first.
+
+    A coding that the payload turns out not to have is passed over; one that
+    cannot be undone here, or more than ``limit`` bytes, is a ValueError.
+    """
+    codings = [c.strip().lower() for name in ("Content-Encoding", "Transfer-Encoding") for c in (value(http, name) or "").split(",")]
+    for coding in reversed([c for c in codings if c not in ("", "identity")]):
+        try:
+            if coding == "chunked":
+                payload = without_chunks(payload)
+            elif coding in ("gzip", "x-gzip"):
+                payload = _inflated(payload, 31, limit) if payload[:2] == b"\x1f\x8b" else payload
+            elif coding == "deflate":
+                payload = _inflated(payload, 15 if payload[:1] == b"\x78" else -15, limit)
+            elif coding == "zstd" and payload[:4] == b"\x28\xb5\x2f\xfd":
+                import zstandard
+
+                with zstandard.ZstdDecompressor().stream_reader(payload, read_across_frames=True) as reader:
+                    payload = reader.read(limit + 1)
+                if len(payload) > limit:
+                    raise ValueError(f"the payload unpacks to more than {limit} bytes")
+            elif coding != "zstd":
+                raise ValueError(f"the coding {coding!r} cannot be undone")
+        except zlib.error:
+            if coding != "deflate":
+                raise ValueError(f"the payload is no {coding}") from None
+    return payload
+
+
 def decoded(payload: bytes, content_type: str | None) -> tuple[str, str]:
-    """Text and charset: of the HTTP header, else of the page, else UTF-8; unknown charsets fall back to UTF-8."""
-    named = _CHARSET.search(content_type or "")
-    page = None if named else _META_CHARSET.search(payload[:4096])
-    charset = (named[1] if named else page[1].decode("latin-1") if page else "utf-8").lower()
+    """Text and charset: by byte order mark, of the HTTP header, of the page's first meta element that names one, else UTF-8; unknown charsets fall back to UTF-8."""
+    marked = next((name for mark, name in _BYTE_ORDER if payload.startswith(mark)), None)
+    named = None if marked else _CHARSET.search(content_type or "")
+    page = None if named or marked else _META_CHARSET.search(payload)
+    charset = (marked or (named[1] if named else page[1].decode("latin-1") if page else "utf-8")).lower()
     try:
         return payload.decode(charset, "replace"), charset
-    except (LookupError, UnicodeError):
+    except (LookupError, UnicodeError, ValueError):
         return payload.decode("utf-8", "replace"), "utf-8"
 
 
@@ -106,9 +170,11 @@ def record_id(*parts: str) -> str:
 def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
     """Metadata and conversion record (kind, headers, block) of a response record.
 
-    Both refer to the response by WARC-Refers-To and carry its target and date;
-    the metadata record also names the conversion (WARC-Concurrent-To), the
-    source's headers and its digests. A record that is no response gives none.
+    Both refer to the response by WARC-Refers-To, carry its target, its date and
+    the digests of its block and payload, and name one another by
+    WARC-Concurrent-To; the metadata record also holds the source's headers. The
+    conversion is made of the payload without its transfer and content codings
+    (:func:`unpacked`). A record that is no response gives none.
     """
     headers, block = read_record(record)
     if (value(headers, "WARC-Type") or "").lower() != "response":
@@ -117,13 +183,14 @@ def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
     source = value(headers, "WARC-Record-ID") or record_id("response", digest(block))
     block_digest = value(headers, "WARC-Block-Digest") or digest(block)
     payload_digest = value(headers, "WARC-Payload-Digest") or digest(payload)
-    text, charset = decoded(payload, value(http, "Content-Type"))
+    body = unpacked(payload, http)
+    text, charset = decoded(body, value(http, "Content-Type"))
     html = "html" in (value(http, "Content-Type") or "html").lower()
-    plain = (page_text(text) if html else text).encode()
+    plain = (page_text(text) if html else text).encode("utf-8", "replace")
     shared = [(n, v) for n in ("WARC-Target-URI", "WARC-Date", "WARC-Warcinfo-ID") if (v := value(headers, n)) is not None]
-    shared += [("WARC-Refers-To", source)]
-    names = {kind: record_id(kind, source, payload_digest) for kind in ("metadata", "conversion")}
-    fields = [("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-status", status), ("charset", charset)]
+    shared += [("WARC-Refers-To", source), ("WARC-Source-Block-Digest", block_digest), ("WARC-Source-Payload-Digest", payload_digest)]
+    names = {kind: record_id(kind, source, block_digest) for kind in ("metadata", "conversion")}
+    fields = [("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-status", status), ("charset", charset), ("unpacked-bytes", str(len(body)))]
     fields += [(f"source-warc-{k}", v) for k, v in headers] + [(f"source-http-{k}", v) for k, v in http]
     fields += [("conversion-digest", digest(plain)), ("conversion-characters", str(len(plain.decode())))]
     meta = b"".join(f"{k}: {_SPACES.sub(' ', v).strip()}\r\n".encode() for k, v in fields)
@@ -135,11 +202,11 @@ def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
 
 
 def response_record(page_id: int | None, url: str | None, html: str | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """A response record of a page as if it had just been fetched."""
-    payload = (html or "").encode()
+    """A response record of a page as if it had just been fetched. Its id follows from the page's number, address and content, so rows that are alike in all three are one record."""
+    payload = (html or "").encode("utf-8", "replace")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("page", str(page_id), url or "")), ("WARC-Target-URI", url or ""), ("WARC-Date", date)]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("page", str(page_id), url or "", digest(payload))), ("WARC-Target-URI", url or ""), ("WARC-Date", date)]
     headers += [("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(payload)), ("Content-Type", "application/http; msgtype=response")]
     return write_record(headers, block)
 
@@ -165,14 +232,19 @@ def build_derivatives(responses: DataFrame, key: str, record: str) -> DataFrame:
     """Derivatives of a binary column of WARC records: key, the record's parts, its bytes, and ``error``.
 
     Two rows a response, none for records of other types, one with a reason in
-    ``error`` for what is no record (null and empty too). Keys may repeat or be
-    null. Other columns are not returned. Each record is worked on by itself, so
-    the plan has no shuffle.
+    ``error`` for what is no record (null and empty too) or cannot be unpacked.
+    Keys may repeat or be null. Other columns are not returned. Each record is
+    worked on by itself and whole, however long, so the plan has no shuffle. An
+    empty table gives an empty table. A key column that has the name of one of the
+    record's parts is an error.
     """
-    kind = responses.schema[key].dataType.simpleString()
+    if unused(responses.select(F.col(f"`{key}`")), *(own := [c.split()[0] for c in _OUT.split(", ")])) != own:
+        raise ValueError(f"the key column may not be named like one of {', '.join(own)}")
+    schema = responses.select(F.col(f"`{key}`")).schema
+    for part in _OUT.split(", "):
+        schema = schema.add(*part.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, *(c.split()[0] for c in _OUT.split(", "))]
         for batch in batches:
             index, rows = [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
@@ -180,9 +252,9 @@ def build_derivatives(responses: DataFrame, key: str, record: str) -> DataFrame:
                     index.append(i)
                     rows.append(row)
             columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True))], schema.names)
 
-    return bounded_batches(responses.select(F.col(key), F.col(record).cast("binary"))).mapInArrow(run, f"`{key}` {kind}, {_OUT}")
+    return bounded_batches(responses.select(F.col(f"`{key}`"), F.col(f"`{record}`").cast("binary").alias("data"))).mapInArrow(run, schema)
 
 
 def page_responses(pages: DataFrame) -> DataFrame:
@@ -198,24 +270,33 @@ def page_responses(pages: DataFrame) -> DataFrame:
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:
-    """The derivatives of all rows of ``pages``, with checksums in place of the blocks."""
+    """The metadata and conversion records of all rows of ``pages`` (page_id, url, html; other columns are ignored), whole and with checksums.
+
+    Null urls and pages are empty ones; a null page_id stays null. Rows that
+    repeat give their records again. An empty table gives an empty table.
+    """
     out = build_derivatives(page_responses(pages), "page_id", "record")
     return out.select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri", "concurrent_to", "source_payload_digest", "block_digest",
-        F.octet_length("block").cast("bigint").alias("block_bytes"), F.sha2("block", 256).alias("block_sha256"), F.sha2("record", 256).alias("record_sha256"),
-    )
+        F.octet_length("block").cast("bigint").alias("block_bytes"), F.sha2("block", 256).alias("block_sha256"), F.sha2("record", 256).alias("record_sha256"), "record",
+    )
 
 
 def write_warc(derivatives: DataFrame, path: str) -> None:
-    """Write the records as part files, one gzip member a record, by a partition's rows.
+    """Write the records of :func:`build_derivatives` into WARC files, part-*.warc.gz in the folder ``path``.
 
-    Each part is one file of Spark's own ``binaryFile`` kind of layout: rows of
-    (member binary) in Parquet, which concatenate to a .warc.gz file.
+    Metadata and conversion records are UTF-8 and each ends in two line ends, so
+    Spark's own text writer, with those as its line end, writes them as they are,
+    with its commit protocol and on any file system that Spark can reach. Each file
+    is compressed as a whole.
     """
-    import gzip
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(r, mtime=0) for r in batch.column(0).to_pylist()], pa.binary())], ["member"])
-
-    derivatives.where("record is not null").select("record").mapInArrow(run, "member binary").write.parquet(path)
+    ending = F.octet_length("record") - 4
+    lines = derivatives.where("record is not null").select(F.decode(F.substring("record", F.lit(1), ending), "UTF-8").alias("value"))
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    jvm = derivatives.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(derivatives.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt.gz"):
+            system.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt.gz") + ".warc.gz"))
