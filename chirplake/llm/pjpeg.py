@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirplake.llm.util import bounded_batches, unused, utf8
+from chirplake.llm.util import bounded_batches, map_rows, unused, utf8
 
 
 def _zigzag() -> np.ndarray:
@@ -600,7 +600,7 @@ def decode_column(media: DataFrame, key: str, column: str, max_pixels: int = MAX
                 kinds = pa.int32(), pa.int32(), pa.binary(), pa.string()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([x], t) for x, t in zip(row, kinds, strict=True))], schema.names)
 
-    return bounded_batches(media.select(F.col(f"`{key}`"), F.col(f"`{column}`").cast("binary").alias(name))).mapInArrow(run, schema)
+    return map_rows(media.select(F.col(f"`{key}`"), F.col(f"`{column}`").cast("binary").alias(name)), run, schema)
 
 
 def carry_texts(docs: DataFrame) -> DataFrame:

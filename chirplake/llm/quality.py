@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chirplake.llm.util import bounded_batches, join_checked, saved, utf8
+from chirplake.llm.util import bounded_batches, join_checked, map_rows, saved, unused, utf8
 
 #: Most labelled rows that the classifier is fitted on (a documented bound; the smallest hashes of doc_id are taken).
 MAX_LABELLED = 20_000
@@ -79,15 +80,18 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 30) -> C
     return Classifier(mean, scale, w[:-1], float(w[-1]))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
-    """Fit on the documents of at most ``max_labelled`` rows of ``labels`` (doc_id, quality).
+def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and y, 0 to 1, of at most ``max_labelled`` documents of ``labels`` (doc_id, quality): those of the smallest hashes of doc_id, whatever the partitions.
 
-    The sample is that of the smallest hashes of doc_id, so that it does not
-    depend on partitions. Labels without a document, and null ones, do not count.
+    Null numbers and labels do not count; several labels of a document give their mean.
     """
     rows = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.avg(F.least(F.greatest("y", F.lit(0.0)), F.lit(1.0))).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
+    """Fit on the documents of :func:`labelled_sample`; labels without a document do not count, and those of one half or more are good."""
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(labelled_sample(labels, max_labelled)), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,25 +101,25 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     got = bounded_batches(found.select("doc_id", "text", "y")).mapInArrow(run, "doc_id bigint, x binary, y double").toPandas()
     got = got.sort_values(["doc_id", "y", "x"], kind="stable")
     x = np.array([np.frombuffer(b, "<f4") for b in got["x"]], dtype=float).reshape(len(got), N_FEATURES)
-    return fit(x, (got["y"].to_numpy(dtype=float) > 0).astype(float))
+    return fit(x, (got["y"].to_numpy(dtype=float) >= 0.5).astype(float))
 
 
-def with_logit(docs: DataFrame, model: Classifier, columns: list[str]) -> DataFrame:
-    """``columns`` of docs and __logit, the classifier's log odds of good quality for the whole text."""
-    schema = docs.select(*columns).schema.add("__logit", "double")
-    place = columns.index("text")
+def with_logit(rows: DataFrame, model: Classifier, text: str, logit: str) -> DataFrame:
+    """``rows`` without the column ``text`` and with ``logit``, the classifier's log odds of good quality for the whole text."""
+    others = [c for c in rows.columns if c != text]
+    schema = T.StructType([f for f in rows.schema.fields if f.name != text]).add(logit, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([text_features(t or b"") for t in utf8(batch.column(place))]).reshape(batch.num_rows, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(model.logits(x), -20, 20))], [*columns, "__logit"])
+            x = np.array([text_features(t or b"") for t in utf8(batch.column(len(others)))]).reshape(batch.num_rows, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(model.logits(x), -20, 20))], schema.names)
 
-    return bounded_batches(docs.select(*columns)).mapInArrow(run, schema)
+    return map_rows(rows.select(*[F.col(f"`{c}`") for c in (*others, text)]), run, schema)
 
 
-def _posterior(total: Column, n: Column, prior: Column, strength: float) -> Column:
-    """Mean of the beta posterior after ``n`` soft votes that add up to ``total``."""
-    return (total + prior * strength) / (n + strength)
+def posterior(total: Column, n: Column, vote: Column, prior: Column, strength: float) -> Column:
+    """Mean of the beta posterior after ``n`` soft votes that add up to ``total``, but for the one ``vote`` among them."""
+    return (F.greatest(total - vote, F.lit(0.0)) + prior * strength) / (F.greatest(n - 1, F.lit(0.0)) + strength)
 
 
 def _strength(groups: DataFrame, total: str, n: str, mean: float) -> float:
@@ -133,59 +137,71 @@ def _strength(groups: DataFrame, total: str, n: str, mean: float) -> float:
     return float(min(1e4, max(2.0, noise / max(between, 1e-9) - 1)))
 
 
-def site_posteriors(sites: DataFrame) -> tuple[DataFrame, float, float]:
-    """From (host, path, s: sum of soft votes, n: their number): host_posterior per row; the global mean; the path strength.
+@dataclass(frozen=True)
+class Sites:
+    """Sums of votes by (host, path): table of host, path, s, n and the host's hs, hn; the totals; and the prior strengths of hosts and paths."""
 
-    A host's posterior is shrunk toward the global mean and a path's toward its
-    host, each with a strength fitted to how much hosts (paths) really differ, so
-    a site of a few documents stays near its prior.
-    """
+    table: DataFrame
+    total: float
+    n: float
+    host_strength: float
+    path_strength: float
+
+
+def site_sums(sites: DataFrame) -> Sites:
+    """From (host, path, s: sum of soft votes, n: their number). The strengths are fitted to how much hosts (paths) really differ, so that a site of a few documents stays near its prior."""
     hosts = sites.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
     row = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n")).first()
-    mean = (row["s"] + 1) / (row["n"] + 2) if row["n"] else 0.5
-    strength, path_strength = _strength(hosts, "hs", "hn", mean), _strength(sites, "s", "n", mean)
-    hosts = hosts.select("host", _posterior(F.col("hs"), F.col("hn"), F.lit(mean), strength).alias("host_posterior"))
-    return sites.join(hosts, "host"), mean, path_strength
+    total, n = row["s"] or 0.0, row["n"] or 0.0
+    mean = (total + 1) / (n + 2)
+    return Sites(sites.join(hosts, "host"), total, n, _strength(hosts, "hs", "hn", mean), _strength(sites, "s", "n", mean))
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, columns: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``columns`` of docs (text among them) with __p_doc, __p_host, __p_path and __p.
+def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, columns: list[str], max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[str]]:
+    """``columns`` of docs (doc_id, text, others) with four more, whose names are given back: p_doc, p_host, p_path and p, lengthened where docs has them.
 
-    __p_doc is the classifier's probability of good quality. __p_host and __p_path
-    are posteriors of the site; the path's leaves out the row's own vote. __p is
-    the sum of the document's log odds and of what the site adds to the global
-    prior, as a probability.
+    p_doc is the classifier's probability of good quality. A row's vote for its
+    site is its label, if it is one of the labelled sample, or else p_doc. p_host
+    is the host's posterior under the mean of all rows as the prior, p_path the
+    (host, path)'s under the host's; both, and the mean, leave out the row's own
+    vote, so that a site of one document stays at its prior. p is the sum of the
+    document's log odds and of what the site adds to the mean's, as a probability.
 
     Two passes over the texts take the place of moving them: the first feeds sums
     per (host, path), combined before they move, so that a host with a third of
     all rows is a few rows by then; the second scores. Null hosts and paths are
-    empty ones, null texts empty texts. Without labels every score is the prior
-    of one half. An empty table gives an empty table. Columns of ``docs`` keep
-    their names; those that begin with two underscores are this function's.
+    empty ones, null texts empty texts, a null doc_id has no label. Rows that
+    repeat vote each. Without labels p_doc is one half. A very long text is counted
+    whole. An empty table gives an empty table.
     """
+    names = unused(docs, "p_doc", "p_host", "p_path", "p", "host", "path", "number", "body", "logit", "y", "s", "n", "hs", "hn")
+    p_doc, p_host, p_path, p, h, w, number, body, logit, y, s, n, hs, hn = names
     model = fit_classifier(docs, labels, max_labelled)
-    keyed = docs.withColumn("__host", F.coalesce(host.cast("string"), F.lit(""))).withColumn("__path", F.coalesce(path.cast("string"), F.lit("")))
-    keyed = keyed.withColumn("text", F.col("text").cast("string"))
-    chance = 1 / (1 + F.exp(-F.col("__logit")))
-    votes = with_logit(keyed, model, ["__host", "__path", "text"]).select(F.col("__host").alias("host"), F.col("__path").alias("path"), chance.alias("p"))
-    sites = saved(votes.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").cast("double").alias("n")), "sites")
-    posteriors, mean, strength = site_posteriors(sites)
-    posteriors = posteriors.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "s", "n", "host_posterior").withColumnsRenamed({"s": "__s", "n": "__n", "host_posterior": "__p_host"})
-    scored = join_checked(with_logit(keyed, model, [*dict.fromkeys([*columns, "text"]), "__host", "__path"]), posteriors, ["__host", "__path"], "left")
-    own = F.greatest(F.col("__s") - chance, F.lit(0.0))
-    scored = scored.withColumn("__p_doc", chance).withColumn("__p_path", _posterior(own, F.greatest(F.col("__n") - 1, F.lit(0.0)), F.col("__p_host"), strength))
-    odds = F.col("__logit") + F.log(F.col("__p_path") / (1 - F.col("__p_path"))) - math.log(mean / (1 - mean))
-    return scored.withColumn("__p", 1 / (1 + F.exp(-odds))).select(*columns, "__p_doc", "__p_host", "__p_path", "__p")
+    sample = F.broadcast(saved(labelled_sample(labels, max_labelled), "labelled").toDF(number, y))
+    site = [F.coalesce(host.cast("string"), F.lit("")).alias(h), F.coalesce(path.cast("string"), F.lit("")).alias(w)]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], *site, F.col("doc_id").cast("bigint").alias(number), F.col("text").cast("string").alias(body))
+    chance = 1 / (1 + F.exp(-F.col(logit)))
+    vote = F.coalesce(F.col(y), chance)
+    votes = with_logit(keyed.select(h, w, number, body), model, body, logit).join(sample, number, "left").select(F.col(h).alias("host"), F.col(w).alias("path"), vote.alias("v"))
+    sums = site_sums(saved(votes.groupBy("host", "path").agg(F.sum("v").alias("s"), F.count("*").cast("double").alias("n")), "sites"))
+    sites = sums.table.select("host", "path", "s", "n", "hs", "hn").toDF(h, w, s, n, hs, hn)
+    scored = join_checked(with_logit(keyed, model, body, logit), sites, [h, w], "left").join(sample, number, "left")
+    mean = (F.greatest(F.lit(sums.total) - vote, F.lit(0.0)) + 1) / (F.lit(max(sums.n - 1, 0.0)) + 2)
+    scored = scored.withColumn(p_doc, chance).withColumn(p_host, posterior(F.col(hs), F.col(hn), vote, mean, sums.host_strength))
+    scored = scored.withColumn(p_path, posterior(F.col(s), F.col(n), vote, F.col(p_host), sums.path_strength))
+    log_odds = lambda x: F.log(x / (1 - x))
+    odds = F.col(logit) + log_odds(F.col(p_path)) - log_odds(mean)
+    return scored.withColumn(p, 1 / (1 + F.exp(-odds))).select(*[F.col(f"`{c}`") for c in columns], p_doc, p_host, p_path, p), names[:4]
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_document, p_host, p_path, p_quality, kept for each row of ``docs`` (doc_id, text, source, lang)."""
-    scored = score(docs, labels, F.col("source"), F.col("lang"), ["doc_id", "text"])
-    six = lambda c: F.round(c, 6)
-    return scored.select("doc_id", six("__p_doc").alias("p_document"), six("__p_host").alias("p_host"), six("__p_path").alias("p_path"), six("__p").alias("p_quality"), (F.col("__p") >= THRESHOLD).alias("kept"))
+    """doc_id, p_document, p_host, p_path, p_quality, kept for each row of ``docs`` (doc_id, text, source, lang; other columns are ignored). See :func:`score`."""
+    scored, names = score(docs, labels, F.col("source"), F.col("lang"), ["doc_id"])
+    rounded = [F.round(F.col(a), 6).alias(b) for a, b in zip(names, ("p_document", "p_host", "p_path", "p_quality"), strict=True)]
+    return scored.select("doc_id", *rounded, (F.col(names[3]) >= THRESHOLD).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns as they are."""
-    scored = score(docs, labels, F.col("source"), F.col("lang"), docs.columns)
-    return scored.where(F.col("__p") >= THRESHOLD).select(*docs.columns)
+    """The rows of ``docs`` that the classifier accepts, with their columns as they are, whatever their names. See :func:`score`."""
+    scored, names = score(docs, labels, F.col("source"), F.col("lang"), docs.columns)
+    return scored.where(F.col(names[3]) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

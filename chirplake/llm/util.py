@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chirplake.operators.scratch import forget, saved, scratch_root
 from chirplake.ship import ship
 
-__all__ = ["bounded_batches", "forget", "grouped", "join_checked", "saved", "scratch_root", "shuffle_partitions", "table", "unused", "utf8"]
+__all__ = ["bounded_batches", "forget", "grouped", "join_checked", "map_rows", "saved", "scratch_root", "shuffle_partitions", "table", "unused", "utf8"]
 
 #: Largest number of key rows that :func:`join_checked` broadcasts.
 BROADCAST_ROWS = 500_000
@@ -34,6 +35,18 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow of bounded batches, whatever the names of the columns (Spark's own takes none with dots)."""
+    plain = [f"c{k}" for k in range(len(schema.fields))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, plain)
+
+    kinds = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, schema.fields, strict=True)])
+    return bounded_batches(rows.toDF(*[f"c{k}" for k in range(len(rows.columns))])).mapInArrow(renamed, kinds).toDF(*schema.names)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chirplake.llm.html_density import page_text
-from chirplake.llm.util import bounded_batches, unused
+from chirplake.llm.util import bounded_batches, map_rows, unused
 
 VERSION = b"WARC/1.1"
 Headers = list[tuple[str, str]]
@@ -254,7 +254,7 @@ def build_derivatives(responses: DataFrame, key: str, record: str) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True))], schema.names)
 
-    return bounded_batches(responses.select(F.col(f"`{key}`"), F.col(f"`{record}`").cast("binary").alias("data"))).mapInArrow(run, schema)
+    return map_rows(responses.select(F.col(f"`{key}`"), F.col(f"`{record}`").cast("binary").alias("data")), run, schema)
 
 
 def page_responses(pages: DataFrame) -> DataFrame:

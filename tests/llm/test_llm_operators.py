@@ -701,13 +701,6 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r["kept"] for r in got if r["quality"]) >= 0.99 * sum(r["quality"] for r in got)
 
 
-def test_site_posteriors_shrink(spark):
-    sites = spark.createDataFrame([("big", "a", 10.0, 1000.0), ("big", "b", 1.0, 1.0), ("good", "a", 950.0, 1000.0), ("tiny", "a", 0.0, 1.0)], "host string, path string, s double, n double")
-    rows, mean, strength = quality.site_posteriors(sites)
-    by = {(r["host"], r["path"]): r for r in rows.collect()}
-    assert by["big", "a"]["host_posterior"] < 0.05 < by["tiny", "a"]["host_posterior"] < mean and by["good", "a"]["host_posterior"] > 0.9 and strength >= 2
-
-
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (None, 1, 0), (6, None, 0), (77, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert quality.classify_documents(odd, labels).count() == len(ODD)
