@@ -77,16 +77,25 @@ def pool_rows(pool: DataFrame, assignment: DataFrame, listed: DataFrame | None =
     return rows
 
 
-def picked(wanted: DataFrame, candidates: DataFrame, keys: list[str], order: list[str], draw: Column) -> DataFrame:
-    """For each wanted row one of its key's candidates, evenly drawn with replacement; rows without any are left out.
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Number rows from 0 within each key in the given order, whose first column names blocks of rows (source files).
 
-    Candidates are numbered per key; they are grid points of source files, some
-    millions a year of observation.
+    Rows are numbered within their blocks, and the running sum is over one row a
+    block, so that no task sorts all rows of a key.
     """
-    numbered = candidates.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    block, *rest = order
+    sizes = rows.groupBy(*keys, block).agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*keys, block, F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*keys, block).orderBy(*rest)) - 1
+    return rows.join(starts, [*keys, block]).withColumn(name, (F.col("__before") + within).cast("bigint")).drop("__before")
+
+
+def picked(wanted: DataFrame, candidates: DataFrame, keys: list[str], order: list[str], draw: Column) -> DataFrame:
+    """For each wanted row one of its key's candidates, evenly drawn with replacement; rows without any are left out. See :func:`numbered` for the order."""
     sizes = candidates.groupBy(*keys).agg(F.count("*").alias("__n"))
-    asked = wanted.join(sizes, keys).withColumn("__i", F.floor(draw * F.col("__n")).cast("int")).drop("__n")
-    return asked.join(numbered, [*keys, "__i"]).drop("__i")
+    asked = wanted.join(F.broadcast(sizes), keys).withColumn("__i", F.floor(draw * F.col("__n")).cast("bigint")).drop("__n")
+    return asked.join(numbered(candidates, keys, order, "__i"), [*keys, "__i"]).drop("__i")
 
 
 def uncovered(found: DataFrame) -> DataFrame:
@@ -160,12 +169,17 @@ def subset(pool: DataFrame, per_detector: int) -> DataFrame:
 
 
 def prefetch_outcomes(rows: DataFrame, cache: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """Counts per outcome of a resumable fetch over the distinct segments of ``rows`` (ifo, gps)."""
-    wanted = rows.select("ifo", S.gps_key(F.col("ifo"), F.col("gps")).alias("key")).distinct()
+    """Counts per outcome of a resumable fetch over the distinct segments of ``rows`` (ifo, gps), before anything is fetched."""
+    return marked_segments(rows, cache, blacklist).groupBy("ifo", "outcome").agg(F.count("*").alias("n"))
+
+
+def marked_segments(rows: DataFrame, cache: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """The distinct segments of ``rows`` (ifo, gps) with key and outcome: unavailable (listed), cached, or to_fetch."""
+    wanted = rows.select("ifo", "gps", S.gps_key(F.col("ifo"), F.col("gps")).alias("key")).dropDuplicates(["key"])
     marked = wanted.join(cache.select("key").distinct().withColumn("__hit", F.lit(True)), "key", "left")
     marked = marked.join(blacklist.select("key").distinct().withColumn("__bad", F.lit(True)), "key", "left")
     outcome = F.when(F.col("__bad"), "unavailable").when(F.col("__hit"), "cached").otherwise("to_fetch")
-    return marked.groupBy("ifo", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    return marked.select("ifo", "gps", "key", outcome.alias("outcome"))
 
 
 def first_accepted(keys: DataFrame, attempts: int, evaluate) -> DataFrame:

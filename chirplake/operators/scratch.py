@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset and one machine does all the work.
+
+    On a cluster executors would each write to a disk of their own, so there an
+    unset folder is an error.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chirplake-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/chirplake-{sc.applicationId}"
