@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chirplake.llm.components import connected_components
-from chirplake.llm.simhash import _roots, _route
+from chirplake.llm.tiles import dealt_to_tile_pairs, roots
 from chirplake.llm.util import bounded_batches, saved, shuffle_partitions
 
 #: Vectors that the cells are fitted on, at most (those of the smallest hashes of vec_id).
@@ -129,7 +129,7 @@ def link_tile(ids: np.ndarray, x: np.ndarray, cells: list[np.ndarray], cell: int
                 i, j = i[own], j[own]
                 links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
                 forest = np.flatnonzero(root != np.arange(len(ids)))
-                root = _roots(len(ids), np.r_[i, forest], np.r_[j, root[forest]])
+                root = roots(len(ids), np.r_[i, forest], np.r_[j, root[forest]])
     found = np.flatnonzero(links)
     return ids[found], links[found], ids[root[found]]
 
@@ -143,8 +143,8 @@ def find_links(rows: DataFrame, threshold: float, tile_rows: int | None = None)
         tile_rows = min(TILE_ROWS[1], max(TILE_ROWS[0], total // (2 * shuffle_partitions(rows))))
     # Cells are as many as centres, a few thousand at most for each vector length.
     tiles = counts.select("bucket", F.ceil(F.col("n") / tile_rows).cast("bigint").alias("m")).where("m > 1")
-    routed = _route(spread, tiles, 0)
-    routed = routed.select(F.xxhash64("r.k1", "r.s1", "r.s2").alias("task"), "node", F.col("r.second").cast("int").alias("second"), "bucket", "cells", "vec")
+    routed = dealt_to_tile_pairs(spread, saved(tiles, "tiles"))
+    routed = routed.select(F.xxhash64("bucket", "pair.low", "pair.high").alias("task"), "node", F.col("pair.second").cast("int").alias("second"), "bucket", "cells", "vec")
     placed = routed.repartition(shuffle_partitions(rows), "task").sortWithinPartitions("task")
 
     def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -41,10 +41,15 @@ def smallest_reachable(ids, linked):
 
 
 # ------------------------------------------------------------- components
-def test_components_of_a_long_path_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 900)] + [(7, 7), (None, 3)]
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(500, 900)} == {500} and 7 not in got
+@pytest.mark.parametrize("alone", [0, components.ONE_TASK_EDGES])
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch, alone):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", alone)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 900)] + [(7, 7), (None, 3), (501, 500)]
+    table_ = spark.createDataFrame(edges, "a bigint, b bigint")
+    rows = components.connected_components(table_).collect()
+    got = {r["node"]: r["component"] for r in rows}
+    assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(500, 900)} == {500} and 7 not in got and len(rows) == len(got) == 461
+    assert components.connected_components(table_.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- simhash
