@@ -58,7 +58,10 @@ def background_domains(metadata: DataFrame) -> DataFrame:
 
 
 def _with_side(pairs: DataFrame, metadata: DataFrame, on: str, prefix: str) -> DataFrame:
-    side = metadata.select(F.col("sample_id").alias(on), *[F.col(c).alias(f"{prefix}_{c}") for c in ("split", "event_id", "chirp_id")]).dropDuplicates([on])
+    """Join what is known of one side's sample. Of rows that repeat a sample_id the last counts: by ``ord`` if there is one, else in the order in which they are read."""
+    place = F.col("ord") if "ord" in metadata.columns else F.monotonically_increasing_id()
+    known = metadata.select(F.col("sample_id").alias(on), place.alias("__at"), F.struct("split", "event_id", "chirp_id").alias("__s"))
+    side = known.groupBy(on).agg(F.max_by("__s", "__at").alias("__s")).select(on, *[F.col(f"__s.{c}").alias(f"{prefix}_{c}") for c in ("split", "event_id", "chirp_id")])
     return pairs.join(side, on, "left")
 
 
@@ -135,14 +138,6 @@ def manifest(metadata: DataFrame) -> DataFrame:
     return per.join(groups, "split", "left").select("split", "samples", "unique_glitches", F.coalesce("source_groups", F.lit(0)).cast("bigint").alias("source_groups"), "most_uses")
 
 
-def manifest_tree(metadata: DataFrame) -> DataFrame:
-    """The manifest with its nested maps: split, groups array<string>, uses map<glitch_id, count>; for export of one dataset."""
-    rows = glitch_rows(metadata).select("split", "glitch_id", S.glitch_group(F.col("glitch_source_group"), F.col("detector"), F.col("glitch_gps")).alias("grp"))
-    uses = rows.groupBy("split", "glitch_id").agg(F.count("*").alias("n")).groupBy("split").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("glitch_id", "n")))).alias("uses"))
-    groups = rows.groupBy("split").agg(F.sort_array(F.collect_set("grp")).alias("groups"))
-    return groups.join(uses, "split")
-
-
 def glitches_used(metadata: DataFrame) -> DataFrame:
     """The samples with a glitch and what is known of it."""
     return metadata.where(S.truthy(F.col("has_glitch"))).select("sample_id", "event_id", "split", "detector", "global_class", "glitch_id", "glitch_type", "glitch_gps", S.glitch_group(F.col("glitch_source_group"), F.col("detector"), F.col("glitch_gps")).alias("glitch_source_group"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,12 +184,13 @@ def marked_segments(rows: DataFrame, cache: DataFrame, blacklist: DataFrame) ->
     return marked.select("ifo", "gps", "key", outcome.alias("outcome"))
 
 
-def first_accepted(keys: DataFrame, attempts: int, evaluate) -> DataFrame:
-    """Bounded rejection sampling: all attempts of a key are rows at once, and the first accepted one is kept.
+def first_accepted(keys: DataFrame, attempts: int, evaluate: Callable[[DataFrame], DataFrame], carry: list[str] | None = None) -> DataFrame:
+    """Bounded rejection sampling: all attempts of a key are rows at once, and the first accepted one is kept, with the columns of ``carry``.
 
     ``evaluate`` gets rows with ``attempt`` and adds ``accepted``; keys none of
-    whose attempts is accepted come back with a null attempt.
+    whose attempts is accepted come back with nulls. (Whole segments are drawn in
+    rounds instead, see :mod:`segments`.)
     """
     tried = evaluate(keys.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))))
-    best = tried.where("accepted").groupBy(*keys.columns).agg(F.min("attempt").alias("attempt"))
+    best = tried.where("accepted").groupBy(*keys.columns).agg(F.min(F.struct("attempt", *(carry or []))).alias("__best")).select(*keys.columns, "__best.*")
     return keys.join(best, keys.columns, "left")

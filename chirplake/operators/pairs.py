@@ -198,41 +198,41 @@ def enabled_types(samples: DataFrame, glitch: bool = True, noise: bool = True, d
     return both.select("split", F.when(F.size("hard") > 0, F.col("hard")).otherwise(F.col("easy")).alias("hard"), F.when(F.size("easy") > 0, F.col("easy")).otherwise(F.col("hard")).alias("easy"), F.concat("hard", "easy").alias("every"))
 
 
-def slots(samples: DataFrame, count: int = DEFAULT.negatives_per_positive, hard_fraction: float = DEFAULT.hard_fraction) -> DataFrame:
-    """The slots of every chirp anchor, the hard ones first, each with an evenly drawn type of its tier."""
+def slots(samples: DataFrame, count: int = DEFAULT.negatives_per_positive, hard_fraction: float = DEFAULT.hard_fraction, **allowed: bool) -> DataFrame:
+    """The slots of every chirp anchor, the hard ones first, each with an evenly drawn type of its tier (``allowed``: see :func:`enabled_types`)."""
     n_hard = F.bround(F.lit(count * hard_fraction)).cast("int")
-    anchors = samples.where("has_chirp = 1").join(F.broadcast(enabled_types(samples)), "split")
+    anchors = samples.where("has_chirp = 1").join(F.broadcast(enabled_types(samples, **allowed)), "split")
     rows = anchors.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(count)))) if count > 0 else anchors.withColumn("slot", F.lit(1)).limit(0)
     names = F.when(F.col("slot") <= n_hard, F.col("hard")).otherwise(F.col("easy"))
     kind = F.element_at(names, (F.floor(draws.u("type", F.col("sample_id"), F.col("slot")) * F.size(names)) + 1).cast("int"))
     return rows.withColumn("negative_type", kind).drop("hard", "easy", "every")
 
 
-def negative_pairs(samples: DataFrame) -> DataFrame:
+def negative_pairs(samples: DataFrame, count: int = DEFAULT.negatives_per_positive, hard_fraction: float = DEFAULT.hard_fraction, **allowed: bool) -> DataFrame:
     """All negatives: slots filled, repeated (type, anchor, candidate) lost but for the first slot, absent types topped up, all numbered.
 
     The samples, which every type reads, and the filled slots are written to the
     shared scratch folder, so that neither is computed once per type.
     """
     samples = saved(samples.select("split", "ord", "global_class", "has_chirp", "has_glitch", *_SAMPLE), "samples")
-    filled = slots(samples)
+    filled = slots(samples, count, hard_fraction, **allowed)
     parts = [described(pick(filled.where(F.col("negative_type") == k).drop("negative_type"), samples, k), k) for k in (*HARD_TYPES, *EASY_TYPES)]
     rows = functools.reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("negative_type", "anchor_sample_id", "candidate_sample_id").orderBy("slot")
     rows = saved(rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r"), "slots")
-    rows = functools.reduce(DataFrame.unionByName, topped_up(samples, rows), rows)
+    rows = functools.reduce(DataFrame.unionByName, topped_up(samples, rows, **allowed) if count > 0 else [], rows)
     # Top-ups come after all slots of their split.
     rows = rows.withColumn("so", split_place(F.col("split"))).withColumn("late", (F.col("slot") == 0).cast("int"))
     order = [F.col("a_ord"), F.col("slot"), F.col("negative_type")]
     return dense_number(rows, ["so", "late"], F.floor(F.col("a_ord") / BLOCK), order, "negative_pair_id").drop("so", "late", "a_ord", "slot")
 
 
-def topped_up(samples: DataFrame, rows: DataFrame) -> list[DataFrame]:
+def topped_up(samples: DataFrame, rows: DataFrame, **allowed: bool) -> list[DataFrame]:
     """For each type that a split allows and lacks, the pair of the first anchor that has a candidate (slot 0).
 
     What is lacking is at most a row per split and type, so the driver may see it.
     """
-    wanted = enabled_types(samples).select("split", F.explode("every").alias("negative_type")).distinct()
+    wanted = enabled_types(samples, **allowed).select("split", F.explode("every").alias("negative_type")).distinct()
     missing = wanted.join(rows.select("split", "negative_type").distinct(), ["split", "negative_type"], "left_anti").collect()
     out = []
     for kind in sorted({r["negative_type"] for r in missing}):

@@ -55,8 +55,7 @@ def n_of(df: DataFrame, *names: str) -> DataFrame:
 @query("""SELECT event_id AS ord, CASE WHEN user_id % 2 = 0 THEN 'H1' ELSE 'L1' END AS ifo, event_type AS label, value AS snr
   FROM events WHERE event_type IN ('view', 'click', 'error') AND coalesce(TRY_CAST(props->>'$.k' AS DOUBLE) >= 30, true)""")
 def pool_scan_filter(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("conf"))
-    p = V.pool(spark, sf_dir).join(e, F.col("ord") == F.col("event_id"))
+    p = V.pool(spark, sf_dir, F.get_json_object("props", "$.k").alias("conf"))
     kept = groups.confident(p, S.strict_double(F.col("conf")), 30.0, DETECTORS, ("view", "click", "error"))
     return kept.select("ord", "ifo", "label", "snr")
 
@@ -75,9 +74,21 @@ def pool_subset_greedy(spark, sf_dir):
     return n_of(groups.greedy_files(V.pool(spark, sf_dir), 2000).where("taken").select("ifo", "fid", "n", "before"), "n", "before")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POOL}, fine AS (SELECT ifo, fid, ord, label || (ord % 12)::VARCHAR AS label FROM gpool),
+  files AS (SELECT ifo, fid, count(*) AS n, min(ord) AS first_ord FROM fine GROUP BY ifo, fid),
+  run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY ifo ORDER BY n DESC, first_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 40 AS taken FROM files),
+  missing AS (SELECT ifo, label, row_number() OVER (PARTITION BY ifo ORDER BY label) AS k FROM (
+    SELECT DISTINCT ifo, label FROM fine EXCEPT SELECT f.ifo, f.label FROM fine f JOIN run r ON r.ifo = f.ifo AND r.fid = f.fid WHERE taken)),
+  held AS (SELECT ifo, label, fid, count(*) AS n FROM fine GROUP BY ALL),
+  ranked AS (SELECT m.ifo, m.k, list(r.fid ORDER BY coalesce(h.n, 0) DESC, r.first_ord) AS best FROM missing m JOIN run r ON r.ifo = m.ifo
+    LEFT JOIN held h ON h.ifo = m.ifo AND h.label = m.label AND h.fid = r.fid WHERE NOT taken GROUP BY m.ifo, m.k),
+  fold AS (SELECT ifo, 0::BIGINT AS k, []::BIGINT[] AS picked FROM (SELECT DISTINCT ifo FROM files)
+    UNION ALL SELECT f.ifo, r.k, list_append(f.picked, list_filter(r.best, lambda x: NOT list_contains(f.picked, x))[1]) FROM fold f JOIN ranked r ON r.ifo = f.ifo AND r.k = f.k + 1)
+  SELECT ifo, fid, 'greedy' AS reason FROM run WHERE taken
+  UNION ALL SELECT f.ifo, f.picked[f.k], 'topup:' || m.label FROM fold f JOIN missing m ON m.ifo = f.ifo AND m.k = f.k WHERE f.k > 0""")
 def pool_subset_topup(spark, sf_dir):
-    return groups.subset_files(V.pool(spark, sf_dir), 3)
+    fine = V.pool(spark, sf_dir).withColumn("label", F.concat("label", (F.col("ord") % 12).cast("string")))
+    return groups.subset_files(fine, 40)
 
 
 @query(f"WITH {POOL} SELECT ifo, grp, count(*) AS n FROM gpool GROUP BY ifo, grp")
@@ -136,14 +147,19 @@ def offsource_range_anti(spark, sf_dir):
     return _offsource(spark, sf_dir)
 
 
-_CACHED = f"{u('cached', 'ifo', 'gps::BIGINT')} < 0.02"
+_CACHED = f"{u('cached', 'o.ifo', 'o.gps::BIGINT')} < 0.02"
 
 
-@query(f"""{_OFF}, c AS (SELECT *, {_CACHED} AS cached FROM off)
-  SELECT ifo, grp, gps, cached FROM c QUALIFY cached = max(cached) OVER (PARTITION BY ifo, grp)""")
+@query(f"""{_ASSIGN}, grid AS (SELECT ifo, grp, fid * 4096 + 4 + k * 32.0::DOUBLE AS gps FROM (SELECT DISTINCT ifo, grp, fid FROM gpool), range(128) t(k)),
+  off AS (SELECT g.* FROM grid g WHERE NOT EXISTS (SELECT 1 FROM gpool p WHERE p.ifo = g.ifo AND p.fid BETWEEN floor(g.gps / 4096) - 1 AND floor(g.gps / 4096) + 1 AND abs(p.gps - g.gps) < 8)),
+  c AS (SELECT o.*, split, split <> 'val' AND {_CACHED} AS cached FROM off o JOIN assigned a ON a.grp = o.grp)
+  SELECT split, ifo, grp, gps, cached FROM c QUALIFY cached = max(cached) OVER (PARTITION BY split, ifo)""")
 def offsource_cached_first(spark, sf_dir):
-    c = _offsource(spark, sf_dir).withColumn("cached", draws.u("cached", F.col("ifo"), F.col("gps").cast("bigint")) < 0.02)
-    return groups.cached_first(c, ["ifo", "grp"]).select("ifo", "grp", "gps", "cached")
+    """Per split and detector the cached candidates, where there are any (none are in val)."""
+    pool = V.pool(spark, sf_dir)
+    c = _offsource(spark, sf_dir).join(groups.assign_groups(groups.group_counts(pool)).select("grp", "split"), "grp")
+    c = c.withColumn("cached", (F.col("split") != "val") & (draws.u("cached", F.col("ifo"), F.col("gps").cast("bigint")) < 0.02))
+    return groups.cached_first(c, ["split", "ifo"]).select("split", "ifo", "grp", "gps", "cached")
 
 
 @query(f"WITH {POOL} SELECT ord, ifo, label, snr FROM pool p WHERE NOT EXISTS (SELECT 1 FROM pool b WHERE b.label = 'error' AND b.ifo = p.ifo AND floor(b.gps / 64) = floor(p.gps / 64))")
@@ -316,6 +332,49 @@ def audit_rollup(spark, sf_dir):
     return audits.rollup(s, positives=pairs.positive_pairs(s))
 
 
+#: Metadata with something wrong for every check.
+_BAD = """bad AS (SELECT * REPLACE (
+    CASE WHEN num % 3 = 0 AND detector = 'L1' THEN 'test' ELSE split END AS split,
+    CASE WHEN num % 7 = 0 AND detector = 'L1' THEN 'chirp_other' ELSE chirp_id END AS chirp_id,
+    CASE WHEN has_glitch = 1 AND num % 50 = 0 THEN 'unknown_noise' ELSE noise_type END AS noise_type) FROM sample WHERE num % 41 <> 0 OR detector <> 'H1')"""
+
+
+def bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, second = F.col("num"), F.col("detector") == "L1"
+    s = V.samples(spark, sf_dir).where("num % 41 <> 0 or detector <> 'H1'")
+    s = s.withColumn("split", F.when((n % 3 == 0) & second, "test").otherwise(F.col("split"))).withColumn("chirp_id", F.when((n % 7 == 0) & second, "chirp_other").otherwise(F.col("chirp_id")))
+    return s.withColumn("noise_type", F.when((F.col("has_glitch") == 1) & (n % 50 == 0), "unknown_noise").otherwise(F.col("noise_type")))
+
+
+def _sides(pairs: str, other: str) -> str:
+    return f"{pairs} p LEFT JOIN bad a ON p.anchor_sample_id = a.sample_id LEFT JOIN bad c ON p.{other} = c.sample_id"
+
+
+_CROSSED = "a.split IS DISTINCT FROM p.split OR c.split IS DISTINCT FROM p.split"
+_ROLLUP_BAD = " UNION ALL ".join(
+    (
+        _counted("event_leakage", 0, _leaks("event_id", "bad")), _counted("chirp_leakage", 1, _leaks("chirp_id", "bad")), _counted("glitch_leakage", 2, _leaks("glitch_id", "bad", "glitch_id <> ''")),
+        _counted("source_group_leakage", 3, _leaks(_GROUP, "bad", "glitch_id <> ''")), _counted("background_domain", 4, "SELECT 1 FROM domains WHERE with_glitch <> without_glitch"),
+        _counted("background_group_leakage", 5, _leaks("background_source_group", "bad")),
+        _counted("positive_pairs", 6, f"SELECT 1 FROM {_sides('positives', 'positive_sample_id')} WHERE NOT coalesce(a.event_id = c.event_id AND a.chirp_id = c.chirp_id AND a.chirp_id <> '', false)"),
+        _counted("negative_pairs", 7, f"""SELECT 1 FROM {_sides('negatives', 'candidate_sample_id')} WHERE a.sample_id IS NULL OR c.sample_id IS NULL
+          OR CASE WHEN negative_type = 'invalid_delay_same_chirp' THEN coalesce(p.same_chirp <> 1, true) ELSE coalesce(a.chirp_id = c.chirp_id AND a.chirp_id <> '', false) END"""),
+        _counted("match_pair_split", 8, f"SELECT 1 FROM {_sides('positives', 'positive_sample_id')} WHERE {_CROSSED}"),
+        _counted("negative_pair_split", 9, f"SELECT 1 FROM {_sides('negatives', 'candidate_sample_id')} WHERE {_CROSSED}"),
+        _counted("combined_pair_split", 10, f"SELECT 1 FROM {_sides('combined', 'candidate_sample_id')} WHERE {_CROSSED}"),
+    )
+)
+
+
+@query(f"""WITH {Q.BASE}, {Q.POSITIVE}, {Q.NEGATIVES}, {Q.COMBINED}, {_BAD}, {_DOMAINS.replace('FROM sample)', 'FROM bad)')}, r AS ({_ROLLUP_BAD})
+  SELECT *, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM r""")
+def audit_rollup_leaky(spark, sf_dir):
+    """All eleven checks, over metadata that breaks each of them."""
+    s = samples_once(spark, sf_dir)
+    positives, negatives = pairs.positive_pairs(s), saved(pairs.negative_pairs(s), "negatives")
+    return audits.rollup(bad_rows(spark, sf_dir), positives, negatives, pairs.combined_pairs(s, positives, negatives))
+
+
 @query(f"""WITH {SAMPLES}, used AS (SELECT split, glitch_id, {_GROUP} AS grp FROM sample WHERE glitch_id <> ''),
   uses AS (SELECT split, glitch_id, count(*) AS n FROM used GROUP BY ALL)
   SELECT split, sum(n)::BIGINT AS samples, count(*) AS unique_glitches, (SELECT count(DISTINCT grp) FROM used x WHERE x.split = uses.split) AS source_groups, max(n) AS most_uses FROM uses GROUP BY split""")
@@ -397,27 +456,36 @@ def yolo_encode(spark, sf_dir):
     return y.select("sample_id", "y.class_id", *[F.round(f"y.{k}", 6).alias(k) for k in ("cx", "cy", "w", "h")], F.round("area", 6).alias("area"))
 
 
-@query("""WITH l AS (SELECT event_id, event_id % 3 || ' ' || (value / 1000) || ' 0.5 0.25 ' || CASE WHEN event_id % 5 = 0 THEN 'x' WHEN event_id % 7 = 0 THEN '0.1 9' ELSE '0.125' END AS line FROM events)
-  SELECT event_id, (event_id % 3)::INT AS class_id, round(value / 1000, 6) AS cx, 0.5::DOUBLE AS cy, 0.25::DOUBLE AS w, 0.125::DOUBLE AS h FROM (SELECT e.event_id, e.value FROM events e)
-  WHERE event_id % 5 <> 0 AND event_id % 7 <> 0""")
+@query("""WITH l AS (SELECT event_id, '  ' || CASE WHEN event_id % 11 = 0 THEN '1.0' ELSE (event_id % 3)::VARCHAR END || ' ' || (value / 1000) || '  0.5 ' || (value / 7000) || ' '
+    || CASE WHEN event_id % 5 = 0 THEN 'x' WHEN event_id % 7 = 0 THEN '0.1 9' ELSE '.125e0' END AS line FROM events),
+  t AS (SELECT event_id, string_split_regex(trim(line), '\\s+') AS t FROM l),
+  n AS (SELECT event_id, t, [TRY_CAST(x AS DOUBLE) for x in t] AS v FROM t)
+  SELECT event_id, v[1]::INT AS class_id, round(v[2], 6) AS cx, v[3] AS cy, round(v[4], 6) AS w, v[5] AS h FROM n
+  WHERE len(t) = 5 AND regexp_full_match(t[1], '[+-]?[0-9]+') AND len(list_filter(v, lambda x: x IS NULL)) = 0""")
 def yolo_parse(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events")
-    tail = F.when(F.col("event_id") % 5 == 0, "x").when(F.col("event_id") % 7 == 0, "0.1 9").otherwise("0.125")
-    line = F.concat_ws(" ", (F.col("event_id") % 3).cast("string"), (F.col("value") / 1000).cast("string"), F.lit("0.5 0.25"), tail)
+    e, n = V.table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.when(n % 11 == 0, "1.0").otherwise((n % 3).cast("string"))
+    tail = F.when(n % 5 == 0, "x").when(n % 7 == 0, "0.1 9").otherwise(".125e0")
+    line = F.concat(F.lit("  "), kind, F.lit(" "), (F.col("value") / 1000).cast("string"), F.lit("  0.5 "), (F.col("value") / 7000).cast("string"), F.lit(" "), tail)
     b = e.select("event_id", S.parse_yolo(line).alias("b")).where("b is not null")
-    return b.select("event_id", "b.class_id", F.round("b.cx", 6).alias("cx"), "b.cy", "b.w", "b.h")
+    return b.select("event_id", "b.class_id", F.round("b.cx", 6).alias("cx"), "b.cy", F.round("b.w", 6).alias("w"), "b.h")
 
 
-_LABELS = "[0.0::DOUBLE, 0.004::DOUBLE, 0.02::DOUBLE]"
-
-
-@query(f"""WITH {SAMPLES}, {_BOX}, y AS (SELECT sample_id, (t0 + t1) / 2 / 4.0::DOUBLE AS cx, 1 - (a + b) / 2 AS cy, {u('label', 'sample_id')} AS r FROM box WHERE t0 IS NOT NULL)
-  SELECT sample_id, (r * 0.04::DOUBLE > 0.01::DOUBLE AND (r * 0.04::DOUBLE + 0.5::DOUBLE) > 0.01::DOUBLE)::INT AS mismatch FROM y""")
+@query(f"""WITH {SAMPLES}, {_BOX},
+  y AS (SELECT sample_id, (t0 + t1) / 2 / 4.0::DOUBLE AS cx, 1 - (a + b) / 2 AS cy, (t1 - t0) / 4.0::DOUBLE AS w, abs(b - a) AS h, {u('label', 'sample_id')} * 0.04::DOUBLE AS s, {u('lost', 'sample_id')} < 0.1 AS lost FROM box WHERE t0 IS NOT NULL),
+  labels AS (SELECT sample_id, cx + s AS x, cy AS y, w, h FROM y WHERE NOT lost UNION ALL SELECT sample_id, cx, cy - 0.03::DOUBLE + s, w, h + s / 4 FROM y WHERE NOT lost UNION ALL SELECT sample_id, cx, cy, w + 0.5::DOUBLE, h FROM y WHERE NOT lost),
+  gaps AS (SELECT y.sample_id, greatest(abs(l.x - y.cx), abs(l.y - y.cy), abs(l.w - y.w), abs(l.h - y.h)) AS gap FROM y JOIN labels l ON l.sample_id = y.sample_id)
+  SELECT y.sample_id, coalesce(min(gap) > 0.01::DOUBLE, true)::INT AS mismatch FROM y LEFT JOIN gaps g ON g.sample_id = y.sample_id GROUP BY y.sample_id""")
 def box_mismatch(spark, sf_dir):
+    """Whether the nearest of three label boxes, or none where the labels are lost, is off."""
     y = _boxes(spark, sf_dir).select("sample_id", S.yolo(F.col("box")).alias("y"))
-    shift = draws.u("label", F.col("sample_id")) * 0.04
-    moved = lambda d: F.struct(F.lit(0).alias("class_id"), F.col("y.cx").alias("cx"), F.col("y.cy").alias("cy"), F.col("y.w").alias("w"), (F.col("y.h") + d).alias("h"))
-    labels = F.array(moved(shift), moved(shift + 0.5))
+    s = draws.u("label", F.col("sample_id")) * 0.04
+
+    def label(**moved):
+        return F.struct(F.lit(0).alias("class_id"), *[(F.col(f"y.{k}") + moved.get(k, F.lit(0.0))).alias(k) for k in ("cx", "cy", "w", "h")])
+
+    every = F.array(label(cx=s), label(cy=s - 0.03, h=s / 4), label(w=F.lit(0.5)))
+    labels = F.when(draws.u("lost", F.col("sample_id")) < 0.1, F.slice(every, 1, 0)).otherwise(every)
     return y.select("sample_id", A.box_mismatch(F.col("y"), labels).cast("int").alias("mismatch"))
 
 
@@ -462,6 +530,27 @@ def veto_loud_pixels(spark, sf_dir):
     return _squares(spark, sf_dir).select("id", loud.cast("bigint").alias("loud"), (loud <= 12).cast("int").alias("accepted"))
 
 
+@query(f"""WITH {CELLS}, pk AS (SELECT id, max(energy) AS peak FROM cells GROUP BY id),
+  seg AS (SELECT c.id, count(*) FILTER (WHERE energy >= 0.03) AS loud,
+    (max(r) FILTER (WHERE energy >= peak * 0.3::DOUBLE) - min(r) FILTER (WHERE energy >= peak * 0.3::DOUBLE) + 1) * (max(c) FILTER (WHERE energy >= peak * 0.3::DOUBLE) - min(c) FILTER (WHERE energy >= peak * 0.3::DOUBLE) + 1) / 64.0::DOUBLE AS area
+    FROM cells c JOIN pk USING (id) WHERE peak > 0 GROUP BY c.id),
+  tried AS (SELECT o_orderkey AS num, t.k AS attempt, floor({u('segment', 'o_orderkey', 't.k')} * (SELECT count(*) FROM embeddings))::BIGINT AS id FROM orders, range(12) t(k))
+  SELECT num, min(attempt)::INT AS attempt, arg_min(t.id, attempt) AS id FROM tried t JOIN seg s ON s.id = t.id WHERE loud <= 8 AND area <= 0.6::DOUBLE GROUP BY num""")
+def segment_accept(spark, sf_dir):
+    """The first of twelve drawn segments that is quiet enough and whose ridge box is small enough."""
+    cells = V.cells(spark, sf_dir)
+    box = A.ridge_bounds(cells, "id").withColumn("area", (F.col("r_max") - F.col("r_min") + 1) * (F.col("c_max") - F.col("c_min") + 1) / 64.0)
+    loud = cells.groupBy("id").agg(F.count(F.when(F.col("energy") >= 0.03, 1)).alias("loud"))
+    judged = box.join(loud, "id").select("id", ((F.col("loud") <= 8) & (F.col("area") <= 0.6)).alias("accepted"))
+    size = V.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("size"))
+
+    def evaluate(tried: DataFrame) -> DataFrame:
+        drawn = tried.join(F.broadcast(size)).withColumn("id", F.floor(draws.u("segment", F.col("num"), F.col("attempt")) * F.col("size")).cast("bigint"))
+        return drawn.join(judged, "id").select("num", "attempt", "id", "accepted")
+
+    return groups.first_accepted(_numbers(spark, sf_dir), 12, evaluate, ["id"]).where("attempt is not null")
+
+
 @query(f"WITH {CELLS} SELECT id, round(avg(energy) FILTER (WHERE c BETWEEN 2 AND 5) / nullif(avg(energy) FILTER (WHERE c NOT BETWEEN 2 AND 5), 0), 6) AS ratio FROM cells WHERE r <= 3 GROUP BY id")
 def pedestal_ratio(spark, sf_dir):
     high = V.cells(spark, sf_dir).where("r <= 3")
@@ -496,7 +585,10 @@ def dft_power(spark, sf_dir):
 
 
 # ------------------------------------------------ kernels (checked in the tests; no SQL)
-@query()
+@query(f"""WITH {SERIES}, pts AS (SELECT id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM series), ks AS (SELECT unnest(range(4, 17)) AS k),
+  dft AS (SELECT id, k, sum(v * cos(-2 * pi() * ((k * i) % 64) / 64)) AS re, sum(v * sin(-2 * pi() * ((k * i) % 64) / 64)) AS im FROM pts, ks GROUP BY id, k),
+  kept AS (SELECT id, 2 * sum(re * re + im * im) / 64 AS power FROM dft GROUP BY id)
+  SELECT p.id, round(sum(v * v), 6) AS power_in, round(any_value(power), 6) AS power_out FROM pts p JOIN kept k ON k.id = p.id GROUP BY p.id""")
 def bandlimit_fft(spark, sf_dir):
     s = V.series(spark, sf_dir).select("id", synthesis.bandlimited(F.col("x"), 64.0, 4.0, 16.0).alias("y"), "x")
     power = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda t, v: t + v * v), 6)
@@ -521,7 +613,7 @@ def _numbers(spark, sf_dir):
 @query()
 def inject_snr(spark, sf_dir):
     """The SNR that injections reach against what was asked for, per event of the orders table."""
-    m = synthesis.build_samples(_numbers(spark, sf_dir), DEFAULT).where("has_chirp = 1")
+    m = synthesis.build_samples(_numbers(spark, sf_dir), DEFAULT, energy=False).where("has_chirp = 1")
     return m.select("sample_id", *six("target_snr", "detector_snr", "network_snr"), "snr_bin")
 
 
@@ -538,11 +630,10 @@ def sample_table_build(spark, sf_dir):
 
 @query()
 def event_table_build(spark, sf_dir):
-    return synthesis.event_table(synthesis.build_samples(_numbers(spark, sf_dir), DEFAULT))
+    return synthesis.event_table(synthesis.build_samples(_numbers(spark, sf_dir), DEFAULT, energy=False))
 
 
 @query(f"WITH {POOL} SELECT ifo, fid, count(*) AS n FROM gpool GROUP BY ifo, fid")
 def stream_group_counts(spark, sf_dir):
     where = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    name = f"stream_counts_{uuid.uuid4().hex[:8]}"
-    return stream.run_counts(spark, f"{sf_dir}/events.parquet", where, name)
+    return stream.run_counts(spark, f"{sf_dir}/events.parquet", f"{where}/checkpoint", f"{where}/counts")

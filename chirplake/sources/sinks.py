@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from chirplake.config import BANDS, DatasetConfig
 from chirplake.functions import scalars as S
 from chirplake.functions import spectral
-from chirplake.operators import audits
+from chirplake.operators import arrays as A
+from chirplake.operators import audits, segments
+from chirplake.operators.scratch import saved
 from chirplake.ship import ship
 
 
@@ -119,6 +121,64 @@ def contact_sheets(pictures: DataFrame, key: str, columns: int = 4) -> DataFrame
     return pictures.select(key, "energy").groupBy(key).applyInPandas(run, schema)
 
 
+def outlined(content: Column, boxes: Column) -> Column:
+    """PNG pictures with their boxes (array of class_id, cx, cy, w, h): chirps in dashed red, glitches in solid green; one without boxes as it is."""
+    ship(SparkSession.active())
+    marks = F.transform(boxes, lambda b: F.array(b["class_id"].cast("double"), b["cx"], b["cy"], b["w"], b["h"]))
+
+    @F.pandas_udf(T.BinaryType())
+    def run(pictures: pd.Series, every: pd.Series) -> pd.Series:
+        out = []
+        for data, own in zip(pictures, every, strict=True):
+            if data is None or own is None or not len(own):
+                out.append(data)
+                continue
+            rgb = spectral.read_png(bytes(data))
+            h, w, _ = rgb.shape
+            for kind, x, y, bw, bh in sorted(own, key=lambda b: -b[0]):  # glitches first
+                rgb = spectral.draw_box(rgb, ((x - bw / 2) * w, (y - bh / 2) * h, (x + bw / 2) * w, (y + bh / 2) * h), (255, 64, 64) if kind == 0 else (64, 255, 64), width=2, dash=9 if kind == 0 else 0)
+            out.append(spectral.png(rgb))
+        return pd.Series(out)
+
+    return run(content, marks)
+
+
+def picture_sheets(pictures: DataFrame, key: str, columns: int = 4, side: int = 320) -> DataFrame:
+    """One sheet per key of PNG pictures (columns sample_id, png) at one size, in order of sample_id; choose a few rows per key first."""
+    ship(pictures.sparkSession)
+    schema = pictures.select(key).schema.add("sheet", "binary")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shown = [spectral.resized(spectral.read_png(bytes(p)), side) for p in pdf.sort_values("sample_id")["png"]]
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "sheet": [spectral.png(spectral.contact_sheet(shown, columns, 14))]})
+
+    return pictures.groupBy(key).applyInPandas(run, schema)
+
+
+def labels_off(stated: Column, boxes: Column, tolerance: float) -> Column:
+    """Whether a sample's chirp labels (boxes of class 0) and the box that its metadata state differ."""
+    chirps = F.filter(boxes, lambda b: b["class_id"] == 0)
+    return F.when(stated.isNull(), F.size(chirps) > 0).otherwise(A.box_mismatch(stated, chirps, tolerance))
+
+
+def pedestal(series: Column, start: Column, end: Column, config: DatasetConfig, above: float = 400.0) -> Column:
+    """Mean energy between start and end over that outside, in the rows from ``above`` Hz up; null where there is none outside."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf(T.DoubleType())
+    def run(every: pd.Series, begin: pd.Series, stop: pd.Series) -> pd.Series:
+        freqs, times = spectral.row_frequencies(config.image_height), np.linspace(0, config.duration, config.image_width)
+        out = []
+        for x, a, b in zip(every, begin, stop, strict=True):
+            high = segments.energy_map(np.asarray(x, dtype=float), config)[freqs >= above]
+            inside = (times >= a) & (times <= b)
+            outside = float(high[:, ~inside].mean()) if (~inside).any() else 0.0
+            out.append(float(high[:, inside].mean()) / outside if outside > 0 and inside.any() else None)
+        return pd.Series(out, dtype=float)
+
+    return run(series, start, end)
+
+
 def strain_file(strain: Column) -> Column:
     """The bytes of a .npy file of 32-bit floats."""
 
@@ -138,12 +198,17 @@ def strain_file(strain: Column) -> Column:
     return run(strain)
 
 
-def manifest_json(metadata: DataFrame, assignment: DataFrame | None = None) -> str:
-    """The source-group manifest of a dataset (a driver-side export; splits are few)."""
-    tree = audits.manifest_tree(metadata)
-    out = {r["split"]: {"source_groups": r["groups"], "glitch_uses": dict(r["uses"]), "samples": sum(r["uses"].values()), "unique_glitches": len(r["uses"])} for r in tree.collect()}
-    assigned = {} if assignment is None else {r["grp"]: r["split"] for r in assignment.select("grp", "split").collect()}
-    return json.dumps({"assignment": assigned, "splits": out}, indent=2, sort_keys=True)
+def write_manifest(metadata: DataFrame, path: str, assignment: DataFrame | None = None) -> None:
+    """The source-group manifest of a dataset as folders of JSON lines: a summary per split, a line per use and per group of it, and the assignment of groups.
+
+    All of them are written by the tasks that have the rows.
+    """
+    rows = audits.glitch_rows(metadata).select("split", "glitch_id", S.glitch_group(F.col("glitch_source_group"), F.col("detector"), F.col("glitch_gps")).alias("grp"))
+    parts = {"splits": audits.manifest(metadata), "glitch_uses": rows.groupBy("split", "glitch_id").agg(F.count("*").alias("uses")), "source_groups": rows.where("grp is not null").select("split", "grp").distinct()}
+    if assignment is not None:
+        parts["assignment"] = assignment.select("grp", "split")
+    for name, part in parts.items():
+        part.write.mode("overwrite").json(f"{path}/{name}")
 
 
 def config_json(config: DatasetConfig, pool: bytes | None = None, commit: str = "") -> str:
@@ -178,11 +243,6 @@ def data_yaml(config: DatasetConfig, root: str) -> str:
     return "\n".join([f"path: {root}", *(f"{s}: qtransform_normalized/{s}" for s in config.ratios), "nc: 2", "names: ['chirp', 'glitch']"]) + "\n"
 
 
-def blacklist_json(known: DataFrame, more: DataFrame) -> str:
-    """Both lists in one, sorted."""
-    return json.dumps(sorted(r["key"] for r in known.select("key").union(more.select("key")).distinct().collect()), indent=0)
-
-
 def publish(metadata: DataFrame, pairs: dict[str, DataFrame], root: str, fields: dict[str, list[str]]) -> DataFrame:
     """Write to a staging folder, audit what was written, and only then move it into place and mark it complete."""
     spark = metadata.sparkSession
@@ -191,15 +251,23 @@ def publish(metadata: DataFrame, pairs: dict[str, DataFrame], root: str, fields:
     for name, table in tables.items():
         table.drop("boxes").write.mode("overwrite").parquet(f"{staging}/{name}")
     read = {n: spark.read.parquet(f"{staging}/{n}") for n in tables}
-    report = audits.rollup(read["metadata"], read.get("positives"), read.get("negatives"), read.get("pairs")).cache()
+    report = saved(audits.rollup(read["metadata"], read.get("positives"), read.get("negatives"), read.get("pairs")), "audit")
     audits.require(report)
     for name, names in fields.items():
         write_csv(read[name], names, f"{staging}/{name}_csv")
     report.write.mode("overwrite").parquet(f"{staging}/audit")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(path(root), True)
+    system.create(path(f"{staging}/_COMPLETE")).close()
+    # An older dataset steps aside and goes only when the new one has its name.
+    before = path(f"{root.rstrip('/')}.before")
+    if system.exists(path(root)):
+        system.delete(before, True)
+        if not system.rename(path(root), before):
+            raise OSError(f"{root} could not be moved aside")
     if not system.rename(path(staging), path(root)):
+        if system.exists(before):
+            system.rename(before, path(root))
         raise OSError(f"{staging} could not be moved to {root}")
-    system.create(path(f"{root}/_COMPLETE")).close()
+    system.delete(before, True)
     return spark.read.parquet(f"{root}/audit")

@@ -29,12 +29,18 @@ def group_counts(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return out.select("ifo", (F.unix_timestamp("w.start") / FILE_SECONDS).cast("bigint").alias("fid"), "n")
 
 
-def run_counts(spark: SparkSession, path: str, checkpoint: str, name: str) -> DataFrame:
-    """Work through what there is (a complete result, as an appending one withholds the last windows), then stop."""
-    q = group_counts(read_events(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name)
-    q = q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def run_counts(spark: SparkSession, path: str, checkpoint: str, sink: str) -> DataFrame:
+    """Work through what there is, then stop: each batch writes the counts that it changed into ``sink``, and the last count of each window is the result.
+
+    A batch that is run again writes over its own folder.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    q = group_counts(read_events(spark, path)).writeStream.outputMode("update").foreachBatch(batch)
+    q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", sink).parquet(f"{sink}/batch=*").groupBy("ifo", "fid").agg(F.max_by("n", "batch").alias("n"))
 
 
 def resumable(source: DataFrame, checkpoint: str, done: Callable[[SparkSession], DataFrame], keys: list[str], work: Callable[[DataFrame], DataFrame], sink: str) -> None:
