@@ -137,15 +137,29 @@ def _pick_by_range(asked: DataFrame, pool: DataFrame, keys: tuple[str, ...]) ->
     more = attempts(rest, FIRST_ATTEMPTS, ATTEMPTS - 1)
     rest = left_over(rest, more)
     found = found.unionByName(more)
-    octave = lambda lo, hi: F.sequence(F.floor(F.log2(lo) * 2).cast("int"), F.floor(F.log2(hi) * 2).cast("int"))
-    left = rest.where("label_high >= label_low and label_low > 0").withColumn("__o", F.explode(octave(F.col("label_low"), F.col("label_high"))))
-    right = every.where("c_label_high >= c_label_low and c_label_low > 0").withColumn("__o", F.explode(octave(F.col("c_label_low"), F.col("c_label_high"))))
-    exact = left.join(right, [*keys, "__o"]).where(_frequency_match())
-    first = F.row_number().over(Window.partitionBy("sample_id", "slot").orderBy("idx"))
-    exact = exact.withColumn("__r", first).where("__r = 1").drop("__r", "__o")
+    exact = _overlapping(rest, every, keys).groupBy(*rest.columns).agg(F.min(F.struct("idx", *[c for c in every.columns if c not in (*keys, "idx")])).alias("__c")).select("*", "__c.*").drop("__c")
     return found.unionByName(exact.select(found.columns))
 
 
+def _overlapping(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """All pairs whose ranges overlap enough, as an equi join on the class of the right range's width and the place of its middle.
+
+    An overlap above MIN_OVERLAP bounds the ratio of the widths and the distance of
+    the middles, in widths: a left range looks in the classes and places that these
+    allow. A right range is one row, and a left one some thirty, whatever the pool.
+    """
+    width = lambda lo, hi: F.greatest(F.col(hi) - F.col(lo), F.lit(1e-6))
+    classes = lambda w: F.floor(F.log2(w)).cast("int")
+    place = lambda middle, k: F.floor(middle / F.pow(F.lit(2.0), k)).cast("bigint")
+    known = right.where("c_label_high >= c_label_low")
+    known = known.withColumn("__k", classes(width("c_label_low", "c_label_high"))).withColumn("__p", place((F.col("c_label_low") + F.col("c_label_high")) / 2, F.col("__k")))
+    w, middle = width("label_low", "label_high"), (F.col("label_low") + F.col("label_high")) / 2
+    wide = left.where("label_high >= label_low").withColumn("__k", F.explode(F.sequence(classes(w * MIN_OVERLAP), classes(w / MIN_OVERLAP))))
+    reach = (w + F.pow(F.lit(2.0), F.col("__k") + 1)) / 2  # half of both widths
+    wide = wide.withColumn("__p", F.explode(F.sequence(place(middle - reach, F.col("__k")), place(middle + reach, F.col("__k")))))
+    return wide.join(known, [*keys, "__k", "__p"]).where(_frequency_match()).drop("__k", "__p")
+
+
 def _frequency_match() -> Column:
     return (F.col("c_chirp_id") != F.col("chirp_id")) & (S.freq_overlap(F.col("label_low"), F.col("label_high"), F.col("c_label_low"), F.col("c_label_high")) > MIN_OVERLAP)
 

@@ -21,19 +21,26 @@ def hash_rank(df: DataFrame, digest: Column, tie: Column, name: str = "rank") ->
     return keyed.join(F.broadcast(starts), "__bucket").withColumn(name, (F.col("__before") + within).cast("bigint")).drop("__digest", "__bucket", "__before")
 
 
+#: Blocks whose sizes one task adds up when rows are numbered.
+SUPER_BLOCK = 10_000
+
+
 def dense_number(df: DataFrame, lead: list[str], block: Column, order: list[Column], name: str) -> DataFrame:
     """Number rows from 1 in the order (lead, block, order), where ``block`` grows with ``order``.
 
-    Rows are numbered within blocks, and the blocks' running sum of sizes is
-    taken over one row a block; choose blocks of thousands of rows.
+    Rows are numbered within blocks, blocks within super-blocks of ``SUPER_BLOCK``
+    of them, and only the super-blocks' sizes are added up in one task; choose
+    blocks of thousands of rows.
     """
-    keys = [*lead, "__block"]
-    keyed = df.withColumn("__block", block)
+    above, keys = [*lead, "__super"], [*lead, "__super", "__block"]
+    keyed = df.withColumn("__block", block).withColumn("__super", F.floor(F.col("__block") / SUPER_BLOCK))
     sizes = keyed.groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*keys, F.coalesce(before, F.lit(0)).alias("__before"))
+    until = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    supers = sizes.groupBy(*above).agg(F.sum("__n").alias("__n")).select(*above, until(Window.orderBy(*above)).alias("__first"))
+    starts = sizes.withColumn("__before", until(Window.partitionBy(*above).orderBy("__block"))).join(supers, above)
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return keyed.join(starts, keys).withColumn(name, (F.col("__before") + within).cast("bigint")).drop("__block", "__before")
+    numbered = keyed.join(starts.select(*keys, (F.col("__first") + F.col("__before")).alias("__before")), keys)
+    return numbered.withColumn(name, (F.col("__before") + within).cast("bigint")).drop("__block", "__super", "__before")
 
 
 def quota_sizes(total: Column, ratios: dict[str, float]) -> Column:

@@ -242,3 +242,32 @@ def test_empty_tables(spark):
     s = samples(spark).limit(0)
     assert pairs.positive_pairs(s).count() == 0
     assert pairs.negative_pairs(s).count() == 0
+
+
+def test_overlapping_ranges_lose_none(spark):
+    """The keyed join against all pairs, over ranges of all widths, some empty."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    low = 10 ** rng.uniform(1.3, 3, 400)
+    high = low + np.where(rng.random(400) < 0.1, 0, 10 ** rng.uniform(-2, 3, 400))
+    rows = [("train", k, float(a), float(b), f"c{k}") for k, (a, b) in enumerate(zip(low, high, strict=True))]
+    left = spark.createDataFrame(rows, "split string, k int, label_low double, label_high double, chirp_id string")
+    right = spark.createDataFrame(rows, "split string, c_k int, c_label_low double, c_label_high double, c_chirp_id string")
+    got = {(r["k"], r["c_k"]) for r in pairs._overlapping(left, right, ("split",)).select("k", "c_k").collect()}
+    want = set()
+    for _, i, a, b, _ in rows:
+        for _, j, c, d, _ in rows:
+            union = max(b, d) - min(a, c)
+            if i != j and union > 0 and max(0.0, min(b, d) - max(a, c)) / union > pairs.MIN_OVERLAP:
+                want.add((i, j))
+    assert got == want and len(want) > 1000
+
+
+def test_numbers_over_super_blocks(spark, monkeypatch):
+    from chirplake.operators import ranks
+
+    monkeypatch.setattr(ranks, "SUPER_BLOCK", 3)
+    rows = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k"), (F.col("id") % 2).alias("lead"))
+    got = ranks.dense_number(rows, ["lead"], F.floor(F.col("k") / 10), [F.col("k")], "n").orderBy("lead", "k").collect()
+    assert [r["n"] for r in got] == list(range(1, 501))
