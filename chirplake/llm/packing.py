@@ -42,6 +42,7 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._known: dict[str, bytes] = {"": b""}
+        (self._between,) = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         added = self._tokenizer.get_added_tokens_decoder()
         self._added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
         self._splits = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
@@ -78,16 +79,33 @@ class WordTokenizer:
             todo.add(word[:at])
             todo.add(word[at:])
         todo = list(todo.difference(known))
-        for at in range(0, len(todo), 2_000):
-            some = todo[at : at + 2_000]
-            for word, got in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = array("I", got.ids).tobytes()
+        for at in range(0, len(todo), 500):
+            self._learn(todo[at : at + 500])
         for word, at in ended.items():
             known[word] = known[word[:at]] + known[word[at:]]
         for words in split:
             yield b"".join(map(known.__getitem__, words))
 
 
+    def _learn(self, words: list[str]) -> None:
+        """Take the ids of words from one text of them, in which a word that none of them holds stands between each two."""
+        known = self._known
+        joined = f" {_BETWEEN} ".join(words)
+        if joined.count(_BETWEEN) == len(words) - 1:
+            ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self._between)
+            if len(cuts) == len(words) - 1:
+                data, begin = ids.tobytes(), 0
+                for word, end in zip(words, [*(4 * cuts).tolist(), len(data)], strict=True):
+                    known[word] = data[begin:end]
+                    begin = end + 4
+                return
+        for word, got in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            known[word] = array("I", got.ids).tobytes()
+
+
+#: A word of a single id that hardly any text holds.
+_BETWEEN = "\x01"
 #: Letters, then ASCII punctuation but for the apostrophe, which may begin a contraction.
 _ENDED = re.compile(r"([^\W\d_]+)[!-&(-/:-@\[-`{-~]+")
 
@@ -223,7 +241,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -
     """Pack all rows of ``docs`` (doc_id, text; other columns are ignored) into windows.
 
     Returns per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset. Rows that repeat a doc_id are packed each for itself. A null doc_id
-    stays null. An empty table gives an empty table.
+    offset. A null or empty text is a single piece that holds the end id. A very
+    long text is tokenised whole, at some 100 bytes of memory a word. Rows that
+    repeat a doc_id are packed each for itself. A null doc_id stays null. An empty
+    table gives an empty table.
     """
     return pack(saved(pieces(docs, tokenizer_path, window), "pieces"), window)
