@@ -23,6 +23,12 @@ MARGIN = 0.12
 TILE_ROWS = (256, 8192)
 BLOCK = 1024
 _CELLS_OF_LENGTH = 1 << 20
+#: A cell of more rows is divided into parts by cells of its own, fitted on about so many of its rows.
+SPLIT_ROWS, PART_SAMPLE = 16 * CELL_ROWS, 2048
+#: Most parts of a cell, and numbers that are set aside for them.
+MAX_PARTS, _PARTS = 256, 1 << 10
+#: Rows that take one copy of a cell's part centres.
+SHARE_ROWS = 65_536
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -89,6 +95,65 @@ def assigned(vectors: DataFrame, centres: dict[int, np.ndarray], margin: float =
     return bounded_batches(vectors).mapInArrow(run, "node bigint, cells array<bigint>, vec binary")
 
 
+def divided(rows: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """Rows of :func:`assigned` with the parts of large cells in place of the cells.
+
+    A cell of more than ``SPLIT_ROWS`` rows gets spherical k-means cells of its own,
+    from a sample of its rows; a row joins all parts within ``margin`` of its best
+    one. So the work for a vector does not grow with the number of vectors while
+    cells can be divided, up to a million parts in all. A cell whose parts would
+    have most rows in common, as one of near copies, stays whole and is tiled.
+    """
+    spread = rows.select("node", "vec", F.explode("cells").alias("bucket"))
+    large = saved(spread.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS), "large")
+    whole = rows.withColumn("cells", F.transform("cells", lambda c: c * _PARTS))
+    if large.isEmpty():
+        return whole
+
+    def fit(part: pa.Table) -> pa.Table:
+        x = np.stack([np.frombuffer(v, np.float64) for v in part["vec"].to_pylist()])
+        k = min(MAX_PARTS, part["n"][0].as_py() // CELL_ROWS, len(x) // 8)
+        centres = spherical_kmeans(x, k) if k > 1 else x[:0]
+        if k > 1:
+            near = x @ centres.T
+            share = (near >= near.max(1, keepdims=True) - margin).mean(0)
+            if (share**2).sum() > 0.5:  # hardly fewer pairs than in the whole cell
+                centres = centres[:0]
+        return pa.table({"bucket": part["bucket"][:1], "centres": pa.array([centres.tobytes()], pa.binary())})
+
+    # Cells are some thousands, so their table is small.
+    cells = F.broadcast(large.withColumn("m", F.ceil(F.col("n") / SHARE_ROWS).cast("bigint")))
+    sampled = spread.join(cells, "bucket").where(F.pmod(F.xxhash64("node", F.lit("part")), F.ceil(F.col("n") / PART_SAMPLE)) == 0)
+    parts = saved(sampled.select("bucket", "n", "vec").groupBy("bucket").applyInArrow(fit, "bucket bigint, centres binary").where(F.octet_length("centres") > 0), "parts")
+    if parts.isEmpty():
+        return whole
+    cut = parts.join(cells, "bucket").select("bucket", "m", "centres")
+    names = F.broadcast(cut.select("bucket", "m"))
+    heads = cut.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))).select("bucket", "share", F.lit(None).cast("bigint").alias("node"), F.col("centres").alias("data"), F.lit(0).alias("kind"))
+    body = spread.join(names, "bucket").select("bucket", F.pmod(F.xxhash64("node"), F.col("m")).alias("share"), "node", F.col("vec").alias("data"), F.lit(1).alias("kind"))
+    dealt = heads.unionByName(body).withColumn("task", F.xxhash64("bucket", "share")).repartition(shuffle_partitions(rows), "task").sortWithinPartitions("task", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = np.empty((0, 0))
+        for batch in batches:
+            kind, bucket, data = batch["kind"].to_numpy(), batch["bucket"].to_numpy(), batch["data"].to_pylist()
+            cuts = np.flatnonzero(kind == 0).tolist()
+            for s, e in zip([0, *cuts], [*cuts, len(kind)], strict=True):
+                if s < len(kind) and kind[s] == 0:  # a cell's centres come before its rows
+                    size = int(bucket[s]) // _CELLS_OF_LENGTH
+                    centres, s = np.frombuffer(data[s], np.float64).reshape(-1, size), s + 1  # noqa: PLW2901
+                if s < e:
+                    near = np.stack([np.frombuffer(v, np.float64) for v in data[s:e]]) @ centres.T
+                    close = near >= near.max(1, keepdims=True) - margin
+                    base = int(bucket[s]) * _PARTS + 1
+                    yield pa.RecordBatch.from_arrays([batch["node"].slice(s, e - s), pa.array([(np.flatnonzero(c) + base).tolist() for c in close], pa.list_(pa.int64()))], ["node", "parts"])
+
+    fine = bounded_batches(dealt.select("bucket", "node", "data", "kind")).mapInArrow(run, "node bigint, parts array<bigint>")
+    rest = spread.join(names, "bucket", "left_anti").select("node", F.array(F.col("bucket") * _PARTS).alias("parts"))
+    every = fine.unionByName(rest).groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("cells"))
+    return saved(rows.select("node", "vec").join(every, "node").select("node", "cells", "vec"), "divided")
+
+
 def _own_pairs(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
     """Which pairs have this cell as the smallest that both vectors are in: each pair counts in one cell."""
     keep = np.ones(len(i), bool)
@@ -176,10 +241,11 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float =
     """vec_id, n_links, component_id, kept: one row per vec_id of ``vectors`` (vec_id, embedding).
 
     Cells come from spherical k-means on a bounded sample; every vector is
-    assigned to its closest centre and to all within ``margin`` of it, and all
-    vectors of a cell are compared, in tiles if the cell is large. So a pair is
-    found if the two share a cell; the measured recall is in the tests. A pair
-    that shares several counts in the smallest. Tasks return counts and forests,
+    assigned to its closest centre and to all within ``margin`` of it, large cells
+    are divided in the same way (:func:`divided`), and all vectors of a cell are
+    compared, in tiles if it is still large. So a pair is found if the two share a
+    cell; the measured recall is in the tests. A pair that shares several counts in
+    the smallest. Tasks return counts and forests,
     not pairs.
 
     Vectors that are null, zero or hold a null or an infinite or undefined number
@@ -189,7 +255,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float =
     """
     good = saved(usable(vectors), "vectors")
     count = good.count()
-    found = saved(find_links(assigned(good, fit_centres(good, count), margin), threshold), "links")
+    found = saved(find_links(divided(saved(assigned(good, fit_centres(good, count), margin), "assigned"), margin), threshold), "links")
     labels = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).where("a <> b"))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "node")
     every = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).distinct().withColumn("node", F.col("vec_id"))

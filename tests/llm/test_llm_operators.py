@@ -601,6 +601,32 @@ def test_vectors_sql(spark, tmp_path):
     assert sum(w[1] for w in want) >= 800 and sorted(map(tuple, embed_dedup.similar_vectors(vectors).collect())) == want
 
 
+@pytest.mark.parametrize("share_rows", [200, embed_dedup.SHARE_ROWS])
+def test_divided_cells_lose_hardly_a_link(spark, monkeypatch, share_rows):
+    """Few cells of thousands of rows, divided into parts, and one group of near copies that stays whole."""
+    for name, value in (("MAX_CELLS", 2), ("SPLIT_ROWS", 300), ("CELL_ROWS", 32), ("PART_SAMPLE", 900), ("SHARE_ROWS", share_rows)):
+        monkeypatch.setattr(embed_dedup, name, value)
+    rng = np.random.default_rng(14)
+    centre = rng.standard_normal((40, 32))
+    x = np.repeat(centre, 60, axis=0) + rng.standard_normal((2400, 32)) * 0.9
+    x[1::2] = x[::2] + rng.standard_normal((1200, 32)) * rng.uniform(0.02, 0.33, (1200, 1)) * np.linalg.norm(x[::2], axis=1, keepdims=True) / np.sqrt(32)
+    x = np.concatenate([x, centre[0] * 3 + rng.standard_normal((500, 32)) * 0.05])
+    rows = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id bigint, vec array<double>")
+    placed = embed_dedup.assigned(rows, embed_dedup.fit_centres(rows, len(x)))
+    cells = embed_dedup.divided(placed)
+    sizes = lambda t: {r["c"]: r["count"] for r in t.select(F.explode("cells").alias("c")).groupBy("c").count().collect()}
+    before, after = sizes(placed), sizes(cells)
+    assert cells.count() == len(x) and sum(n * n for n in after.values()) < 0.6 * sum(n * n for n in before.values())
+    vectors = rows.withColumnRenamed("vec", "embedding")
+    got = embed_dedup.similar_vectors(vectors).toPandas().sort_values("vec_id", ignore_index=True)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert (got["n_links"].to_numpy() <= near.sum(1)).all() and got["n_links"].sum() >= 0.97 * near.sum()
+    single = near[:2400, :2400].sum(1)
+    assert got["n_links"].to_numpy()[:2400][single == 1].sum() >= 0.93 * (single == 1).sum()
+
+
 def test_vectors_in_tiny_tiles(spark):
     rng = np.random.default_rng(9)
     x = np.repeat(rng.standard_normal((6, 16)), 20, axis=0) + rng.standard_normal((120, 16)) * 0.01
