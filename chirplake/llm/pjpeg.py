@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,8 @@ def _inverse_transform() -> np.ndarray:
     return np.einsum("ux,vy->uvxy", basis, basis).reshape(64, 64).astype(np.float32)
 
 
-_IDCT = _inverse_transform()
+#: Coefficients in zigzag order to row-major samples.
+_IDCT = np.ascontiguousarray(_inverse_transform()[ZIGZAG])
 
 
 @dataclass
@@ -290,32 +292,42 @@ class Decoder:
         if len(parts) == 1:
             c = parts[0][0]
             grid = np.arange(c.blocks_h)[:, None] * c.coefs.shape[1] + np.arange(c.blocks_w)[None, :]
-            places, owners = grid.reshape(-1, 1), [0]
+            places, counts = [grid.reshape(-1, 1)], [1]
         else:
-            columns, owners = [], []
-            y, x = np.arange(self.mcus_h)[:, None], np.arange(self.mcus_w)[None, :]
-            for k, (c, _, _) in enumerate(parts):
-                for v in range(c.v):
-                    for h in range(c.h):
-                        columns.append(((y * c.v + v) * c.coefs.shape[1] + x * c.h + h).ravel())
-                        owners.append(k)
-            places = np.column_stack(columns)
-        step = self.restart or len(places)
+            counts = [c.h * c.v for c, _, _ in parts]
+            many = self.mcus_w * self.mcus_h > _KEPT_MCUS
+            places = (_places.__wrapped__ if many else _places)(self.mcus_w, self.mcus_h, tuple((c.h, c.v) for c, _, _ in parts))
+        mcus = len(places[0])
+        step = self.restart or mcus
         flat = [c.coefs.reshape(-1, 64) for c, _, _ in parts]
         for k, data in enumerate(intervals):
-            rows = places[k * step : (k + 1) * step]
-            if not len(rows):
+            rows = slice(k * step, min((k + 1) * step, mcus))
+            n = rows.stop - rows.start
+            if n <= 0:
                 break
             if high:
-                bits = np.r_[np.unpackbits(np.frombuffer(data, np.uint8)), np.zeros(rows.size, np.uint8)][: rows.size].reshape(rows.shape)
-                for j, owner in enumerate(owners):
-                    flat[owner][rows[:, j], 0] |= bits[:, j].astype(np.int32) << low
+                values = np.unpackbits(np.frombuffer(data, np.uint8), count=n * sum(counts)).reshape(n, -1)  # zeros follow the end
             else:
-                values = _dc_first(Bits(data), [self.codes[0, parts[o][1]] for o in owners], len(rows)).reshape(rows.shape)
-                for owner in set(owners):
-                    own = [j for j, o in enumerate(owners) if o == owner]
-                    totals = np.cumsum(values[:, own].ravel())
-                    flat[owner][rows[:, own].ravel(), 0] = totals << low
+                values = _dc_first(Bits(data), [self.codes[0, table] for (_, table, _), count in zip(parts, counts, strict=True) for _ in range(count)], n).reshape(n, -1)
+            at = 0
+            for own, place, count in zip(flat, places, counts, strict=True):
+                part = values[:, at : at + count].ravel()
+                at += count
+                if high:
+                    own[place[rows].ravel(), 0] |= part.astype(np.int32) << low
+                else:
+                    own[place[rows].ravel(), 0] = part.cumsum() << low
+
+
+#: Pictures of up to so many MCUs have their places kept for the next one of their size (some 50 bytes an MCU).
+_KEPT_MCUS = 4096
+
+
+@functools.lru_cache(maxsize=128)
+def _places(mcus_w: int, mcus_h: int, factors: tuple[tuple[int, int], ...]) -> list[np.ndarray]:
+    """Per component, the places of its blocks: a row an MCU, in the order of an interleaved scan."""
+    y, x = np.arange(mcus_h)[:, None, None, None], np.arange(mcus_w)[None, :, None, None]
+    return [((y * v + np.arange(v)[:, None]) * (mcus_w * h) + x * h + np.arange(h)).reshape(-1, h * v) for h, v in factors]
 
 
 def _dc_first(bits: Bits, codes: list[Huffman], mcus: int) -> np.ndarray:
@@ -369,8 +381,8 @@ def _ac_first(bits: Bits, rows: np.ndarray, code: Huffman, first: int, last: int
                     value = packed.astype(np.int32) if size == 8 else packed.view(">u2").astype(np.int32)
                     value = np.where(extra[:, 0] == 1, value, value - (1 << size) + 1) << low
                     start = block * width + k - first
-                    if width == 63 and start == 0 and same == n * 63:
-                        rows[:, 1:] = value.reshape(n, 63)
+                    if start == 0 and same == n * width:
+                        rows[:, first : last + 1] = value.reshape(n, width)
                     else:
                         place = np.arange(start, start + same)
                         rows[place // width, first + place % width] = value
@@ -401,8 +413,11 @@ def _correct(bits: Bits, values: np.ndarray, low: int) -> np.ndarray:
     got = bits.all()[bits.at : bits.at + len(there)]
     bits.at += len(there)
     out = values.copy()
-    on = there[: len(got)][got == 1]
-    out[on] += np.sign(values[on]) << low
+    if len(got) == len(out):  # none is zero
+        out += np.where(out > 0, got, -got.astype(np.int32)) << low
+    else:
+        on = there[: len(got)][got == 1]
+        out[on] += np.sign(values[on]) << low
     return out
 
 
@@ -416,9 +431,11 @@ def _ac_refine(bits: Bits, rows: np.ndarray, code: Huffman, first: int, last: in
             zeros, size = symbol >> 4, symbol & 15
             if not size and zeros < 15:
                 run = (1 << zeros) + bits.take(zeros)
-                rows[block, k : last + 1] = _correct(bits, rows[block, k : last + 1], low)
-                if run > 1:
-                    more = rows[block + 1 : block + run, first : last + 1]
+                whole = 0 if k == first else 1  # blocks of the run that are not all left
+                if whole:
+                    rows[block, k : last + 1] = _correct(bits, rows[block, k : last + 1], low)
+                if run > whole:
+                    more = rows[block + whole : block + run, first : last + 1]
                     more[...] = _correct(bits, more.ravel(), low).reshape(more.shape)
                 block += run - 1
                 break
@@ -444,10 +461,10 @@ def _ac_refine(bits: Bits, rows: np.ndarray, code: Huffman, first: int, last: in
 def samples(part: Component, quant: np.ndarray) -> np.ndarray:
     """Inverse transform of all blocks: an array of the component's padded size, 0 to 255."""
     h, w, _ = part.coefs.shape
-    scaled = np.empty((h * w, 64), np.float32)
-    scaled[:, ZIGZAG] = part.coefs.reshape(-1, 64) * quant
+    scaled = np.multiply(part.coefs.reshape(-1, 64), quant, dtype=np.float32, casting="unsafe")
     plane = (scaled @ _IDCT).reshape(h, w, 8, 8).transpose(0, 2, 1, 3).reshape(8 * h, 8 * w)
-    return np.clip(plane + 128, 0, 255)
+    plane += 128
+    return np.minimum(np.maximum(plane, 0, out=plane), 255, out=plane)
 
 
 def to_rgb(frame: Frame) -> np.ndarray:
@@ -468,25 +485,29 @@ def to_rgb(frame: Frame) -> np.ndarray:
         return np.repeat(np.rint(planes[0]).astype(np.uint8)[:, :, None], 3, axis=2)
     y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
     out = np.empty((*y.shape, 3), np.uint8)
-    out[:, :, 0] = np.clip(y + 1.402 * cr + 0.5, 0, 255)
-    out[:, :, 1] = np.clip(y - 0.344136 * cb - 0.714136 * cr + 0.5, 0, 255)
-    out[:, :, 2] = np.clip(y + 1.772 * cb + 0.5, 0, 255)
+    for k, colour in enumerate((1.402 * cr, -0.344136 * cb - 0.714136 * cr, 1.772 * cb)):
+        colour += y
+        colour += 0.5
+        out[:, :, k] = np.minimum(np.maximum(colour, 0, out=colour), 255, out=colour)
     return out
 
 
+@functools.lru_cache(maxsize=256)
 def _segment(kind: int, body: bytes) -> bytes:
     return b"\xff" + bytes([kind]) + (len(body) + 2).to_bytes(2, "big") + body
 
 
+@functools.lru_cache(maxsize=256)
 def _scan_header(names: tuple[int, ...], tables: int, first: int, last: int, high: int, low: int) -> bytes:
     return _segment(0xDA, bytes([len(names)]) + b"".join(bytes([c, tables]) for c in names) + bytes([first, last, high << 4 | low]))
 
 
 def _coded(bits: np.ndarray) -> bytes:
     """Bits as stuffed bytes, filled up with ones."""
+    out = np.packbits(bits)
     if odd := -len(bits) % 8:
-        bits = np.concatenate([bits, np.ones(odd, np.uint8)])
-    return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\0")
+        out[-1] |= (1 << odd) - 1
+    return out.tobytes().replace(b"\xff", b"\xff\0")
 
 
 # The carrier: three components in 4:2:0, quantisers of one, and four codes of
@@ -498,6 +519,8 @@ _CARRIER_TABLES = (
     + _segment(0xC4, b"\x11" + bytes([0, 0, 0, 15]) + bytes(12) + bytes(r << 4 for r in range(15)))
 )
 _SHIFTS = np.arange(15, -1, -1)
+#: Bits of each magnitude that a difference of two bytes has.
+_SIZES = np.array([n.bit_length() for n in range(256)], np.int32)
 
 
 def store_payload(payload: bytes) -> bytes:
@@ -541,11 +564,14 @@ def store_payload(payload: bytes) -> bytes:
 
 def _dc_bits(dc: np.ndarray) -> np.ndarray:
     """Codes and differences, predicted within each component, of rows of MCUs (4 luma, 2 chroma)."""
-    luma = np.diff(dc[:, :4].ravel(), prepend=0).reshape(-1, 4)
-    diff = np.column_stack([luma, np.diff(dc[:, 4:], axis=0, prepend=0)]).ravel()
-    size = np.frexp(np.abs(diff).astype(np.float64))[1]
+    diff = dc.copy()
+    diff[:, 1:4] -= dc[:, :3]
+    diff[1:, 0] -= dc[:-1, 3]
+    diff[1:, 4:] -= dc[:-1, 4:]
+    diff = diff.ravel()
+    size = _SIZES[np.abs(diff)]
     value = np.where(diff < 0, diff + (1 << size) - 1, diff) | (size << size)  # the code is the size itself, four bits
-    bits = (value[:, None] >> _SHIFTS & 1).astype(np.uint8)
+    bits = np.unpackbits(value.astype(">u2").view(np.uint8)).reshape(-1, 16)
     return bits[_SHIFTS[None, :] < (size + 4)[:, None]]
 
 
