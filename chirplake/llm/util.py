@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chirplake.operators.scratch import forget, saved, scratch_root
 from chirplake.ship import ship
 
-__all__ = ["bounded_batches", "forget", "grouped", "join_checked", "map_rows", "saved", "scratch_root", "shuffle_partitions", "table", "unused", "utf8"]
+__all__ = ["bounded_batches", "forget", "grouped", "join_checked", "map_rows", "running", "saved", "scratch_root", "shuffle_partitions", "table", "unused", "utf8"]
 
 #: Largest number of key rows that :func:`join_checked` broadcasts.
 BROADCAST_ROWS = 500_000
@@ -58,6 +58,26 @@ def join_checked(df: DataFrame, keys: DataFrame, on: list[str], how: str, limit:
     return df.join(keys, on, how)
 
 
+def running(df: DataFrame, order: list[Column], label: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``place``, the number of rows before each one in the order, and for each column of ``sums`` its sum over these as ``<name>_before``.
+
+    Rows are written once in ranges of the order, which cuts lineage and fixes who lies
+    where; equal rows lie in any order. Counts and sums of the ranges, a row each, are
+    added up in one place, and those within a range in it.
+    """
+    ranged = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), label)
+    ranged = ranged.withColumn("__part", F.shiftright("__id", 33))
+    totals = ranged.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    until = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = Window.orderBy("__part")
+    starts = totals.select("__part", until("__n", ranges).alias("__first"), *[until(f"__{c}", ranges).alias(f"__until_{c}") for c in sums])
+    out = ranged.join(F.broadcast(starts), "__part").withColumn("place", F.col("__first") + F.col("__id").bitwiseAND((1 << 33) - 1))
+    within = Window.partitionBy("__part").orderBy("__id")
+    for c in sums:
+        out = out.withColumn(f"{c}_before", F.col(f"__until_{c}") + until(c, within))
+    return out.drop("__id", "__part", "__first", *[f"__until_{c}" for c in sums])
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of our own, lengthened until ``df`` has none of them, whatever their case."""
     taken = {c.lower() for c in df.columns}
