@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.llm import bbpe, embed_dedup, html_density, lines, mixing, packing, pjpeg, quality, simhash, warc, word_lm
+from chirplake.llm import bbpe, embed_dedup, html_density, lines, merkle, mixing, packing, pjpeg, quality, simhash, warc, word_lm
 from chirplake.llm.util import join_checked, table
 
 #: Where the public vocabularies are.
@@ -65,15 +65,19 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_warc_derivatives, op2_quality_classifier, op3_lm_cross_entropy, op4_simhash, op5_byte_bpe,
-            op6_line_dedup, op7_progressive_jpeg, op8_packing, op9_embedding_dedup, op10_html_text, op11_source_mix,
+            op6_line_dedup, op7_progressive_jpeg, op8_packing, op9_embedding_dedup, op10_html_text, op11_source_mix, op12_merkle_manifest,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": lines.LINES_SQL, "op9_embedding_dedup": embed_dedup.VECTORS_SQL, "op11_source_mix": mixing.MIX_SQL}
+    return {"op6_line_dedup": lines.LINES_SQL, "op9_embedding_dedup": embed_dedup.VECTORS_SQL, "op11_source_mix": mixing.MIX_SQL, "op12_merkle_manifest": merkle.MANIFEST_SQL}
