@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chirplake.config import DEFAULT, FILE_SECONDS
 from chirplake.functions import draws
 from chirplake.functions import scalars as S
+from chirplake.operators.scratch import saved
 
 
 def confident(rows: DataFrame, confidence: Column, least: float, ifos: tuple[str, ...] = (), labels: tuple[str, ...] = ()) -> DataFrame:
@@ -44,19 +45,72 @@ def assign_groups(counts: DataFrame, ratios: dict[str, float] | None = None) ->
     names = list(ratios)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "tie", "grp"], ascending=[False, True, True], ignore_index=True)
-        lacking = [float(pdf["n"].sum()) * ratios[s] for s in names]
-        out = []
-        for n in pdf["n"].tolist():
-            best = max(range(len(names)), key=lacking.__getitem__)
-            lacking[best] -= n
-            out.append(names[best])
-        return pdf.assign(split=out)[["ifo", "grp", "n", "split"]]
+        return _largest_first(pdf, names, [float(pdf["n"].sum()) * ratios[s] for s in names])
 
     keyed = counts.withColumn("tie", draws.rank_hash("group", F.col("grp")))
     return keyed.groupBy("ifo").applyInPandas(run, "ifo string, grp string, n bigint, split string")
 
 
+def _largest_first(pdf: pd.DataFrame, names: list[str], lacking: list[float]) -> pd.DataFrame:
+    pdf = pdf.sort_values(["n", "tie", "grp"], ascending=[False, True, True], ignore_index=True)
+    out = []
+    for n in pdf["n"].tolist():
+        best = max(range(len(names)), key=lacking.__getitem__)
+        lacking[best] -= n
+        out.append(names[best])
+    return pdf.assign(split=out)[["ifo", "grp", "n", "split"]]
+
+
+def assign_many(counts: DataFrame, ratios: dict[str, float] | None = None, have: DataFrame | None = None, heavy: float = 1 / 16) -> DataFrame:
+    """Allocate any number of groups, beside what the splits already have: ifo, grp, n, split.
+
+    ``counts`` has ifo, grp, n for the groups to allocate, ``have`` (ifo, split, n) the rows
+    that each split holds already. A split lacks its ratio of all rows, old and new, less
+    what it holds. Groups with at least ``heavy`` of their detector's new rows, of which
+    there are at most 1 / ``heavy``, go first, the largest first, each to the split that lacks
+    most. The others lie in the order of a hash, and the splits take stretches of that
+    order in proportion to what they then lack; a group belongs where its middle row
+    lies. Places in the order are sums over buckets of hashes (65,536 a detector) and windows within
+    them, so no task sees all groups.
+    """
+    ratios = ratios or DEFAULT.ratios
+    names = list(ratios)
+    spark = counts.sparkSession
+    keyed = counts.withColumn("tie", draws.rank_hash("group", F.col("grp")))
+    new = counts.groupBy("ifo").agg(F.sum("n").alias("__new"))
+    share = lambda table: table.groupBy("ifo").agg(*[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(f"__{s}") for s in names])
+    held = share(have if have is not None else spark.createDataFrame([], "ifo string, split string, n bigint"))
+    lacking = new.join(F.broadcast(held), "ifo", "left").fillna(0)
+    every = sum((F.col(f"__{s}") for s in names), F.col("__new"))
+    lacking = lacking.select("ifo", "__new", *[(every * F.lit(ratios[s]) - F.col(f"__{s}")).alias(f"__{s}") for s in names])
+    rows = keyed.join(F.broadcast(lacking), "ifo")  # a row a detector
+    large = F.col("n") >= F.col("__new") * heavy
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _largest_first(pdf, names, [float(pdf[f"__{s}"].iloc[0]) for s in names])
+
+    first = rows.where(large).groupBy("ifo").applyInPandas(run, "ifo string, grp string, n bigint, split string")
+    first = saved(first, "heavy")
+    given = F.broadcast(share(first).select("ifo", *[F.col(f"__{s}").alias(f"__got_{s}") for s in names]))
+    light = rows.where(~large).join(given, "ifo", "left").fillna(0)
+    left = [F.greatest(F.col(f"__{s}") - F.col(f"__got_{s}"), F.lit(0.0)) for s in names]
+    bucket = F.substring("tie", 1, 4)
+    sizes = light.groupBy("ifo", bucket.alias("__bucket")).agg(F.sum("n").alias("__rows"))
+    over = Window.partitionBy("ifo").orderBy("__bucket")
+    starts = sizes.select("ifo", "__bucket", F.coalesce(F.sum("__rows").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("__rows").over(Window.partitionBy("ifo")).alias("__light"))
+    within = Window.partitionBy("ifo", "__bucket").orderBy("tie", "grp").rowsBetween(Window.unboundedPreceding, -1)
+    placed = light.withColumn("__bucket", bucket).join(starts, ["ifo", "__bucket"])
+    middle = (F.col("__start") + F.coalesce(F.sum("n").over(within), F.lit(0)) + F.col("n") / 2) / F.col("__light")
+    placed = placed.withColumn("__at", middle)
+    split: Column | None = None
+    total = sum(left[1:], left[0])
+    for k, name in enumerate(names[:-1]):
+        reach = F.col("__at") * total < sum(left[1 : k + 1], left[0])
+        split = F.when(reach, name) if split is None else split.when(reach, name)
+    last = F.lit(names[-1]) if split is None else split.otherwise(names[-1])
+    return first.unionByName(placed.select("ifo", "grp", "n", last.alias("split")))
+
+
 def coverage(pool: DataFrame, assignment: DataFrame, splits: tuple[str, ...], ifos: tuple[str, ...]) -> DataFrame:
     """Rows of the pool for every split and detector, zero where there are none."""
     spark = pool.sparkSession

@@ -17,7 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pool(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Transient catalog: ord, ifo, gps, label, snr, further columns of events, grp (source group), fid (file number)."""
-    e = table(spark, sf_dir, "events")
+    return as_pool(table(spark, sf_dir, "events"), *more)
+
+
+def as_pool(e: DataFrame, *more: Column) -> DataFrame:
     gps = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     rows = e.select(F.col("event_id").alias("ord"), F.when(F.col("user_id") % 2 == 0, "H1").otherwise("L1").alias("ifo"), gps.alias("gps"), F.col("event_type").alias("label"), F.col("value").alias("snr"), *more)
     return rows.withColumn("grp", S.source_group(F.col("ifo"), F.col("gps"))).withColumn("fid", F.floor(F.col("gps") / 4096).cast("bigint"))
