@@ -188,8 +188,8 @@ def build(spark: SparkSession, args: argparse.Namespace) -> int:
     metadata = saved(synthesis.metadata_table(made, config), "metadata")
     s = samples_for_pairs(metadata)
     allowed = {"glitch": config.glitch_negatives, "noise": config.noise_negatives, "delay": config.delay_negatives}
-    positives, negatives = pairs.positive_pairs(s), saved(pairs.negative_pairs(s, config.negatives_per_positive, config.hard_fraction, **allowed), "negatives")
-    tables = {"positives": positives, "negatives": negatives, "pairs": pairs.combined_pairs(s, positives, negatives), "events": synthesis.event_table(metadata)}
+    positives, negatives = pairs.positive_pairs(s), saved(pairs.negative_pairs(s, config.negatives_per_positive, config.hard_fraction, config.max_physical_delay, **allowed), "negatives")
+    tables = {"positives": positives, "negatives": negatives, "pairs": pairs.combined_pairs(s, positives, negatives, config.max_physical_delay), "events": synthesis.event_table(metadata)}
     report = sinks.publish(metadata, tables, args.out, {"metadata": METADATA_FIELDS, "events": EVENT_FIELDS})
     sinks.write_manifest(metadata, f"{args.out}/manifest")
     if args.files:

@@ -174,11 +174,10 @@ def _pick_same_chirp(anchors: DataFrame, samples: DataFrame) -> DataFrame:
     return placed.where("__r = __k").withColumn("c_chirp_id", F.col("chirp_id")).drop("__r", "__k", "__ord")
 
 
-def described(picked: DataFrame, kind: Column | str) -> DataFrame:
+def described(picked: DataFrame, kind: Column | str, limit: float = DEFAULT.max_physical_delay) -> DataFrame:
     """Pair columns of picks; a forced invalid delay is eight times the physical limit."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
     forced = kind == "invalid_delay_same_chirp"
-    limit = DEFAULT.max_physical_delay
     difference = F.when(forced, F.lit(limit * 8.0)).otherwise(S.delay_difference(F.col("injection_time"), F.col("c_injection_time")))
     overlap = S.freq_overlap(F.col("label_low"), F.col("label_high"), F.col("c_label_low"), F.col("c_label_high"))
     return picked.select(
@@ -188,7 +187,7 @@ def described(picked: DataFrame, kind: Column | str) -> DataFrame:
         F.col("chirp_id").alias("anchor_chirp_id"), F.col("c_chirp_id").alias("candidate_chirp_id"),
         F.col("detector").alias("anchor_detector"), F.col("c_detector").alias("candidate_detector"),
         S.same_chirp(F.col("chirp_id"), F.col("c_chirp_id")).alias("same_chirp"), F.coalesce((F.col("event_id") == F.col("c_event_id")).cast("int"), F.lit(0)).alias("same_event"),
-        F.when(forced, 0).otherwise(S.valid_delay(difference)).alias("valid_time_delay"),
+        F.when(forced, 0).otherwise(S.valid_delay(difference, limit)).alias("valid_time_delay"),
         F.round(difference, 6).alias("time_delay_difference"), F.round(overlap, 6).alias("frequency_overlap_score"),
         F.col("snr_bin").alias("snr_bin_anchor"), F.col("c_snr_bin").alias("snr_bin_candidate"), kind.alias("negative_type"),
     )
@@ -222,7 +221,7 @@ def slots(samples: DataFrame, count: int = DEFAULT.negatives_per_positive, hard_
     return rows.withColumn("negative_type", kind).drop("hard", "easy", "every")
 
 
-def negative_pairs(samples: DataFrame, count: int = DEFAULT.negatives_per_positive, hard_fraction: float = DEFAULT.hard_fraction, **allowed: bool) -> DataFrame:
+def negative_pairs(samples: DataFrame, count: int = DEFAULT.negatives_per_positive, hard_fraction: float = DEFAULT.hard_fraction, limit: float = DEFAULT.max_physical_delay, **allowed: bool) -> DataFrame:
     """All negatives: slots filled, repeated (type, anchor, candidate) lost but for the first slot, absent types topped up, all numbered.
 
     The samples, which every type reads, and the filled slots are written to the
@@ -230,18 +229,18 @@ def negative_pairs(samples: DataFrame, count: int = DEFAULT.negatives_per_positi
     """
     samples = saved(samples.select("split", "ord", "global_class", "has_chirp", "has_glitch", *_SAMPLE), "samples")
     filled = slots(samples, count, hard_fraction, **allowed)
-    parts = [described(pick(filled.where(F.col("negative_type") == k).drop("negative_type"), samples, k), k) for k in (*HARD_TYPES, *EASY_TYPES)]
+    parts = [described(pick(filled.where(F.col("negative_type") == k).drop("negative_type"), samples, k), k, limit) for k in (*HARD_TYPES, *EASY_TYPES)]
     rows = functools.reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("negative_type", "anchor_sample_id", "candidate_sample_id").orderBy("slot")
     rows = saved(rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r"), "slots")
-    rows = functools.reduce(DataFrame.unionByName, topped_up(samples, rows, **allowed) if count > 0 else [], rows)
+    rows = functools.reduce(DataFrame.unionByName, topped_up(samples, rows, limit, **allowed) if count > 0 else [], rows)
     # Top-ups come after all slots of their split.
     rows = rows.withColumn("so", split_place(F.col("split"))).withColumn("late", (F.col("slot") == 0).cast("int"))
     order = [F.col("a_ord"), F.col("slot"), F.col("negative_type")]
     return dense_number(rows, ["so", "late"], F.floor(F.col("a_ord") / BLOCK), order, "negative_pair_id").drop("so", "late", "a_ord", "slot")
 
 
-def topped_up(samples: DataFrame, rows: DataFrame, **allowed: bool) -> list[DataFrame]:
+def topped_up(samples: DataFrame, rows: DataFrame, limit: float = DEFAULT.max_physical_delay, **allowed: bool) -> list[DataFrame]:
     """For each type that a split allows and lacks, the pair of the first anchor that has a candidate (slot 0).
 
     What is lacking is at most a row per split and type, so the driver may see it.
@@ -252,13 +251,13 @@ def topped_up(samples: DataFrame, rows: DataFrame, **allowed: bool) -> list[Data
     for kind in sorted({r["negative_type"] for r in missing}):
         lacking = [r["split"] for r in missing if r["negative_type"] == kind]
         anchors = samples.where("has_chirp = 1").where(F.col("split").isin(lacking)).withColumn("slot", F.lit(0))
-        got = described(pick(anchors, samples, kind), kind)
+        got = described(pick(anchors, samples, kind), kind, limit)
         first = got.groupBy("split").agg(F.min("a_ord").alias("a_ord"))
         out.append(got.join(F.broadcast(first), ["split", "a_ord"], "left_semi"))
     return out
 
 
-def combined_pairs(samples: DataFrame, positives: DataFrame, negatives: DataFrame) -> DataFrame:
+def combined_pairs(samples: DataFrame, positives: DataFrame, negatives: DataFrame, limit: float = DEFAULT.max_physical_delay) -> DataFrame:
     """Positives, then negatives, in one table with running numbers."""
     side = samples.select(*_SAMPLE)
     a = side.select(*[F.col(c).alias({"sample_id": "anchor_sample_id"}.get(c, f"a_{c}")) for c in _SAMPLE])
@@ -270,7 +269,7 @@ def combined_pairs(samples: DataFrame, positives: DataFrame, negatives: DataFram
         F.col("match_id").alias("pair_id"), F.lit(1).alias("pair_label"), F.lit("positive_same_chirp").alias("pair_type"), "split",
         "anchor_sample_id", F.col("positive_sample_id").alias("candidate_sample_id"), F.col("event_id").alias("anchor_event_id"), F.col("event_id").alias("candidate_event_id"),
         F.col("chirp_id").alias("anchor_chirp_id"), F.col("chirp_id").alias("candidate_chirp_id"), "anchor_detector", F.col("positive_detector").alias("candidate_detector"),
-        F.lit(1).alias("same_chirp"), F.lit(1).alias("same_event"), S.valid_delay(difference).alias("valid_time_delay"),
+        F.lit(1).alias("same_chirp"), F.lit(1).alias("same_event"), S.valid_delay(difference, limit).alias("valid_time_delay"),
         F.round(difference, 6).alias("time_delay_difference"), F.round(overlap, 6).alias("frequency_overlap_score"),
         F.col("a_snr_bin").alias("snr_bin_anchor"), F.col("b_snr_bin").alias("snr_bin_candidate"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirplake.config import DEFAULT, DETECTORS, SPLITS
-from chirplake.functions import draws
+from chirplake.functions import draws, qscan
 from chirplake.functions import scalars as S
 from chirplake.operators import arrays as A
 from chirplake.operators import audits, groups, pairs, synthesis
@@ -595,6 +595,27 @@ def bandlimit_fft(spark, sf_dir):
     return s.select("id", power("x").alias("power_in"), power("y").alias("power_out"))
 
 
+def _tiles_sql(n: int = 64, rate: float = 64.0, q: float = 4.0, low: float = 4.0, high: float = 20.0) -> str:
+    """One plane by sums: each tile is the windowed stretch of the spectrum around its row, brought back to its time."""
+    rows = qscan.plane_rows(n, rate, q, low, high)
+    values = ", ".join(f"({r.centre}, {r.reach!r}::DOUBLE, {r.tiles})" for r in rows)
+    return f"""WITH {SERIES}, pts AS (SELECT id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM series), ks AS (SELECT unnest(range({n // 2 + 1})) AS k),
+  dft AS (SELECT id, k, sum(v * cos(-2 * pi() * ((k * i) % {n}) / {n})) AS re, sum(v * sin(-2 * pi() * ((k * i) % {n}) / {n})) AS im FROM pts, ks GROUP BY id, k),
+  lines(centre, reach, tiles) AS (VALUES {values}),
+  windows AS (SELECT centre, tiles, k, pow(1 - pow((k - centre) / reach, 2), 2) AS w FROM lines JOIN ks ON abs(k - centre) < reach),
+  turned AS (SELECT centre, tiles, k, t, w * cos(2 * pi() * ((k * t) % tiles) / tiles) AS c, w * sin(2 * pi() * ((k * t) % tiles) / tiles) AS s FROM (SELECT *, unnest(range(tiles)) AS t FROM windows)),
+  waves AS (SELECT id, centre, t, sum(re * c - im * s) AS a, sum(re * s + im * c) AS b FROM dft JOIN turned USING (k) GROUP BY ALL),
+  tile AS (SELECT id, centre, t, a * a + b * b AS energy, quantile_cont(a * a + b * b, 0.5) OVER (PARTITION BY id, centre) AS middle FROM waves)
+  SELECT id, centre * {rate / n}::DOUBLE AS frequency, t::INT AS tile, round(CASE WHEN middle > 0 THEN energy / middle ELSE 0 END, 4) AS energy FROM tile"""
+
+
+@query(_tiles_sql())
+def q_tiles(spark, sf_dir):
+    """The tiles of one Q of each series, over the median of their row."""
+    rows = synthesis.tile_energies(V.series(spark, sf_dir), "id", "x", 64.0, 4.0, 4.0, 20.0)
+    return rows.select("id", "frequency", F.posexplode("energies").alias("tile", "energy")).withColumn("energy", F.round("energy", 4))
+
+
 @query()
 def cqt_energy(spark, sf_dir):
     got = synthesis.energy_summary(V.series(spark, sf_dir), "id", "x", 4096.0, 16, 16)

@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 
 from chirplake.config import BANDS, DatasetConfig
 from chirplake.functions import scalars as S
-from chirplake.functions import spectral
+from chirplake.functions import qscan, spectral
 from chirplake.operators import arrays as A
-from chirplake.operators import audits, segments
+from chirplake.operators import audits
 from chirplake.operators.scratch import saved
 from chirplake.ship import ship
 
@@ -170,7 +170,7 @@ def pedestal(series: Column, start: Column, end: Column, config: DatasetConfig,
         freqs, times = spectral.row_frequencies(config.image_height), np.linspace(0, config.duration, config.image_width)
         out = []
         for x, a, b in zip(every, begin, stop, strict=True):
-            high = segments.energy_map(np.asarray(x, dtype=float), config)[freqs >= above]
+            high = qscan.energy_map(np.asarray(x, dtype=float), config)[freqs >= above]
             inside = (times >= a) & (times <= b)
             outside = float(high[:, ~inside].mean()) if (~inside).any() else 0.0
             out.append(float(high[:, inside].mean()) / outside if outside > 0 and inside.any() else None)
