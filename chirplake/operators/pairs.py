@@ -5,7 +5,9 @@ from those that satisfy its predicate. A theta join would list them all; here
 every type's candidates are numbered within an equi key, the anchor's own rows
 are a known stretch of those numbers, and the draw is a number outside of it:
 one equi lookup per pick. Only the range predicate of similar frequencies draws
-with rejection, and what no attempt settles goes through an exact join.
+with rejection, which leaves a draw even, first over all candidates, then over those
+in the cells of width and place that can hold a match; what no attempt settles goes
+through an exact join, of which each match is as likely.
 """
 
 from __future__ import annotations
@@ -18,13 +20,11 @@ from pyspark.sql import functions as F
 from chirplake.config import DEFAULT, EASY_TYPES, HARD_TYPES
 from chirplake.functions import draws
 from chirplake.functions import scalars as S
-from chirplake.operators.ranks import dense_number
+from chirplake.operators.ranks import SUPER_BLOCK, dense_number
 from chirplake.operators.scratch import saved
 
-#: Attempts of a range-predicate draw before the exact join.
-ATTEMPTS = 24
-#: Those of them that every anchor makes.
-FIRST_ATTEMPTS = 4
+#: Attempts of a range-predicate draw over all candidates, and over those in the cells around the anchor.
+FIRST_ATTEMPTS, CELL_ATTEMPTS = 4, 24
 #: Least overlap of similar frequencies.
 MIN_OVERLAP = 0.3
 #: Anchor numbers per block when pairs are numbered.
@@ -73,15 +73,17 @@ def candidates_of(samples: DataFrame, kind: str) -> DataFrame:
     return samples.where("has_chirp = 1")
 
 
-def _numbered(pool: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Number from 0 within each key by ord: places within blocks of ord, on top of the blocks' running sums."""
-    block = F.floor(F.col("ord") / BLOCK)
-    rows = pool.select(*dict.fromkeys([*keys, "ord", *_SAMPLE])).withColumn("__block", block)
-    sizes = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*keys, "__block", F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy("ord")) - 1
-    return rows.join(starts, [*keys, "__block"]).withColumn("idx", (F.col("__before") + within).cast("bigint")).drop("__block", "__before")
+def _numbered(rows: DataFrame, keys: tuple[str, ...], order: str = "ord", name: str = "idx") -> DataFrame:
+    """Number from 0 within each key in an order of whole numbers: places within blocks of it, blocks within super-blocks, and only the super-blocks of a key in one task."""
+    blocked = rows.withColumn("__block", F.floor(F.col(order) / BLOCK)).withColumn("__super", F.floor(F.col("__block") / SUPER_BLOCK))
+    above, all_keys = [*keys, "__super"], [*keys, "__super", "__block"]
+    sizes = blocked.groupBy(*all_keys).agg(F.count("*").alias("__n"))
+    until = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    supers = sizes.groupBy(*above).agg(F.sum("__n").alias("__n")).select(*above, until(Window.partitionBy(*keys).orderBy("__super")).alias("__first"))
+    starts = sizes.withColumn("__before", until(Window.partitionBy(*above).orderBy("__block"))).join(supers, above)
+    within = F.row_number().over(Window.partitionBy(*all_keys).orderBy(order)) - 1
+    numbered = blocked.join(starts.select(*all_keys, (F.col("__first") + F.col("__before")).alias("__start")), all_keys)
+    return numbered.withColumn(name, (F.col("__start") + within).cast("bigint")).drop("__block", "__super", "__start")
 
 
 def _renamed(pool: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -93,7 +95,7 @@ def pick(anchors: DataFrame, samples: DataFrame, kind: str) -> DataFrame:
     if kind == "invalid_delay_same_chirp":
         return _pick_same_chirp(anchors, samples)
     keys, apart = _POOLS[kind]
-    pool = _numbered(candidates_of(samples, kind), keys)
+    pool = _numbered(candidates_of(samples, kind).select(*dict.fromkeys([*keys, "ord", *_SAMPLE])), keys)
     sizes = pool.groupBy(*keys).agg(F.count("*").alias("n"))
     own = pool.groupBy(*keys, apart).agg(F.min("idx").alias("own_first"), F.count("*").alias("own_n"))
     asked = anchors
@@ -116,48 +118,81 @@ def pick(anchors: DataFrame, samples: DataFrame, kind: str) -> DataFrame:
 
 
 def _pick_by_range(asked: DataFrame, pool: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Draws over the whole pool until one overlaps enough; the exact range join for what no draw settles.
+    """For each row of ``asked`` one candidate that overlaps enough, each as likely; none where there is none.
 
-    Most anchors settle within the first few attempts, so only the rest get the
-    others; the outcome is that of all attempts at once.
+    Draws over the whole pool settle most anchors where matches are common. For
+    the rest, draws are over the cells that can hold a match (see :func:`_looked_up`), in which
+    matches are common unless all lies at their edges. A draw that is accepted is even over
+    the matches, and so is the smallest hash among all of them, which decides for
+    what is then left.
     """
-    every = _renamed(pool, keys)
+    every = saved(_renamed(pool, keys), "pool")
+    pair = ["sample_id", "slot"]
+    w = Window.partitionBy(*pair).orderBy("attempt")
 
-    def attempts(rows: DataFrame, first: int, last: int) -> DataFrame:
-        tried = rows.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        tried = tried.withColumn("idx", F.floor(draws.u("similar_frequency", F.col("sample_id"), F.col("slot"), F.col("attempt")) * F.col("n")).cast("bigint"))
-        met = tried.join(every, [*keys, "idx"]).where(_frequency_match())
-        w = Window.partitionBy("sample_id", "slot").orderBy("attempt")
+    def accepted(tried: DataFrame, on: list[str], candidates: DataFrame) -> DataFrame:
+        met = tried.join(candidates, [*keys, *on]).where(_frequency_match())
         return met.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "attempt")
 
-    left_over = lambda rows, got: rows.join(got.select("sample_id", "slot"), ["sample_id", "slot"], "left_anti")
+    left_over = lambda rows, got: rows.join(got.select(*pair), pair, "left_anti")
+    draw = lambda salt: draws.u(salt, F.col("sample_id"), F.col("slot"), F.col("attempt"))
     asked = saved(asked, "asked")
-    found = saved(attempts(asked, 0, FIRST_ATTEMPTS - 1), "found")
+    tried = asked.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(FIRST_ATTEMPTS - 1))))
+    found = saved(accepted(tried.withColumn("idx", F.floor(draw("similar_frequency") * F.col("n")).cast("bigint")), ["idx"], every), "found")
     rest = saved(left_over(asked, found), "rest")
-    more = attempts(rest, FIRST_ATTEMPTS, ATTEMPTS - 1)
-    rest = left_over(rest, more)
-    found = found.unionByName(more)
-    exact = _overlapping(rest, every, keys).groupBy(*rest.columns).agg(F.min(F.struct("idx", *[c for c in every.columns if c not in (*keys, "idx")])).alias("__c")).select("*", "__c.*").drop("__c")
-    return found.unionByName(exact.select(found.columns))
 
+    known = _numbered(_placed(every), (*keys, "__k", "__p"), "idx", "__at")
+    counts = known.groupBy(*keys, "__k", "__p").agg(F.count("*").alias("__n"))
+    cells = _looked_up(rest.select(*pair, *keys, "label_low", "label_high")).join(counts, [*keys, "__k", "__p"])
+    over = Window.partitionBy(*pair).orderBy("__k", "__p")  # some thirty cells an anchor
+    cells = cells.withColumn("__before", F.sum("__n").over(over) - F.col("__n"))
+    around = cells.groupBy(*pair).agg(F.collect_list(F.struct("__before", "__n", "__k", "__p")).alias("__cells"), F.sum("__n").alias("__total"))
+    tried = rest.join(around, pair).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(CELL_ATTEMPTS - 1))))
+    tried = tried.withColumn("__d", F.floor(draw("similar_frequency_cell") * F.col("__total")).cast("bigint"))
+    cell = F.get(F.filter("__cells", lambda c: (F.col("__d") >= c["__before"]) & (F.col("__d") < c["__before"] + c["__n"])), F.lit(0))
+    tried = tried.withColumn("__c", cell).drop("__cells", "__total").select("*", "__c.__k", "__c.__p", (F.col("__d") - F.col("__c.__before")).alias("__at")).drop("__c", "__d")
+    near = saved(accepted(tried, ["__k", "__p", "__at"], known).drop("__k", "__p", "__at"), "near")
 
-def _overlapping(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """All pairs whose ranges overlap enough, as an equi join on the class of the right range's width and the place of its middle.
+    rest = saved(left_over(rest, near), "last")
+    hashed = draws.rank_hash("similar_frequency_exact", F.col("sample_id"), F.col("slot"), F.col("c_sample_id"))
+    others = [c for c in every.columns if c not in keys]
+    exact = _overlapping(rest, every, keys).groupBy(*rest.columns).agg(F.min(F.struct(hashed.alias("__h"), *others)).alias("__c")).select("*", *[f"__c.{c}" for c in others]).drop("__c")
+    return functools.reduce(DataFrame.unionByName, [near.select(found.columns), exact.select(found.columns)], found)
+
+
+def _width(low: str, high: str) -> Column:
+    return F.greatest(F.col(high) - F.col(low), F.lit(1e-6))
+
+
+def _class(width: Column) -> Column:
+    return F.floor(F.log2(width)).cast("int")
+
+
+def _place(middle: Column, k: Column) -> Column:
+    return F.floor(middle / F.pow(F.lit(2.0), k)).cast("bigint")
+
+
+def _placed(candidates: DataFrame) -> DataFrame:
+    """Candidates with the class of their range's width (``__k``) and the place of its middle in steps of that class (``__p``)."""
+    known = candidates.where("c_label_high >= c_label_low").withColumn("__k", _class(_width("c_label_low", "c_label_high")))
+    return known.withColumn("__p", _place((F.col("c_label_low") + F.col("c_label_high")) / 2, F.col("__k")))
+
+
+def _looked_up(anchors: DataFrame) -> DataFrame:
+    """Anchors, a row for each cell (``__k``, ``__p``) that can hold a range which overlaps theirs enough.
 
     An overlap above MIN_OVERLAP bounds the ratio of the widths and the distance of
-    the middles, in widths: a left range looks in the classes and places that these
-    allow. A right range is one row, and a left one some thirty, whatever the pool.
+    the middles, in widths: some thirty cells, whatever the pool.
     """
-    width = lambda lo, hi: F.greatest(F.col(hi) - F.col(lo), F.lit(1e-6))
-    classes = lambda w: F.floor(F.log2(w)).cast("int")
-    place = lambda middle, k: F.floor(middle / F.pow(F.lit(2.0), k)).cast("bigint")
-    known = right.where("c_label_high >= c_label_low")
-    known = known.withColumn("__k", classes(width("c_label_low", "c_label_high"))).withColumn("__p", place((F.col("c_label_low") + F.col("c_label_high")) / 2, F.col("__k")))
-    w, middle = width("label_low", "label_high"), (F.col("label_low") + F.col("label_high")) / 2
-    wide = left.where("label_high >= label_low").withColumn("__k", F.explode(F.sequence(classes(w * MIN_OVERLAP), classes(w / MIN_OVERLAP))))
+    w, middle = _width("label_low", "label_high"), (F.col("label_low") + F.col("label_high")) / 2
+    wide = anchors.where("label_high >= label_low").withColumn("__k", F.explode(F.sequence(_class(w * MIN_OVERLAP), _class(w / MIN_OVERLAP))))
     reach = (w + F.pow(F.lit(2.0), F.col("__k") + 1)) / 2  # half of both widths
-    wide = wide.withColumn("__p", F.explode(F.sequence(place(middle - reach, F.col("__k")), place(middle + reach, F.col("__k")))))
-    return wide.join(known, [*keys, "__k", "__p"]).where(_frequency_match()).drop("__k", "__p")
+    return wide.withColumn("__p", F.explode(F.sequence(_place(middle - reach, F.col("__k")), _place(middle + reach, F.col("__k")))))
+
+
+def _overlapping(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """All pairs whose ranges overlap enough, as an equi join on cells with a residual test."""
+    return _looked_up(left).join(_placed(right), [*keys, "__k", "__p"]).where(_frequency_match()).drop("__k", "__p")
 
 
 def _frequency_match() -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chirplake.config import EASY_TYPES, HARD_TYPES
-from chirplake.plans.sql_views import SAMPLES, u
+from chirplake.plans.sql_views import SAMPLES, digest_key, u
 
 _FIELDS = ("sample_id", "event_id", "chirp_id", "detector", "snr_bin", "label_low", "label_high", "injection_time")
 _PLACE = "CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END"
@@ -65,18 +65,35 @@ def pick(kind: str, anchors: str, name: str) -> str:
     pool = f"{t}_pool AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ord) - 1 AS idx FROM {source} q)"
     if kind == "similar_frequency_different_chirp":
         match = f"a.chirp_id <> c.chirp_id AND {iou('a.', 'c.')} > 0.3"
+        width = "greatest({0}label_high - {0}label_low, 1e-6)"
+        look, first = "(greatest(label_high - label_low, 1e-6) {op} 0.3::DOUBLE)", "QUALIFY row_number() OVER (PARTITION BY a.sample_id, a.slot ORDER BY a.attempt) = 1"
+        reach = "(greatest(label_high - label_low, 1e-6) + pow(2.0::DOUBLE, k + 1)) / 2"
+        middle = "(label_low + label_high) / 2"
         return f"""{pool}, {t}_size AS (SELECT {key}, count(*) AS n FROM {t}_pool GROUP BY {key}),
 {t}_try AS (
   SELECT a.*, t.attempt, floor({u('similar_frequency', 'a.sample_id', 'a.slot', 't.attempt')} * n)::BIGINT AS want
-  FROM {anchors} a JOIN {t}_size USING (split), range(24) t(attempt)),
-{t}_met AS (
-  SELECT {_described(kind)} FROM {t}_try a JOIN {t}_pool c ON a.split = c.split AND a.want = c.idx WHERE {match}
-  QUALIFY row_number() OVER (PARTITION BY a.sample_id, a.slot ORDER BY a.attempt) = 1),
+  FROM {anchors} a JOIN {t}_size USING (split), range(4) t(attempt)),
+{t}_met AS (SELECT {_described(kind)} FROM {t}_try a JOIN {t}_pool c ON a.split = c.split AND a.want = c.idx WHERE {match} {first}),
 {t}_rest AS (SELECT a.* FROM {anchors} a ANTI JOIN {t}_met m ON a.sample_id = m.anchor_sample_id AND a.slot = m.slot),
+{t}_kind AS (SELECT *, floor(log2({width.format('')}))::INT AS k FROM {t}_pool WHERE label_high >= label_low),
+{t}_spot AS (SELECT *, floor({middle} / pow(2.0::DOUBLE, k))::BIGINT AS p FROM {t}_kind),
+{t}_known AS (SELECT *, row_number() OVER (PARTITION BY split, k, p ORDER BY idx) - 1 AS at FROM {t}_spot),
+{t}_count AS (SELECT split, k, p, count(*) AS n FROM {t}_known GROUP BY ALL),
+{t}_classes AS (SELECT *, unnest(range(floor(log2({look.format(op='*')}))::BIGINT, floor(log2({look.format(op='/')}))::BIGINT + 1))::INT AS k FROM {t}_rest WHERE label_high >= label_low),
+{t}_cells AS (SELECT sample_id, slot, split, k, unnest(range(floor(({middle} - {reach}) / pow(2.0::DOUBLE, k))::BIGINT, floor(({middle} + {reach}) / pow(2.0::DOUBLE, k))::BIGINT + 1)) AS p FROM {t}_classes),
+{t}_sums AS (
+  SELECT sample_id, slot, k, p, n, sum(n) OVER (PARTITION BY sample_id, slot ORDER BY k, p) - n AS before, sum(n) OVER (PARTITION BY sample_id, slot) AS total
+  FROM {t}_cells JOIN {t}_count USING (split, k, p)),
+{t}_drawn AS (
+  SELECT s.sample_id, s.slot, t.attempt, s.k, s.p, floor({u('similar_frequency_cell', 's.sample_id', 's.slot', 't.attempt')} * total)::BIGINT - before AS at, s.n
+  FROM {t}_sums s, range(24) t(attempt)),
+{t}_again AS (SELECT a.*, d.attempt, d.k, d.p, d.at FROM {t}_rest a JOIN {t}_drawn d ON a.sample_id = d.sample_id AND a.slot = d.slot WHERE d.at >= 0 AND d.at < d.n),
+{t}_near AS (SELECT {_described(kind)} FROM {t}_again a JOIN {t}_known c ON a.split = c.split AND a.k = c.k AND a.p = c.p AND a.at = c.at WHERE {match} {first}),
+{t}_last AS (SELECT a.* FROM {t}_rest a ANTI JOIN {t}_near m ON a.sample_id = m.anchor_sample_id AND a.slot = m.slot),
 {t}_exact AS (
-  SELECT {_described(kind)} FROM {t}_rest a JOIN {t}_pool c ON a.split = c.split AND {match}
-  QUALIFY row_number() OVER (PARTITION BY a.sample_id, a.slot ORDER BY c.idx) = 1),
-{t} AS (SELECT * FROM {t}_met UNION ALL SELECT * FROM {t}_exact)"""
+  SELECT {_described(kind)} FROM {t}_last a JOIN {t}_pool c ON a.split = c.split AND {match}
+  QUALIFY row_number() OVER (PARTITION BY a.sample_id, a.slot ORDER BY md5({digest_key('similar_frequency_exact', 'a.sample_id', 'a.slot', 'c.sample_id')})) = 1),
+{t} AS (SELECT * FROM {t}_met UNION ALL SELECT * FROM {t}_near UNION ALL SELECT * FROM {t}_exact)"""
     cross = kind == "different_chirp_cross_detector"
     # The k-th valid candidate in order of ord: those apart from the anchor's own, numbered per anchor by what lies before them.
     on = " AND ".join(f"a.{k} <> c.{k}" if cross and k == "detector" else f"a.{k} = c.{k}" for k in keys)

@@ -271,3 +271,28 @@ def test_numbers_over_super_blocks(spark, monkeypatch):
     rows = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k"), (F.col("id") % 2).alias("lead"))
     got = ranks.dense_number(rows, ["lead"], F.floor(F.col("k") / 10), [F.col("k")], "n").orderBy("lead", "k").collect()
     assert [r["n"] for r in got] == list(range(1, 501))
+
+
+@pytest.mark.parametrize(("first", "cell"), [(4, 24), (1, 2)])
+def test_range_draw_is_even_over_all_matches(spark, monkeypatch, first, cell):
+    """Rare matches, a crowd just beyond the limit, and more slots than any draw could fill by luck: each match is as likely, and none is missed."""
+    monkeypatch.setattr(pairs, "FIRST_ATTEMPTS", first)
+    monkeypatch.setattr(pairs, "CELL_ATTEMPTS", cell)
+    ranges = [(100.0, 110.0)] * 2 + [(101.0, 112.0), (97.0, 107.0), (104.0, 111.0), (100.5, 109.0), (99.0, 120.0)] + [(108.0, 118.0)] * 300 + [(400.0 + k, 700.0 + k) for k in range(200)]
+    rows = [(2 * k, f"s{k}", f"e{k}", f"c{k}", "H1", "train", "bbh_clean", 1, 0, "low", lo, hi, 1.0) for k, (lo, hi) in enumerate(ranges)]
+    rows.append((9999, "alone", "e9999", "c9999", "H1", "train", "bbh_clean", 1, 0, "low", 5000.0, 5000.5, 1.0))
+    s = spark.createDataFrame(rows, SAMPLE)
+    anchors = s.where("sample_id in ('s0', 'alone')").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(1200))))
+    got = pairs.pick(anchors, s, "similar_frequency_different_chirp").groupBy("sample_id", "c_sample_id").count().collect()
+    assert {r["sample_id"] for r in got} == {"s0"}
+    counts = {r["c_sample_id"]: r["count"] for r in got}
+    assert set(counts) == {f"s{k}" for k in range(1, 7)} and sum(counts.values()) == 1200
+    assert all(abs(n - 200) < 5 * 200**0.5 for n in counts.values())
+
+
+def test_numbers_within_keys(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SUPER_BLOCK", 2)
+    monkeypatch.setattr(pairs, "BLOCK", 5)
+    rows = spark.range(300).select((F.col("id") * 3).alias("ord"), (F.col("id") % 3).alias("key"))
+    got = pairs._numbered(rows, ("key",)).collect()
+    assert all(r["idx"] == r["ord"] // 9 for r in got)
