@@ -132,8 +132,8 @@ def samples_for_pairs(metadata: DataFrame) -> DataFrame:
 
 
 def pool(spark: SparkSession, args: argparse.Namespace) -> int:
-    raw = catalog.as_pool(catalog.read_text_tables(spark, args.from_file)).withColumn("ord", F.monotonically_increasing_id())
-    kept = groups.capped(groups.confident(raw, F.col("confidence"), args.min_confidence, tuple(args.ifos), tuple(args.labels)), ["ifo", "label"], [F.col("ord")], args.per_class)
+    raw = catalog.as_pool(catalog.read_text_tables(spark, args.from_file))
+    kept = groups.capped(groups.confident(raw, F.col("confidence"), args.min_confidence, tuple(args.ifos), tuple(args.labels)), ["ifo", "label"], [F.col("arrival")], args.per_class)
     if kept.isEmpty():
         raise catalog.CatalogError("no row is left")
     sinks.write_csv(kept, list(catalog.POOL_FIELDS), args.out)
@@ -146,7 +146,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def subset(spark: SparkSession, args: argparse.Namespace) -> int:
-    rows = _grouped(catalog.read_pool(spark, args.pool).withColumn("ord", F.monotonically_increasing_id()))
+    rows = _grouped(catalog.read_pool(spark, args.pool).withColumn("ord", catalog.arrival_text(F.col("arrival"))))
     chosen = groups.subset(rows, args.per_detector)
     sinks.write_csv(chosen.orderBy("ifo", "gps"), list(catalog.POOL_FIELDS), args.out)
     chosen.groupBy("ifo").agg(F.count("*").alias("rows"), F.countDistinct("fid").alias("files")).show()

@@ -58,8 +58,8 @@ def background_domains(metadata: DataFrame) -> DataFrame:
 
 
 def _with_side(pairs: DataFrame, metadata: DataFrame, on: str, prefix: str) -> DataFrame:
-    """Join what is known of one side's sample. Of rows that repeat a sample_id the last counts: by ``ord`` if there is one, else in the order in which they are read."""
-    place = F.col("ord") if "ord" in metadata.columns else F.monotonically_increasing_id()
+    """Join what is known of one side's sample. Of rows that repeat a sample_id the last counts: by ``ord`` or ``arrival`` if there is one, else in the order in which they are read."""
+    place = next((F.col(c) for c in ("ord", "arrival") if c in metadata.columns), F.monotonically_increasing_id())
     known = metadata.select(F.col("sample_id").alias(on), place.alias("__at"), F.struct("split", "event_id", "chirp_id").alias("__s"))
     side = known.groupBy(on).agg(F.max_by("__s", "__at").alias("__s")).select(on, *[F.col(f"__s.{c}").alias(f"{prefix}_{c}") for c in ("split", "event_id", "chirp_id")])
     return pairs.join(side, on, "left")

@@ -9,7 +9,7 @@ from chirplake import __main__ as cli
 from chirplake.config import DatasetConfig
 from chirplake.functions import table_functions
 from chirplake.operators import synthesis
-from chirplake.sources import remote, sinks
+from chirplake.sources import catalog, remote, sinks
 
 
 def test_remote_catalog(spark, tmp_path):
@@ -80,3 +80,75 @@ def test_pictures_join_their_labels(spark, tmp_path):
     (tmp_path / "lab/train/H1/a.txt").write_text("0 0.5 0.5 0.1 0.1\n1.0 0.5 0.5 0.1 0.1\nbroken\n")
     got = lambda lenient: {r["sample_id"]: len(r["boxes"]) for r in catalog.labelled(catalog.read_pictures(spark, str(tmp_path / "pic")), catalog.read_labels(spark, str(tmp_path / "lab"), lenient)).collect()}
     assert got(False) == {"a": 1, "b": 0} and got(True) == {"a": 2, "b": 0}
+
+
+def test_caps_follow_the_order_of_arrival(spark, tmp_path):
+    """Files of very different sizes, given in no order, cut into many blocks: the cap is that of a plain loop over them."""
+    from chirplake.operators import groups
+
+    sizes = {"z.csv": 900, "a.csv": 3, "m b.csv": 400, "k.tsv": 250}
+    plain, taken = [], {}
+    for name, n in sizes.items():
+        sep = "\t" if name.endswith("tsv") else ","
+        head = ("gps", "ifo", "label", "snr") if name != "a.csv" else ("label", "gps", "ifo", "snr")
+        rows = []
+        for k in range(n):
+            row = {"gps": f"{len(plain)}.0", "ifo": "H1" if k % 3 else "L1", "label": f"c{k * 7919 % 5}", "snr": str(k)}
+            plain.append((float(row["gps"]), row["ifo"], row["label"]))
+            rows.append(sep.join(row[c] for c in head))
+        (tmp_path / name).write_text("\n".join([sep.join(head), *rows]) + "\n")
+    want = []
+    for gps, ifo, label in plain:
+        taken[ifo, label] = taken.get((ifo, label), 0) + 1
+        if taken[ifo, label] <= 60:
+            want.append((gps, ifo, label))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        pool = catalog.as_pool(catalog.read_text_tables(spark, [str(tmp_path / name) for name in sizes]))
+        assert pool.rdd.getNumPartitions() > 8
+        got = groups.capped(pool, ["ifo", "label"], [F.col("arrival")], 60).orderBy("arrival").select("gps", "ifo", "label").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in got] == want
+
+
+def test_the_last_of_repeated_samples_counts(spark, tmp_path):
+    from chirplake.operators import audits
+
+    lines = ["sample_id,event_id,chirp_id,split,detector", *[f"s{k % 40},e,c{k},train,H1" for k in range(400)]]
+    (tmp_path / "m.csv").write_text("\n".join(lines) + "\n")
+    pairs = spark.createDataFrame([("s3", "s3", "train")], "anchor_sample_id string, positive_sample_id string, split string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = audits._both_sides(pairs, catalog.read_metadata(spark, str(tmp_path / "m.csv"))).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got["a_chirp_id"] == "c363"
+
+
+def test_cache_reads_what_is_asked_for(spark, tmp_path):
+    from chirplake.config import DatasetConfig
+    from chirplake.operators import segments
+
+    config, path = DatasetConfig(sample_rate=2048, halfwin=0.01), str(tmp_path / "cache")
+    schema = catalog.CACHE_SCHEMA
+    rows = [(ifo, 4096.0 * f + k, 2048, 0.01, [float(f)] * 41, "fetched") for ifo in ("H1", "L1") for f in range(6) for k in (10.0, 20.0)]
+    got = spark.createDataFrame([*rows, rows[0], ("H1", 99.0, 2048, 0.01, None, "unavailable")], schema)
+    catalog.store_segments(got, path)
+    catalog.store_segments(got, path)  # a second time stores nothing
+    cache = catalog.read_cache(spark, path, 2048, 0.01)
+    assert cache.count() == len(rows) == cache.select("key").distinct().count()
+    assert catalog.read_cache(spark, path, 4096, 0.01).count() == 0
+    asked = spark.createDataFrame([(1, "H1", 10.0), (2, "H1", 4096.0 * 3 + 20), (3, "H1", 10.0), (4, "L1", 5.0)], "sample int, ifo string, gps double")
+    found = segments.with_data(asked, segments.Segments(None, path, str(tmp_path / "listed")), config)
+    assert sorted((r["sample"], r["data"][0]) for r in found.collect()) == [(1, 0.0), (2, 3.0), (3, 0.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    scan = found.select("data").inputFiles()
+    assert len(scan) > 0
+    pruned = catalog.read_cache(spark, path, 2048, 0.01, asked.select("ifo", catalog.file_number(F.col("gps")).alias("fid")))
+    read = {r["f"] for r in pruned.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert all(("ifo=H1/fid=0/" in f) or ("ifo=H1/fid=3/" in f) or ("ifo=L1/fid=0/" in f) for f in read)
+    assert "PartitionFilters: [" in pruned._jdf.queryExecution().executedPlan().toString()
