@@ -80,13 +80,15 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 30) -> C
     return Classifier(mean, scale, w[:-1], float(w[-1]))
 
 
-def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id and y, 0 to 1, of at most ``max_labelled`` documents of ``labels`` (doc_id, quality): those of the smallest hashes of doc_id, whatever the partitions.
-
-    Null numbers and labels do not count; several labels of a document give their mean.
-    """
+def label_means(labels: DataFrame) -> DataFrame:
+    """doc_id and y, 0 to 1, of all documents of ``labels`` (doc_id, quality). Null numbers and labels do not count; several labels of a document give their mean."""
     rows = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    return rows.groupBy("doc_id").agg(F.avg(F.least(F.greatest("y", F.lit(0.0)), F.lit(1.0))).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    return rows.groupBy("doc_id").agg(F.avg(F.least(F.greatest("y", F.lit(0.0)), F.lit(1.0))).alias("y"))
+
+
+def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """At most ``max_labelled`` rows of :func:`label_means`: those of the smallest hashes of doc_id, whatever the partitions."""
+    return label_means(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
@@ -160,8 +162,9 @@ def site_sums(sites: DataFrame) -> Sites:
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, columns: list[str], max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[str]]:
     """``columns`` of docs (doc_id, text, others) with four more, whose names are given back: p_doc, p_host, p_path and p, lengthened where docs has them.
 
-    p_doc is the classifier's probability of good quality. A row's vote for its
-    site is its label, if it is one of the labelled sample, or else p_doc. p_host
+    p_doc is the classifier's probability of good quality. It is fitted on at most
+    ``max_labelled`` labels, but all labels vote: a row's vote for its site is its label,
+    or else p_doc. p_host
     is the host's posterior under the mean of all rows as the prior, p_path the
     (host, path)'s under the host's; both, and the mean, leave out the row's own
     vote, so that a site of one document stays at its prior. p is the sum of the
@@ -177,15 +180,15 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, column
     names = unused(docs, "p_doc", "p_host", "p_path", "p", "host", "path", "number", "body", "logit", "y", "s", "n", "hs", "hn")
     p_doc, p_host, p_path, p, h, w, number, body, logit, y, s, n, hs, hn = names
     model = fit_classifier(docs, labels, max_labelled)
-    sample = F.broadcast(saved(labelled_sample(labels, max_labelled), "labelled").toDF(number, y))
+    known = saved(label_means(labels), "labelled").toDF(number, y)
     site = [F.coalesce(host.cast("string"), F.lit("")).alias(h), F.coalesce(path.cast("string"), F.lit("")).alias(w)]
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns], *site, F.col("doc_id").cast("bigint").alias(number), F.col("text").cast("string").alias(body))
     chance = 1 / (1 + F.exp(-F.col(logit)))
     vote = F.coalesce(F.col(y), chance)
-    votes = with_logit(keyed.select(h, w, number, body), model, body, logit).join(sample, number, "left").select(F.col(h).alias("host"), F.col(w).alias("path"), vote.alias("v"))
+    votes = join_checked(with_logit(keyed.select(h, w, number, body), model, body, logit), known, [number], "left").select(F.col(h).alias("host"), F.col(w).alias("path"), vote.alias("v"))
     sums = site_sums(saved(votes.groupBy("host", "path").agg(F.sum("v").alias("s"), F.count("*").cast("double").alias("n")), "sites"))
     sites = sums.table.select("host", "path", "s", "n", "hs", "hn").toDF(h, w, s, n, hs, hn)
-    scored = join_checked(with_logit(keyed, model, body, logit), sites, [h, w], "left").join(sample, number, "left")
+    scored = join_checked(join_checked(with_logit(keyed, model, body, logit), sites, [h, w], "left"), known, [number], "left")
     mean = (F.greatest(F.lit(sums.total) - vote, F.lit(0.0)) + 1) / (F.lit(max(sums.n - 1, 0.0)) + 2)
     scored = scored.withColumn(p_doc, chance).withColumn(p_host, posterior(F.col(hs), F.col(hn), vote, mean, sums.host_strength))
     scored = scored.withColumn(p_path, posterior(F.col(s), F.col(n), vote, F.col(p_host), sums.path_strength))

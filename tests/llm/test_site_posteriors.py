@@ -33,10 +33,12 @@ def site_rows():
     return rows, labels
 
 
-def test_posteriors_against_a_row_by_row_computation(spark, site_rows):
+@pytest.mark.parametrize("max_labelled", [quality.MAX_LABELLED, 30])
+def test_posteriors_against_a_row_by_row_computation(spark, site_rows, max_labelled):
+    """Also with more labels than the classifier is fitted on: all of them vote."""
     rows, labels = site_rows
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").withColumn("p", F.monotonically_increasing_id()).coalesce(1)
-    scored, names = quality.score(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"), F.col("source"), F.col("lang"), ["doc_id", "source", "lang", "p"])
+    scored, names = quality.score(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"), F.col("source"), F.col("lang"), ["doc_id", "source", "lang", "p"], max_labelled)
     got = [r.asDict() for r in scored.collect()]
     assert len(got) == len(rows) and names == ["p_doc", "p_host", "p_path", "p_"]
     known = {}
