@@ -68,7 +68,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     __slots__ = ("children", "chars", "density", "in_link", "link_chars", "link_tags", "named", "noise", "own_noise", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, own_noise: bool, named: bool = False) -> None:
+    def __init__(self, tag: str, parent: Node | None, own_noise: bool, named: bool | str = False) -> None:
         self.tag, self.parent, self.own_noise, self.named = tag, parent, own_noise, named
         self.noise = own_noise or (parent is not None and parent.noise)
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
@@ -91,8 +91,13 @@ def _marks_noise(token: str, in_article: bool) -> bool:
     return any(p in _HEADER_PARTS for p in parts) and all(p in _HEADER_PARTS or (p in _BOX_PARTS and p not in ("content", "section")) for p in parts)
 
 
-def _is_noise(tag: str, names: dict[str, str], in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is no main text, and whether only its names say so."""
+#: A section of an article that only its id marks: a box, or a chapter whose heading has such a word.
+SLUG = "slug"
+_READERS = re.compile(r"comment|disqus|repl|respond")
+
+
+def _is_noise(tag: str, names: dict[str, str], in_article: bool) -> tuple[bool, bool | str]:
+    """Whether an element is no main text, and whether only its names (``SLUG``: only its id, in a section of an article) say so."""
     if tag in NOISE or (tag == "header" and not in_article):
         return True, False
     if not names:
@@ -103,14 +108,16 @@ def _is_noise(tag: str, names: dict[str, str], in_article: bool) -> tuple[bool,
         return False, False
     if names.get("role", "").lower() in _NOISE_ROLES:
         return True, False
-    tokens = names.get("class", "").lower().split()
-    if tag not in _HEADINGS:  # a heading's id is a slug of its text
-        tokens += names.get("id", "").lower().split()
-    named = any(_marks_noise(t, in_article) for t in tokens)
+    named = any(_marks_noise(t, in_article) for t in names.get("class", "").lower().split())
+    if not named and tag not in _HEADINGS:  # a heading's id is a slug of its text
+        slugs = [t for t in names.get("id", "").lower().split() if _marks_noise(t, in_article)]
+        named = bool(slugs)
+        if named and tag == "section" and in_article and not any(_READERS.match(t) for t in slugs):
+            return True, SLUG
     return named, named
 
 
-class _Scanner:
+class Scanner:
     """Tags of a page from left to right. Whatever the page, no character is looked at more than a few times."""
 
     def __init__(self, html: str) -> None:
@@ -205,7 +212,7 @@ class _Stack:
 def parse(html: str) -> Node:
     """A tree of elements and texts, with the ends that HTML lets authors leave out; in time proportional to the page, whatever it holds."""
     root = Node("#root", None, False)
-    stack, scanner, at = _Stack(root), _Scanner(html), 0
+    stack, scanner, at = _Stack(root), Scanner(html), 0
     while True:
         begin = html.find("<", at)
         if begin < 0:
@@ -339,8 +346,20 @@ def _spare_whole_page_forms(nodes: list[Node]) -> None:
             node.noise = above or (node.own_noise and id(node) not in whole)
 
 
+def _is_chapter(section: Node) -> bool:
+    """Whether a section begins with a heading, has running text with hardly any links, and nothing to fill in or press."""
+    first = next((c for c in section.children if isinstance(c, Node)), None)
+    if first is None or first.tag not in _HEADINGS:
+        return False
+    inside = _order(section)
+    if any(n.tag in ("form", "input", "button", "select", "textarea") for n in inside):
+        return False
+    chars = lambda some: sum(_visible(c) for n in some for c in n.children if isinstance(c, str))
+    return chars(n for n in inside if n.tag == "p") > 0 and chars(n for n in inside if n.in_link) <= PLAIN * chars(inside)
+
+
 def _spare_named(nodes: list[Node]) -> None:
-    """An element that only its names mark is kept if it holds the article, or else the headline, or without either most of the text outside links."""
+    """An element that only its names mark is kept if it holds the article, or else the headline, or without either most of the text outside links; and so is a section of an article that only its id marks, if it is a chapter."""
     for node in nodes:  # parents first; noise by other signs alone
         node.noise = (node.own_noise and not node.named) or (node.parent is not None and node.parent.noise)
     live = [n for n in nodes if not n.noise]
@@ -356,6 +375,7 @@ def _spare_named(nodes: list[Node]) -> None:
             if not node.noise and node.tag != "a":
                 text[id(node)] = sum(len("".join(c.split())) if isinstance(c, str) else text.get(id(c), 0) for c in node.children)
         spared = {i for i, n in text.items() if 2 * n > text[id(nodes[0])]}
+    spared |= {id(n) for n in nodes if n.named == SLUG and _is_chapter(n)}
     for node in nodes:
         node.named = node.named and id(node) not in spared
         own = node.noise if not node.named else True

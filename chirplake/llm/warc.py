@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirplake.llm.html_density import page_text
+from chirplake.llm.html_density import Scanner, page_text
 from chirplake.llm.util import bounded_batches, map_rows, unused
 
 VERSION = b"WARC/1.1"
 Headers = list[tuple[str, str]]
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
-_META_CHARSET = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+_META = re.compile(r"<meta(?=[\s/])", re.I)
+_NAMES_CHARSET = re.compile(rb"charset", re.I)
 _BYTE_ORDER = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 #: Most bytes that a compressed payload may unpack to; one of more is an error, as it may be made to fill the memory.
 MAX_UNPACKED = 1 << 28
@@ -150,12 +151,27 @@ def unpacked(payload: bytes, http: Headers, limit: int = MAX_UNPACKED) -> bytes:
     return payload
 
 
+def meta_charset(payload: bytes) -> str | None:
+    """The charset that the first meta tag with one names, by attribute or in its content, however long the tags are."""
+    if not _NAMES_CHARSET.search(payload):
+        return None
+    page = payload.decode("latin-1")
+    scanner = Scanner(page)
+    for found in _META.finditer(page):
+        tag = scanner.start_tag(found.start())
+        if tag is None:  # this one never ends, so none after it does
+            return None
+        named = tag[1].get("charset") or ((found := _CHARSET.search(tag[1].get("content", ""))) and found[1])
+        if named and named.strip():
+            return named.strip()
+    return None
+
+
 def decoded(payload: bytes, content_type: str | None) -> tuple[str, str]:
     """Text and charset: by byte order mark, of the HTTP header, of the page's first meta element that names one, else UTF-8; unknown charsets fall back to UTF-8."""
     marked = next((name for mark, name in _BYTE_ORDER if payload.startswith(mark)), None)
     named = None if marked else _CHARSET.search(content_type or "")
-    page = None if named or marked else _META_CHARSET.search(payload)
-    charset = (marked or (named[1] if named else page[1].decode("latin-1") if page else "utf-8")).lower()
+    charset = (marked or (named[1] if named else meta_charset(payload)) or "utf-8").lower()
     try:
         return payload.decode(charset, "replace"), charset
     except (LookupError, UnicodeError, ValueError):
@@ -273,12 +289,13 @@ def page_derivatives(pages: DataFrame) -> DataFrame:
     """The metadata and conversion records of all rows of ``pages`` (page_id, url, html; other columns are ignored), whole and with checksums.
 
     Null urls and pages are empty ones; a null page_id stays null. Rows that
-    repeat give their records again. An empty table gives an empty table.
+    repeat give their records again. What cannot be unpacked is a row with a reason in
+    ``error`` and no record. An empty table gives an empty table.
     """
     out = build_derivatives(page_responses(pages), "page_id", "record")
     return out.select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri", "concurrent_to", "source_payload_digest", "block_digest",
-        F.octet_length("block").cast("bigint").alias("block_bytes"), F.sha2("block", 256).alias("block_sha256"), F.sha2("record", 256).alias("record_sha256"), "record",
+        F.octet_length("block").cast("bigint").alias("block_bytes"), F.sha2("block", 256).alias("block_sha256"), F.sha2("record", 256).alias("record_sha256"), "record", "error",
     )
 
 

@@ -96,3 +96,21 @@ def test_odd_tables_of_pages(spark):
     assert warc.page_derivatives(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
         warc.build_derivatives(spark.createDataFrame([("k", bytearray(b""))], "block string, record binary"), "block", "record")
+
+
+def test_charset_of_long_tags():
+    page = "<html><head><meta name='viewport'>{}</head><body><p>Привет, мир</p></body>"
+    long = "<meta data-long='" + "x > " * 3000 + "' charset=\"windows-1251\">"
+    content = "<META http-equiv=Content-Type content='" + " " * 10_000 + "text/html; charset=windows-1251'>"
+    for tag in (long, content, "<meta charset=windows-1251>"):
+        assert warc.meta_charset(page.format(tag).encode("cp1251")) == "windows-1251"
+        assert warc.decoded(page.format(tag).encode("cp1251"), "text/html")[0].endswith("<p>Привет, мир</p></body>")
+    assert warc.meta_charset(b"<meta " * 100_000 + b"charset=x") is None
+    assert warc.meta_charset(b"<p>charset=koi8-r<metadata charset=koi8-r>") is None
+
+
+def test_errors_are_part_of_the_result(spark):
+    broken = b"no record"
+    got = warc.build_derivatives(spark.createDataFrame([("k", bytearray(broken))], "k string, record binary"), "k", "record").first()
+    assert got["error"] and got["record"] is None
+    assert "error" in warc.page_derivatives(spark.createDataFrame([(1, "u", "h")], "page_id bigint, url string, html string")).columns
