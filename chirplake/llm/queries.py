@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirplake.llm import bbpe, embed_dedup, html_density, lines, merkle, mixing, packing, pjpeg, quality, simhash, warc, word_lm
-from chirplake.llm.util import join_checked, table
+from chirplake.llm.util import BROADCAST_ROWS, join_checked, saved, table
 
 #: Where the public vocabularies are.
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,6 +29,8 @@ def op3_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
     marked = join_checked(docs.select("doc_id", "text"), good.withColumn("is_target", F.lit(True)), ["doc_id"], "left")
+    if good.count() > BROADCAST_ROWS:  # rows of a shuffle join may change their order in a task that runs again, and the models number them
+        marked = saved(marked, "marked")
     out = word_lm.word_cross_entropy_difference(marked)
     return out.select("doc_id", "n_tokens", F.round("score", 6).alias("score"))
 
