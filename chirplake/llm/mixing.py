@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chirplake.llm.util import join_checked, running, saved, unused
+from chirplake.llm.util import join_checked, running, saved, shuffle_partitions, unused
 
 #: A word is a run of other characters than 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,7 +129,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, l
     given = given.withColumn("quota", F.least("quota", F.col("blocks") * limit)).withColumn("repeats", F.floor(F.col("quota") / F.col("blocks"))).withColumn("extra", F.col("quota") % F.col("blocks"))
     hashed = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda b: _block_hash(F.col("rank"), F.col("shard"), b, seed))
     bar = F.when(F.col("extra") > 0, F.get(F.array_sort(hashed), (F.col("extra") - 1).cast("int")))
-    given = saved(given.select("rank", "shard", "repeats", bar.alias("bar")), "given")
+    dealt_out = given.repartition(shuffle_partitions(docs), "rank", "shard")  # few and narrow rows, and some 16,000 hashes for each
+    given = saved(dealt_out.select("rank", "shard", "repeats", bar.alias("bar")), "given")
 
     # Where each document lies in its shard, and what of it is taken.
     before = F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1))
