@@ -229,7 +229,7 @@ def test_csv_text(spark):
     assert tuple(sinks.as_csv(df, ["x", "y", "z", "w", "absent"]).first()) == ("0.333333", "", "a;b", "", "")
 
 
-@pytest.mark.parametrize("wrong", [{"num_events": 0}, {"ratios": {"train": 0.5, "val": 0.1, "test": 0.1}}, {"sample_rate": 1000}, {"glitch_source": "gwosc"}, {"detectors": ("V1",)}, {"detectors": ("H1", "H1")}, {"vmin": 30.0}, {"norm_method": "x"}, {"hard_fraction": 2.0}, {"injection_min": 3.5}, {"bin_weights": {"low": 1.0}}])
+@pytest.mark.parametrize("wrong", [{"num_events": 0}, {"ratios": {"train": 0.5, "val": 0.1, "test": 0.1}}, {"sample_rate": 1000}, {"noise_source": "gwosc"}, {"noise_source": "gwosc", "glitch_source": "gwosc", "synthetic_fallback": True}, {"detectors": ("V1",)}, {"detectors": ("H1", "H1")}, {"vmin": 30.0}, {"norm_method": "x"}, {"hard_fraction": 2.0}, {"injection_min": 3.5}, {"bin_weights": {"low": 1.0}}])
 def test_config_errors(wrong):
     with pytest.raises(ValueError):
         DatasetConfig(**wrong)
