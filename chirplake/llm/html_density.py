@@ -32,8 +32,10 @@ BLOCKS = _words(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul"
 )
-#: Elements whose text is never part of the main text.
-NOISE = _words("nav footer aside form script style noscript template iframe object embed svg math canvas audio video button select option input textarea dialog menu head title map")
+#: Elements that hold no text to read: they are not measured.
+UNREAD = _words("script style noscript template iframe object embed svg math canvas audio video button select option input textarea dialog head title map")
+#: Elements beside a main text.
+BESIDE = _words("nav footer aside form menu")
 _CLOSES_P = BLOCKS - _words("td th tr tbody thead tfoot caption body html")
 #: An open element that a start tag ends, and the elements beyond which it is not sought.
 _ENDS = {
@@ -66,11 +68,13 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "in_link", "link_chars", "link_tags", "named", "noise", "own_noise", "parent", "sum", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "in_link", "link_chars", "link_tags", "named", "noise", "own_noise", "parent", "silent", "sum", "tag", "tags", "unread")
 
-    def __init__(self, tag: str, parent: Node | None, own_noise: bool, named: bool | str = False) -> None:
+    def __init__(self, tag: str, parent: Node | None, own_noise: bool, named: bool | str = False, unread: bool = False) -> None:
         self.tag, self.parent, self.own_noise, self.named = tag, parent, own_noise, named
+        self.unread = unread or (parent is not None and parent.unread)
         self.noise = own_noise or (parent is not None and parent.noise)
+        self.silent = False
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -93,28 +97,31 @@ def _marks_noise(token: str, in_article: bool) -> bool:
 
 #: A section of an article that only its id marks: a box, or a chapter whose heading has such a word.
 SLUG = "slug"
+#: An element whose names say that it holds what readers wrote.
+READERS = "readers"
 _READERS = re.compile(r"comment|disqus|repl|respond")
 
 
-def _is_noise(tag: str, names: dict[str, str], in_article: bool) -> tuple[bool, bool | str]:
-    """Whether an element is no main text, and whether only its names (``SLUG``: only its id, in a section of an article) say so."""
-    if tag in NOISE or (tag == "header" and not in_article):
-        return True, False
-    if not names:
-        return False, False
+def _marks(tag: str, names: dict[str, str], in_article: bool) -> tuple[bool, bool | str, bool]:
+    """Whether an element is marked as no main text, whether only its names (``SLUG``: only its id, in a section of an article) say so, and whether it is not for reading at all."""
+    if tag in UNREAD:
+        return True, False, True
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(names.get("style", "")):
-        return True, False
-    if tag in _WHOLE:
-        return False, False
+        return True, False, True
+    if tag in BESIDE or (tag == "header" and not in_article):
+        return True, False, False
+    if not names or tag in _WHOLE:
+        return False, False, False
     if names.get("role", "").lower() in _NOISE_ROLES:
-        return True, False
-    named = any(_marks_noise(t, in_article) for t in names.get("class", "").lower().split())
+        return True, False, False
+    marks = [t for t in names.get("class", "").lower().split() if _marks_noise(t, in_article)]
+    named: bool | str = READERS if any(map(_READERS.match, marks)) else bool(marks)
     if not named and tag not in _HEADINGS:  # a heading's id is a slug of its text
         slugs = [t for t in names.get("id", "").lower().split() if _marks_noise(t, in_article)]
-        named = bool(slugs)
-        if named and tag == "section" and in_article and not any(_READERS.match(t) for t in slugs):
-            return True, SLUG
-    return named, named
+        named = READERS if any(map(_READERS.match, slugs)) else bool(slugs)
+        if named is True and tag == "section" and in_article:
+            return True, SLUG, False
+    return bool(named), named, False
 
 
 class Scanner:
@@ -252,7 +259,7 @@ def parse(html: str) -> Node:
                 continue
             stack.make_room(tag)
             here = stack.nodes[-1]
-            node = Node(tag, here, *_is_noise(tag, names, stack.articles > 0))
+            node = Node(tag, here, *_marks(tag, names, stack.articles > 0))
             here.children.append(node)
             if tag in RAW:
                 stop = _RAW_END[tag].search(html, at)
@@ -297,28 +304,28 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float
 
 
 def measure(nodes: list[Node]) -> None:
-    """Counts of characters, tags, link characters and link tags of all nodes (parents first), then densities and their sums; noise counts nothing.
+    """Counts of characters, tags, link characters and link tags of all nodes (parents first), then densities and their sums. All text that is for reading counts, whatever its elements are called.
 
     The sum of a node adds the densities of its children; a text is a child
     without tags, of link characters if it is within a link.
     """
     for node in reversed(nodes):
-        if node.noise:
+        if node.unread:
             continue
         for child in node.children:
             if isinstance(child, str):
                 node.chars += _visible(child)
-            elif not child.noise:
+            elif not child.unread:
                 node.chars += child.chars
                 node.tags += child.tags + 1
                 node.link_chars += child.link_chars
                 node.link_tags += child.link_tags + (child.tag == "a")
         if node.in_link:
             node.link_chars = node.chars
-    body = next((n for n in nodes if n.tag == "body" and not n.noise), nodes[0])
+    body = next((n for n in nodes if n.tag == "body" and not n.unread), nodes[0])
     ratio = max(body.link_chars, 1) / max(body.chars, 1)
     for node in reversed(nodes):
-        if node.noise or not node.chars:
+        if node.unread or not node.chars:
             continue
         node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
         for child in node.children:
@@ -377,11 +384,13 @@ def _spare_named(nodes: list[Node]) -> None:
         spared = {i for i, n in text.items() if 2 * n > text[id(nodes[0])]}
     spared |= {id(n) for n in nodes if n.named == SLUG and _is_chapter(n)}
     for node in nodes:
-        node.named = node.named and id(node) not in spared
+        node.named = id(node) not in spared and node.named
         own = node.noise if not node.named else True
         node.noise = own or (node.parent is not None and node.parent.noise)
 
 
+#: A marked element in the chosen subtree is no part of it if its sum of densities is less than this share of the core's.
+SMALLER = 1.0
 #: A parent of the core belongs to it while it is at least so dense, as a share.
 CLIMB = 0.5
 #: A parent below the body also belongs to it if at most this share of what it adds is link text.
@@ -398,15 +407,18 @@ _TEXT = _words("p li dt dd pre blockquote h1 h2 h3 h4 h5 h6 figure figcaption ul
 def content_roots(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order; what is no part of it within them is marked as noise.
 
+    Densities are taken over all that is for reading, menus and notices included.
     The node of the largest density sum, or the element that holds it if it is a
-    block of text itself, is the core. The nodes on its way up to the body belong
-    to it while they are at least half as dense as the one below, or add text with
+    block of text itself, is the core; an element marked as no main text by its tag,
+    role or names is none. The nodes on its way up to the body belong
+    to it while they are at least half as dense as the one below, or add unmarked text with
     hardly any links; of what they add, running text and what is dense is kept, so
     that a headline or a short first paragraph beside the core is, and a list of
     links or a line of small print is not. Nor is a menu in the core itself. The smallest density on the whole way is
     the threshold for what is dense, and for other parts: below nodes that reach it,
     the nodes of the largest sums are taken if these are a quarter of the core's.
-    A page's first headline is kept if no part holds one.
+    A page's first headline is kept if no part holds one. Of what is chosen so, marked
+    elements go if a second sign agrees: see :func:`_is_beside`.
     """
     nodes = _order(root)
     if any(n.tag == "form" for n in nodes):
@@ -417,7 +429,11 @@ def content_roots(root: Node) -> list[Node]:
     if any(n.named for n in nodes):
         _spare_named(nodes)
     measure(nodes)
-    live = [n for n in nodes if not n.noise and n.chars]
+    with_text: set[int] = set()  # unmarked, and with some text that is
+    for node in reversed(nodes):
+        if not node.noise and any(id(c) in with_text if isinstance(c, Node) else c.strip() for c in node.children):
+            with_text.add(id(node))
+    live = [n for n in nodes if id(n) in with_text]
     if not live:
         return []
     core = max(live, key=lambda n: n.sum)  # the first, that is outermost, of equals
@@ -430,13 +446,12 @@ def content_roots(root: Node) -> list[Node]:
         top += 1
     while top + 1 < len(path):
         here, above = path[top], path[top + 1]
-        plain = above.tag != "body" and above.link_chars - here.link_chars <= PLAIN * (above.chars - here.chars)
-        if not plain and above.density < CLIMB * here.density:
+        if not _adds_plain_text(above, here) and above.density < CLIMB * here.density:
             break
         top += 1
     for child, node in zip(path[:top], path[1 : top + 1], strict=True):
         for other in node.children:
-            if isinstance(other, Node) and other is not child and other.tag in BLOCKS and not _belongs(other, threshold):
+            if isinstance(other, Node) and other is not child and other.tag in BLOCKS and not other.noise and not _belongs(other, threshold):
                 _silence(other)
     for other in core.children:
         if isinstance(other, Node) and other.tag in _MENUS and other.link_tags > 2 and other.link_chars >= MENU * other.chars:
@@ -446,7 +461,43 @@ def content_roots(root: Node) -> list[Node]:
     if not any(n.tag == "h1" and not n.noise and id(n) in inside for n in live):
         parts += [n for n in live if n.tag == "h1" and not n.noise][:1]
     place = {id(n): k for k, n in enumerate(nodes)}
-    return sorted(parts, key=lambda n: place[id(n)])
+    parts.sort(key=lambda n: place[id(n)])
+    for part in parts:
+        _spare_large(part, core)
+    return parts
+
+
+def _adds_plain_text(above: Node, here: Node) -> bool:
+    """Whether the unmarked text that a parent below the body adds has hardly any links."""
+    if above.tag == "body":
+        return False
+    chars = links = 0
+    for other in above.children:
+        if isinstance(other, str):
+            chars += _visible(other)
+        elif other is not here and not other.noise:
+            chars, links = chars + other.chars, links + other.link_chars
+    return links <= PLAIN * chars
+
+
+def _is_beside(node: Node, core: Node) -> bool:
+    """The second sign against a marked element: readers wrote it, links are half of it or more, or its densities come to less than the core's."""
+    return node.named == READERS or 2 * node.link_chars >= max(node.chars, 1) or node.sum < SMALLER * core.sum
+
+
+def _spare_large(part: Node, core: Node) -> None:
+    """Keep marked elements of a chosen subtree that no second sign is against."""
+    todo = [part]
+    while todo:
+        node = todo.pop()
+        if node.noise and (node.unread or node.silent or _is_beside(node, core)):
+            continue
+        if node.noise:
+            node.noise = False
+            for other in node.children:
+                if isinstance(other, Node):
+                    other.noise = other.own_noise
+        todo.extend(c for c in node.children if isinstance(c, Node))
 
 
 def _belongs(node: Node, threshold: float) -> bool:
@@ -458,7 +509,7 @@ def _belongs(node: Node, threshold: float) -> bool:
 
 def _silence(node: Node) -> None:
     for n in _order(node):
-        n.noise = True
+        n.noise = n.silent = True
 
 
 def _other_parts(body: Node, top: Node, core: Node, threshold: float) -> list[Node]:

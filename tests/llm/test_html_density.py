@@ -4,6 +4,7 @@ import math
 import time
 import xml.etree.ElementTree as ET
 
+import pyarrow.parquet as pq
 import pytest
 
 from chirplake.llm import html_density
@@ -113,3 +114,37 @@ def test_odd_markup():
     assert text("<p title='x>y' data-z=\"a>b\" hidden=>gone</p><p class=a/b>kept") == "kept"
     assert text("<p>one<!-- > --><!--> two <!--->three") == "one two three"
     assert text("<div <p>x</div>") == "x" and text("a <b") == "a <b" and text("<>") == "<>"
+
+
+NAMED = f"<html><head><title>x</title></head><body><header><a href='/'>Home</a></header><nav><ul>{LINKS}</ul></nav><div class='cookie-notice'>This site stores what it likes about you.</div><article><h1>{TITLE}</h1>{P}<div class='advert'>Buy a better day in a bigger town.</div></article><aside><p>Also here today.</p></aside><footer>Small print 2024</footer></body></html>"
+
+
+def test_boxes_are_measured_and_the_article_is_chosen(monkeypatch):
+    """Menus and notices count in the densities, which then leave them outside of what is chosen."""
+    root = html_density.parse(NAMED)
+    chosen = html_density.content_roots(root)
+    assert [n.tag for n in chosen] == ["article"]
+    assert all(n.chars for n in html_density._order(root) if n.tag in ("nav", "aside", "footer"))
+    assert html_density.main_text(NAMED) == "\n\n".join(WHOLE)
+    monkeypatch.setattr(html_density, "density", lambda *_: 0.0)
+    assert html_density.main_text(NAMED) != "\n\n".join(WHOLE)
+
+
+def test_a_marked_element_goes_by_a_second_sign():
+    """Where a box's name is on most of the article, it stays; links, less density than the core's, or readers' hands are signs against it."""
+    text = html_density.main_text
+    assert text(f"<body><article><h1>{TITLE}</h1><div class='share'>{P}</div></article></body>") == "\n\n".join(WHOLE)
+    assert text(f"<body><article><h1>{TITLE}</h1>{P}<div class='share'>Send it on</div></article></body>") == "\n\n".join(WHOLE)
+    assert text(f"<body><article><h1>{TITLE}</h1>{P}<div class='related'><ul>{LINKS}</ul></div></article></body>") == "\n\n".join(WHOLE)
+    assert text(f"<body><article><h1>{TITLE}</h1><p>{TEXT[0]}</p><div class='comments'>{P}{P}</div></article></body>") == f"{TITLE}\n\n{TEXT[0]}"
+
+
+def test_densities_decide_on_the_pages(sf_dir):
+    pages = [h for h in pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist() if h]
+    texts, kept = [html_density.main_text(h) for h in pages], html_density.density
+    html_density.density = lambda *_: 0.0
+    try:
+        other = [html_density.main_text(h) for h in pages]
+    finally:
+        html_density.density = kept
+    assert pages and sum(a != b for a, b in zip(texts, other, strict=True)) > 0.9 * len(pages)
