@@ -7,7 +7,9 @@ import functools
 import hashlib
 import sys
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +164,8 @@ class ByteBPE:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.pieces = {rank: piece for piece, rank in self.ranks.items()}
+        self.widths = np.zeros(max(self.pieces) + 1, np.int64)
+        self.widths[list(self.pieces)] = list(map(len, self.pieces.values()))
         self._known: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -237,8 +241,7 @@ class ByteBPE:
             for group in ids[at : at + count]:
                 own.extend(group)
             at += count
-            widths = [len(self.pieces[i]) for i in own]
-            out.append((own, (np.cumsum(widths) - widths).tolist()))
+            out.append((own, self.offsets(own)[:-1].tolist()))
         return out
 
     def piece_ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
@@ -252,9 +255,20 @@ class ByteBPE:
                 known[p] = merge(p)
             return [known[p] for p in pieces]
 
+    def offsets(self, ids: list[int] | np.ndarray) -> np.ndarray:
+        """Byte offset of each id in the text that they stand for, and at the end its length."""
+        return np.r_[0, np.cumsum(self.widths[np.asarray(ids, np.int64)])]
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
+    def decode_range(self, ids: list[int], offsets: list[int], start: int, stop: int) -> bytes:
+        """Bytes ``start`` to ``stop`` of the text, from only those ids that lie in that range by their offsets."""
+        if stop <= start or not ids:
+            return b""
+        first = max(bisect_right(offsets, start) - 1, 0)
+        return self.decode(ids[first : bisect_left(offsets, stop)])[start - offsets[first] : stop - offsets[first]]
+
 
 @functools.lru_cache(maxsize=2)
 def _codec(path: str) -> ByteBPE:
@@ -281,19 +295,28 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     return bounded_batches(_rows(docs)).mapInArrow(run, "doc_id bigint, ids array<int>, offsets array<bigint>")
 
 
-def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id and the bytes that ``ids`` stand for; null ids are empty."""
+def decode(encoded: DataFrame, ranks_path: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """doc_id and the bytes that ``ids`` stand for, or those from ``start`` to ``stop`` by the kept ``offsets``; null ids are empty, and so is what lies beyond a text."""
+    part = start > 0 or stop is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
+            ids = batch.column(1).to_pylist()
+            if part:
+                got = [codec.decode_range(x or [], o or [], start, sys.maxsize if stop is None else stop) for x, o in zip(ids, batch.column(2).to_pylist(), strict=True)]
+            else:
+                got = [codec.decode(x or []) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["doc_id", "bytes"])
 
-    return bounded_batches(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id bigint, bytes binary")
+    return bounded_batches(encoded.select("doc_id", "ids", *["offsets"] * part)).mapInArrow(run, "doc_id bigint, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``: both ways in one pass, so that the ids never leave the worker.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes of every row of ``docs``: both ways in one pass, so that the ids never leave the worker.
+
+    Every slice's ids must begin at the byte offset that was kept for the slice;
+    ``n_bytes`` is the offset at which the last id ends.
 
     A null text is an empty one, of no tokens. Rows that repeat and null doc_ids are
     carried as they are; other columns are ignored. A text is worked on whole: one
@@ -305,22 +328,25 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
         codec = _codec(ranks_path)
         sha = hashlib.sha256
         for batch in batches:
-            totals, coded, decoded = [], [], []
+            totals, coded, decoded, sizes = [], [], [], []
             for group in grouped([t or "" for t in batch.column(1).to_pylist()], GROUP_CHARS):
-                pieces, counts, _ = codec.slices(group)
+                pieces, counts, offsets = codec.slices(group)
                 ids = codec.piece_ids(pieces)
-                at = 0
-                for count in counts.tolist():
-                    own: list[int] = []
-                    for x in ids[at : at + count]:
-                        own += x
-                    at += count
-                    totals.append(len(own))
+                firsts = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
+                flat = np.fromiter(chain.from_iterable(ids), np.int64, int(firsts[-1]))
+                places = codec.offsets(flat)
+                edges = firsts[np.r_[0, np.cumsum(counts)]]  # of documents among ids
+                if not np.array_equal(places[firsts[:-1]] - np.repeat(places[edges[:-1]], counts), offsets):
+                    raise ValueError("ids of a slice do not begin at its offset")
+                sizes += np.diff(places[edges]).tolist()
+                totals += np.diff(edges).tolist()
+                for a, b in pairwise(edges.tolist()):
+                    own = flat[a:b].tolist()
                     coded.append(sha(repr(own)[1:-1].replace(",", "").encode()).hexdigest())
                     decoded.append(sha(codec.decode(own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
-    return bounded_batches(_rows(docs)).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(_rows(docs)).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint")
 
 
 def _rows(docs: DataFrame) -> DataFrame:

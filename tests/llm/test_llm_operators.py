@@ -144,8 +144,9 @@ def test_bpe_equals_the_library(spark, odd, sf_dir):
         ids = library.encode_ordinary(r["text"] or "")
         sha = lambda b: hashlib.sha256(b).hexdigest()
         want[r["doc_id"]] = (len(ids), sha(" ".join(map(str, ids)).encode()), sha((r["text"] or "").encode()))
-    got = {r["doc_id"]: tuple(r)[1:] for r in bbpe.round_trip(docs, queries.BYTE_RANKS).collect()}
-    assert got == want
+    rows = bbpe.round_trip(docs, queries.BYTE_RANKS).collect()
+    assert {r["doc_id"]: tuple(r)[1:4] for r in rows} == want
+    assert {r["doc_id"]: r["n_bytes"] for r in rows} == {r["doc_id"]: len((r["text"] or "").encode()) for r in docs.collect()}
 
 
 def test_bpe_tables(spark, odd):
@@ -159,6 +160,9 @@ def test_bpe_tables(spark, odd):
             k = len(r["ids"]) // 2
             assert decoded[r["doc_id"]][r["offsets"][k] :].startswith(codec.pieces[r["ids"][k]])
     assert bbpe.encode(odd.limit(0), queries.BYTE_RANKS).count() == 0
+    for start, stop in ((0, 7), (3, 4), (5, None), (9, 9), (10**9, None)):
+        some = {r["doc_id"]: bytes(r["bytes"]) for r in bbpe.decode(encoded, queries.BYTE_RANKS, start, stop).collect()}
+        assert some == {i: (t or "").encode()[start:stop] for i, t in ODD}
 
 
 def test_bpe_boundaries_at_random():
