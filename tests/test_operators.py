@@ -3,6 +3,7 @@
 import json
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,16 @@ def test_nan_parses(spark):
     assert math.isnan(one(spark, S.strict_double(F.lit("nan"))))
 
 
+def test_segment_keys_round_as_sql(spark):
+    """Times of whole microseconds are halves of four places once in a hundred."""
+    micros = [1704067211172450, 1704067211172350, 1704067211172449, 1704067211172451, 1126259462000050, 1126259462000150] + [1704067211000050 + k * 100 for k in range(2000)]
+    con = duckdb.connect()
+    want = [r[0] for r in con.execute("SELECT round(x / 1e6::DOUBLE, 4) FROM (SELECT unnest(?) AS x)", [micros]).fetchall()]
+    rows = spark.createDataFrame([(k, m) for k, m in enumerate(micros)], "k int, m bigint")
+    got = rows.select("k", S.gps_key(F.lit("H1"), F.col("m") / F.lit(1e6)).alias("key")).orderBy("k").collect()
+    assert [r["key"] for r in got] == [f"H1:{x:.4f}" for x in want]
+
+
 def test_axis_and_area(spark):
     box = S.glitch_box(F.lit(1.0), F.lit(1.4), F.lit(100.0), F.lit(200.0))
     assert one(spark, S.box_area(box)) == pytest.approx(0.1 * math.log(2) / math.log(50))
