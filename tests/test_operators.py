@@ -12,6 +12,7 @@ from chirplake.functions import scalars as S
 from chirplake.operators import arrays as A
 from chirplake.operators import audits, groups, pairs
 from chirplake.operators.ranks import dense_number, hash_rank, quota_sizes
+from chirplake.operators.scratch import saved, scratch_root
 from chirplake.sources import catalog, sinks
 
 
@@ -307,3 +308,28 @@ def test_numbers_within_keys(spark, monkeypatch):
     rows = spark.range(300).select((F.col("id") * 3).alias("ord"), (F.col("id") % 3).alias("key"))
     got = pairs._numbered(rows, ("key",)).collect()
     assert all(r["idx"] == r["ord"] // 9 for r in got)
+
+
+def _shuffle_files(spark):
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
+def test_scratch_tables_leave_no_shuffles(spark):
+    before = _shuffle_files(spark)
+    got = saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert got.count() == 7
+    made = _shuffle_files(spark)
+    saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert _shuffle_files(spark) == made and made - before <= 8  # those of the count itself
+
+
+def test_draws_keep_three_numbers_and_no_tables(spark):
+    """What a draw needs on the way is deleted, and what it leaves is narrow."""
+    s = samples(spark)
+    anchors = s.where("has_chirp = 1").withColumn("slot", F.lit(0))
+    for kind in (*pairs.HARD_TYPES, *pairs.EASY_TYPES):
+        got = pairs.chosen(anchors, s, kind)
+        assert got.columns == ["ord", "slot", "c_ord"]
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+        left = {f.getPath().getName().split("-")[0] for f in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)}
+        assert not left & {"pool", "first", "again", "rest", "near", "last"}
