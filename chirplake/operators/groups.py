@@ -241,10 +241,13 @@ def marked_segments(rows: DataFrame, cache: DataFrame, blacklist: DataFrame) ->
 def first_accepted(keys: DataFrame, attempts: int, evaluate: Callable[[DataFrame], DataFrame], carry: list[str] | None = None) -> DataFrame:
     """Bounded rejection sampling: all attempts of a key are rows at once, and the first accepted one is kept, with the columns of ``carry``.
 
-    ``evaluate`` gets rows with ``attempt`` and adds ``accepted``; keys none of
-    whose attempts is accepted come back with nulls. (Whole segments are drawn in
+    ``evaluate`` gets rows with ``attempt`` and adds ``accepted``, at most one row for each of them; keys none of
+    whose attempts is accepted come back with nulls. Keys are dealt over all partitions
+    before they become rows of attempts, however few files they come from, and where ``evaluate`` leaves them
+    there, no attempt is shuffled or sorted: a partition holds one best attempt a key. (Whole segments are drawn in
     rounds instead, see :mod:`segments`.)
     """
-    tried = evaluate(keys.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))))
-    best = tried.where("accepted").groupBy(*keys.columns).agg(F.min(F.struct("attempt", *(carry or []))).alias("__best")).select(*keys.columns, "__best.*")
-    return keys.join(best, keys.columns, "left")
+    dealt = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys.columns)
+    tried = evaluate(dealt.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))))
+    best = tried.where("accepted").groupBy(*keys.columns).agg(F.min("attempt").alias("attempt"), *[F.min_by(c, "attempt").alias(c) for c in carry or []])
+    return dealt.join(best, keys.columns, "left")
